@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import runs
+from pathloom.llm import runs, splits, topn
 from pathloom.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,9 +36,53 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _tied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of both tables with their split and the keys that tie them."""
+    parts = [
+        table(spark, sf_dir, name).select(
+            F.lit(kind).alias("record_kind"), "row_id", "split", splits.person_key("user_id").alias("user"), F.col("task_id").alias("task"), F.col(trajectory).alias("trajectory")
+        )
+        for kind, name, trajectory in (("trajectory", "trajectory_records", "trajectory_id"), ("step", "gui_step_examples", "source_trajectory_id"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.components(_tied(spark, sf_dir), ["record_kind", "row_id", "split"], ["user", "task", "trajectory"])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation and test rows tied to a train row."""
+    return splits.crossing(_components(spark, sf_dir)).select("record_kind", "row_id")
+
+
+def p2_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split for every row that keeps tied rows together, in the shares 80, 10 and 10."""
+    shares = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    return splits.assign(_components(spark, sf_dir), shares).select("record_kind", "row_id", "component", "new_split")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three candidates of each group of the reviewer's sheet."""
+    return topn.top_n(table(spark, sf_dir, "review_candidates"), 3, "group_id", "candidate_id", "reward_total", "current_rank").select("group_id", "candidate_id", "place")
+
+
+P3_SQL = """
+WITH firsts AS (
+  SELECT group_id, candidate_id, reward_total, current_rank,
+         row_number() OVER (PARTITION BY group_id, candidate_id ORDER BY reward_total DESC, current_rank ASC NULLS LAST) AS copy
+  FROM review_candidates WHERE group_id IS NOT NULL AND reward_total IS NOT NULL AND NOT isnan(reward_total)),
+ranked AS (
+  SELECT group_id, candidate_id,
+         row_number() OVER (PARTITION BY group_id ORDER BY reward_total DESC, current_rank ASC NULLS LAST, candidate_id ASC NULLS LAST) AS place
+  FROM firsts WHERE copy = 1)
+SELECT group_id, candidate_id, CAST(place AS INTEGER) AS place FROM ranked WHERE place <= 3
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed}
+    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_assigned": p2_assigned, "p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_SQL}
