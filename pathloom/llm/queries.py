@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import runs, splits, topn
+from pathloom.llm import answers, dedup, encode, overlap, packing, runs, splits, subjects, topn, variants
 from pathloom.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,8 +80,97 @@ SELECT group_id, candidate_id, CAST(place AS INTEGER) AS place FROM ranked WHERE
 """
 
 
+_SPLIT_TEXTS = (("listwise_tasks", "task_id", "intent", "target_split"), ("review_candidates", "group_id", "oracle_text", "split"), ("gui_step_examples", "example_id", "instruction", "split"))
+
+
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = None
+    for k, (name, key, text, split) in enumerate(_SPLIT_TEXTS):
+        part = table(spark, sf_dir, name).select(F.lit(k).alias("grp"), F.col(key).alias("id"), F.col(text).alias("text"), F.col(split).alias("split"))
+        records = part if records is None else records.unionByName(part)
+    names = F.array(*[F.lit(x[0]) for x in _SPLIT_TEXTS])
+    return overlap.overlaps(records).withColumn("table_name", F.get(names, F.col("grp")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train and a held-out record with equal or nearly equal texts, each once."""
+    found = _overlaps(spark, sf_dir)
+    return found.select("table_name", F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b")).distinct()
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping pairs, and held-out records that overlap, per table and split."""
+    found = _overlaps(spark, sf_dir).distinct()
+    return found.groupBy("table_name", "held_split").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("held_id").alias("n_records"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows whose texts differ as strings and look the same."""
+    parts = [
+        variants.variant_pairs(table(spark, sf_dir, name), text).select(F.lit(name).alias("table_name"), "id_a", "id_b")
+        for name, text in (("listwise_tasks", "intent"), ("review_candidates", "candidate_text"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p6_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All intents in consistent character form, with whether that changed them."""
+    tasks = table(spark, sf_dir, "listwise_tasks").select("row_id", "intent", F.col("intent").alias("form"))
+    return variants.consistent(tasks, "form").select("row_id", "form", (~F.col("form").eqNullSafe(F.col("intent"))).alias("changed"))
+
+
+_REPEATED = (("listwise_tasks", "intent", "row_id"), ("review_candidates", "candidate_text", "row_id"), ("raw_task_lines", "payload", "line_id"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that repeat an earlier one of their table in another layout."""
+    out = None
+    for name, text, key in _REPEATED:
+        how = dedup.record_copies if text == "payload" else dedup.copies
+        part = how(table(spark, sf_dir, name), text, key).select(F.lit(name).alias("table_name"), "keep_id", "copy_id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of both preference sides and of the chats that are no usable answer."""
+    pairs = table(spark, sf_dir, "preference_pairs")
+    asked = answers.last_content("messages", "user")
+    sides = F.array(*[F.struct(F.lit(side).alias("field_name"), F.col(f"{side}.content").alias("answer")) for side in ("chosen", "rejected")])
+    both = pairs.select("row_id", asked.alias("asked"), F.explode(sides).alias("s")).select("s.field_name", "row_id", "s.answer", "asked")
+    chats = table(spark, sf_dir, "sft_messages").select(F.lit("messages").alias("field_name"), "row_id", answers.last_content("messages", "assistant").alias("answer"), asked.alias("asked"))
+    return answers.defects(both.unionByName(chats), ["field_name", "row_id"], "answer", "asked")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", encode.token_ids("text").alias("ids"))
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container and position of every document, or of each part of one beyond the capacity."""
+    sized = table(spark, sf_dir, "documents").select("doc_id", encode.token_count("text").alias("n"))
+    return packing.containers(sized, "doc_id", "n").select(F.col("item").alias("doc_id"), "part", "size", "container", "start")
+
+
+def _subject_model(spark: SparkSession, sf_dir: str) -> subjects.Model:
+    return subjects.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_examples"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects that at least a quarter of a document's placed sentences treat."""
+    return subjects.document_subjects(table(spark, sf_dir, "documents"), _subject_model(spark, sf_dir), "doc_id", "text")
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, placed sentences and share of sentences of every subject in the corpus."""
+    counts = subjects.subject_counts(table(spark, sf_dir, "documents"), _subject_model(spark, sf_dir), "doc_id", "text")
+    per = counts.groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
+    return table(spark, sf_dir, "subject_areas").select("subject").join(per, "subject", "left").na.fill(0)
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_assigned": p2_assigned, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_assigned": p2_assigned, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_consistent": p6_consistent, "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_composition": p10_composition}
 
 
 def oracle_sql() -> dict[str, str]:
