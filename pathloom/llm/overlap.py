@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pathloom.llm.charform import code_points, reduced
 from pathloom.storage import cut
 
-BLOCKS = 24
+BLOCKS = 40
 #: Share of the texts beyond which an n-gram is common, and a number that never is.
 COMMON, NEVER_COMMON = 0.003, 8
 #: With fewer rare n-grams than FEW the blocks over all n-grams are added; with fewer than LEAST they stand alone.
