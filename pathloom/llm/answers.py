@@ -128,15 +128,27 @@ def _ending(tokens: list[str]) -> tuple[str, str | None]:
     return "w|" + " ".join(["^", *tokens][-3:]), None
 
 
-def _features(answer: str | None, form: str | None, key: str | None, asked: str | None, asked_form: str | None, asked_key: str | None, question_key: str | None):
+def _copied(key: str, lines: list[str]) -> bool:
+    """Whether an answer is made of lines of the prompt, its question (the last one) among them."""
+    if not lines or lines[-1] not in key:
+        return False
+    if key in "".join(lines):
+        return True
+    rest = key.replace(lines[-1], "", 1)
+    for line in lines[:-1]:
+        rest = rest.replace(line, "", 1)
+    return not rest
+
+
+def _features(form: str | None, key: str | None, asked: str | None, lines: list[str]):
     if not key:
         return ("empty",) + (None,) * 7
     text = form.strip()
-    if asked_key and question_key and question_key in key and key in asked_key:
+    if _copied(key, lines):
         return ("copied",) + (None,) * 7
     if _REFUSAL.match(text.lower().lstrip("-*>#\"“'· ")):
         return ("refusal",) + (None,) * 7
-    wanted = asked_language(asked_form.strip().rsplit("\n", 1)[-1]) if asked_form and asked_form.strip() else None
+    wanted = asked_language(asked.strip().rsplit("\n", 1)[-1]) if asked and asked.strip() else None
     found = language_of(text)
     if wanted and found and wanted != found:
         return ("other_language",) + (None,) * 7
@@ -153,9 +165,11 @@ def _features(answer: str | None, form: str | None, key: str | None, asked: str
 
 @F.arrow_udf(FEATURES)
 def features(answers: pa.Array, asked: pa.Array) -> pa.Array:
-    questions = pa.array([None if a is None else a.strip().rsplit("\n", 1)[-1] for a in asked.to_pylist()], pa.large_string())
-    columns = [answers, convert(answers, "form"), convert(answers, "reduce"), asked, convert(asked, "form"), convert(asked, "reduce"), convert(questions, "reduce")]
-    rows = [_features(*x) for x in zip(*(c.to_pylist() for c in columns))]
+    prompts = convert(asked, "form").to_pylist()
+    split = [(p or "").split("\n") for p in prompts]
+    keys = iter(convert(pa.array([line for own in split for line in own], pa.large_string()), "reduce").to_pylist())
+    lines = [[k for k in (next(keys) for _ in own) if k] for own in split]
+    rows = [_features(*x) for x in zip(convert(answers, "form").to_pylist(), convert(answers, "reduce").to_pylist(), prompts, lines)]
     return pa.array([dict(zip(FEATURES.names, r)) for r in rows], pa.struct([("defect", pa.string()), ("masked", pa.string()), ("stop", pa.bool_()), ("ending", pa.string()), ("opening", pa.string()), ("last2", pa.string()), ("joined", pa.bool_()), ("length", pa.int32())]))
 
 

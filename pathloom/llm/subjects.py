@@ -31,11 +31,13 @@ from pathloom.llm.charform import convert
 #: Documents that the weak labels are taken from.
 SAMPLE = 4000
 #: Sentences of the sample that a fit sees at most, and buckets of the hashed n-grams.
-FIT_SENTENCES, BUCKETS = 40_000, 1 << 18
+FIT_SENTENCES, BUCKETS = 24_000, 1 << 18
+#: N-grams that fewer sentences of a fit hold (mostly names) get no weight.
+LEAST_SEEN = 3
 #: Share of a document's placed sentences that makes its subject a weak label, and how many it needs.
-AGREEMENT, LEAST_PLACED = 0.6, 2
+AGREEMENT, LEAST_PLACED = 0.8, 2
 SHARE = 0.25
-ROUNDS, STEPS, RATE, DECAY = 2, 60, 0.15, 1e-5
+ROUNDS, STEPS, RATE, DECAY = 3, 40, 0.2, 1e-5
 
 _SPLIT = re.compile(r"(?<=[.!?])[\"”')]*\s+|(?<=[。！？])|\n+|(?<=[;；])\s*\n")
 _LABEL = re.compile(r"^\s*(?:\[[\w ]{1,20}\]|[-*#>•]+|\d+[.)])\s*")
@@ -111,21 +113,25 @@ class Model:
 def fit(found: list[list[int]], labels: np.ndarray, subjects: list[str]) -> Model:
     """One logistic classifier per subject, all at once, by full-batch steps with momentum."""
     flat, offsets = bags(found)
-    used, column = np.unique(flat, return_inverse=True)
-    n, v, k = len(found), len(used), len(subjects)
+    n, k = len(found), len(subjects)
     row = np.repeat(np.arange(n), np.diff(offsets))
-    w, b = np.zeros((v, k)), np.full(k, -2.0)
-    m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), np.zeros(k), np.zeros(k)
+    often = np.bincount(flat, minlength=BUCKETS) >= min(LEAST_SEEN, max(1, n // 1000))
+    row, flat = row[often[flat]], flat[often[flat]]
+    used, column = np.unique(flat, return_inverse=True)
+    v = len(used)
+    w, b = np.zeros((v, k), np.float32), np.full(k, -2.0, np.float32)
+    m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
     order = np.argsort(column, kind="stable")
     by_column, starts = row[order], np.searchsorted(column[order], np.arange(v))
+    some, heads = np.unique(row, return_index=True)
+    labels = labels.astype(np.float32)
     for step in range(1, STEPS + 1):
-        total = np.zeros((len(flat) + 1, k))
-        np.cumsum(w[column], axis=0, out=total[1:])
-        p = 1 / (1 + np.exp(-(total[offsets[1:]] - total[offsets[:-1]] + b)))
-        g = (p - labels) / n
+        score = np.tile(b, (n, 1))
+        if v:
+            score[some] += np.add.reduceat(w[column], heads, axis=0)
+        g = (1 / (1 + np.exp(-score)) - labels) / n
         gw = np.add.reduceat(g[by_column], starts, axis=0) + DECAY * w if v else w
-        gb = g.sum(axis=0)
-        for grad, mean, square, at in ((gw, m, s, w), (gb, mb, sb, b)):
+        for grad, mean, square, at in ((gw, m, s, w), (g.sum(axis=0), mb, sb, b)):
             mean += 0.1 * (grad - mean)
             square += 0.01 * (grad * grad - square)
             at -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -166,9 +172,11 @@ def train(examples: list[tuple[str, str]], sample: list[str]) -> Model:
             if not document or len(found) > FIT_SENTENCES:
                 continue
             p = model.scores(document)
-            placed = p.max(axis=1) >= model.threshold[p.argmax(axis=1)]
-            votes = np.bincount(p.argmax(axis=1)[placed], minlength=len(subjects))
-            if votes.sum() >= LEAST_PLACED and votes.max() >= AGREEMENT * votes.sum():
+            best = p.argmax(axis=1)
+            placed = p.max(axis=1) >= model.threshold[best]
+            votes = np.bincount(best[placed], minlength=len(subjects))
+            section = votes.sum() >= LEAST_PLACED and votes.max() >= AGREEMENT * votes.sum()
+            if section:
                 found += document
                 weak += [int(votes.argmax())] * len(document)
         model = calibrate(fit(found, np.eye(len(subjects))[weak], subjects), seed, truth)
