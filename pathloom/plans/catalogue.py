@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pathloom.plans import event_queries, star_queries, task_queries
+
+_ALL = {**event_queries.QUERIES, **task_queries.QUERIES, **star_queries.QUERIES}
+
+
+def queries() -> dict[str, Callable]:
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
