@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -87,6 +88,11 @@ def asked_language(question: str) -> str | None:
     return language_of(question)
 
 
+@lru_cache(maxsize=1 << 14)
+def _wanted(question: str) -> str | None:
+    return asked_language(convert(pa.array([question]), "form")[0].as_py()) if question.strip() else None
+
+
 def language_of(text: str) -> str | None:
     """en, es, zh or ru by script and small words, quotations and names left out; None if nothing tells."""
     bare = _QUOTED.sub(" ", text)
@@ -140,7 +146,7 @@ def _copied(key: str, lines: list[str]) -> bool:
     return not rest
 
 
-def _features(form: str | None, key: str | None, asked: str | None, lines: list[str]):
+def _features(form: str | None, key: str | None, wanted: str | None, lines: list[str]):
     if not key:
         return ("empty",) + (None,) * 7
     text = form.strip()
@@ -148,7 +154,6 @@ def _features(form: str | None, key: str | None, asked: str | None, lines: list[
         return ("copied",) + (None,) * 7
     if _REFUSAL.match(text.lower().lstrip("-*>#\"“'· ")):
         return ("refusal",) + (None,) * 7
-    wanted = asked_language(asked.strip().rsplit("\n", 1)[-1]) if asked and asked.strip() else None
     found = language_of(text)
     if wanted and found and wanted != found:
         return ("other_language",) + (None,) * 7
@@ -165,11 +170,16 @@ def _features(form: str | None, key: str | None, asked: str | None, lines: list[
 
 @F.arrow_udf(FEATURES)
 def features(answers: pa.Array, asked: pa.Array) -> pa.Array:
-    prompts = convert(asked, "form").to_pylist()
-    split = [(p or "").split("\n") for p in prompts]
-    keys = iter(convert(pa.array([line for own in split for line in own], pa.large_string()), "reduce").to_pylist())
-    lines = [[k for k in (next(keys) for _ in own) if k] for own in split]
-    rows = [_features(*x) for x in zip(convert(answers, "form").to_pylist(), convert(answers, "reduce").to_pylist(), prompts, lines)]
+    prompts = [(p or "").strip() for p in asked.to_pylist()]
+    questions = pa.array([p.rsplit("\n", 1)[-1] for p in prompts], pa.large_string())
+    last, keys = convert(questions, "reduce").to_pylist(), convert(answers, "reduce").to_pylist()
+    # Only an answer that holds the question can be a copy: the other lines are reduced for those alone.
+    maybe = [i for i, (q, k) in enumerate(zip(last, keys)) if q and k and q in k]
+    split = [prompts[i].split("\n") for i in maybe]
+    reduced_lines = iter(convert(pa.array([line for own in split for line in own], pa.large_string()), "reduce").to_pylist())
+    lines = {i: [k for k in (next(reduced_lines) for _ in own) if k] for i, own in zip(maybe, split)}
+    wanted = map(_wanted, questions.to_pylist())
+    rows = [_features(f, k, w, lines.get(i, [])) for i, (f, k, w) in enumerate(zip(convert(answers, "form").to_pylist(), keys, wanted))]
     return pa.array([dict(zip(FEATURES.names, r)) for r in rows], pa.struct([("defect", pa.string()), ("masked", pa.string()), ("stop", pa.bool_()), ("ending", pa.string()), ("opening", pa.string()), ("last2", pa.string()), ("joined", pa.bool_()), ("length", pa.int32())]))
 
 
