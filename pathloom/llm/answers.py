@@ -222,7 +222,7 @@ def shortened(masked: DataFrame) -> DataFrame:
 
 def defects(answers: DataFrame, ids: list[str], answer: str, asked: str) -> DataFrame:
     """``ids`` and ``defect`` of every defective answer."""
-    rows = cut(answers.select(*ids, features(answer, asked).alias("f")).select(*ids, "f.*"), "answers")
+    rows = cut(answers.select(F.struct(*ids).alias("_ids"), features(answer, asked).alias("f")).select("_ids", "f.*"), "answers")
     plain = rows.where("defect IS NULL")
     sound, open_ = plain.where("stop"), plain.where("NOT stop")
     ends = sound.groupBy("ending").agg(F.count(F.lit(1)).alias("n_ending"))
@@ -240,4 +240,5 @@ def defects(answers: DataFrame, ids: list[str], answer: str, asked: str) -> Data
     yes = lambda c: F.coalesce(c, F.lit(False))
     ends_sound = (F.coalesce("n_ending", F.lit(0)) >= 2) | yes(F.col("varied"))
     truncated = ~yes(F.col("whole")) & (yes(F.col("longer")) | (~ends_sound & (yes(F.col("joined")) | yes(F.col("inside")) | F.col("known").isNull() | yes(F.col("spike")))))
-    return rows.where("defect IS NOT NULL").select(*ids, "defect").unionByName(judged.where(truncated).select(*ids, F.lit("truncated").alias("defect")))
+    cut_off = judged.where(truncated).select("_ids", F.lit("truncated").alias("defect"))
+    return rows.where("defect IS NOT NULL").select("_ids", "defect").unionByName(cut_off).select("_ids.*", "defect")

@@ -210,24 +210,23 @@ def _compose(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     marks = np.flatnonzero(ccc)
     if not len(marks):
         return codes, offsets
-    first = np.zeros(len(codes), bool)
-    first[offsets[:-1][offsets[:-1] < len(codes)]] = True
-    lead = (ccc == 0) | first
-    owner = np.maximum.accumulate(np.where(lead, np.arange(len(codes)), 0))
+    opens = np.repeat(offsets[:-1], np.diff(offsets))[marks]
+    of = np.maximum.accumulate(np.where(ccc == 0, np.arange(len(codes)), -1))[marks]
+    bare = of < opens  # marks that open a text have no starter: they are put in order only
+    cluster = np.where(bare, 2 * opens - 1, 2 * of)
     codes = codes.copy()
-    of = owner[marks]
-    free = of != marks  # a mark that opens a text has no starter before it
-    marks, of = marks[free], of[free]
-    order = np.lexsort((ccc[marks], of))
+    order = np.lexsort((ccc[marks], cluster))
     codes[marks] = codes[marks[order]]
     ccc[marks] = ccc[marks[order]]
+    of = cluster
     start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
     rank = np.arange(len(of)) - np.repeat(start, np.diff(np.concatenate([start, [len(of)]])))
     kept = np.ones(len(codes), bool)
     last = np.zeros(len(codes), np.uint8)  # class of the mark left standing before the next one
     for k in range(int(rank.max()) + 1 if len(rank) else 0):
-        m, s = marks[rank == k], of[rank == k]
-        able = (ccc[s] == 0) & ((last[s] == 0) | (last[s] < ccc[m]))
+        here = (rank == k) & ~bare
+        m, s = marks[here], of[here] // 2
+        able = (last[s] == 0) | (last[s] < ccc[m])
         key = codes[s].astype(np.int64) << 21 | codes[m]
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         able &= keys[at] == key

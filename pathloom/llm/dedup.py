@@ -133,8 +133,8 @@ def record_copies(df: DataFrame, payload: str, key: str) -> DataFrame:
 
 
 def deduplicated(df: DataFrame, text: str, key: str, **how) -> DataFrame:
-    """``df`` with one row per class and ``n_copies``, the number of rows it stands for."""
+    """``df`` with one row per class and ``n_copies`` (replacing a column of that name), the number of rows it stands for."""
     found = cut(copies(df, text, key, **how), "copies")
     counted = found.select(F.col("keep_id").alias(key), "n_copies").distinct()
-    kept = df.join(found.select(F.col("copy_id").alias(key)), key, "left_anti")
+    kept = df.drop("n_copies").join(found.select(F.col("copy_id").alias(key)), key, "left_anti")
     return kept.join(counted, key, "left").withColumn("n_copies", F.coalesce("n_copies", F.lit(1)))

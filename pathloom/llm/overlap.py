@@ -1,15 +1,16 @@
 """Equal and nearly equal texts across splits, by blocks of similarity-hash fingerprints.
 
 A text, reduced to lower-case letters and digits, is a set of character n-grams. Its fingerprint
-has ``BLOCKS`` blocks of 64 bits; under permutation t of the n-grams, block t is the similarity
-hash (the sign, bit by bit, of the summed +-1 codes) of the three n-grams that come first. Texts
-with few edits keep most n-grams, so some block stays as it is; blocks are joined across splits,
-and every pair of texts that meets is verified by its edit distance. Before that, equal texts are
+has ``BLOCKS`` blocks of 64 bits; under the permutations of the n-grams that belong to a block, it is
+the similarity hash (the sign, bit by bit, of the summed +-1 codes) of the three n-grams that come
+first, or of two and a fixed third code that breaks ties. Texts with few edits keep most n-grams,
+so some block stays as it is; blocks are joined across splits, and every pair of texts that meets
+is verified by its edit distance. Before that, equal texts are
 collapsed, so copies meet once; after it, members are joined to their text.
 
 N-grams that more than ``COMMON`` of the texts contain carry no similarity and are left out of
-the fingerprint (counted over all texts, in a table of fixed size); texts left with few n-grams
-get further blocks over all of theirs. No bucket is capped.
+the fingerprint (counted over all texts, in a table of fixed size); texts left with few n-grams,
+or with a small share of theirs, get further blocks over all of theirs. No bucket is capped.
 
 Defined cases: null texts, null ids and texts without letters or digits are never cases; a record
 delivered twice counts once; one id on both sides isn't paired with itself.
@@ -28,10 +29,14 @@ from pathloom.llm.charform import code_points, reduced
 from pathloom.storage import cut
 
 BLOCKS = 40
+#: The first blocks take two n-grams (they survive more edits), the others three (fewer texts meet).
+OF_TWO = 16
 #: Share of the texts beyond which an n-gram is common, and a number that never is.
 COMMON, NEVER_COMMON = 0.003, 8
 #: With fewer rare n-grams than FEW the blocks over all n-grams are added; with fewer than LEAST they stand alone.
 FEW, LEAST = 10, 5
+#: The blocks over all n-grams are also added where fewer than this share are rare.
+RARE_SHARE = 0.3
 BUCKETS = 1 << 16
 NEAR = 0.1
 
@@ -98,7 +103,8 @@ def blocks(grams: np.ndarray, offsets: np.ndarray, salt: np.ndarray) -> np.ndarr
     starts = offsets[:-1]
     with np.errstate(over="ignore"):
         for t in range(BLOCKS):
-            a, b, c = (_mix(np.minimum.reduceat(grams * f, starts)) for f in _FACTORS[3 * t : 3 * t + 3])
+            codes = [_mix(np.minimum.reduceat(grams * f, starts)) for f in _FACTORS[3 * t : 3 * t + (2 if t < OF_TWO else 3)]]
+            a, b, c = codes if t >= OF_TWO else (*codes, _FACTORS[t])
             sign = (a & b) | (b & c) | (a & c)
             out[:, t] = _mix(sign + _FACTORS[t] + salt).view(np.int64)
     return out
@@ -120,7 +126,7 @@ def _codes(common: np.ndarray):
             n_rare = np.diff(np.concatenate([[0], np.cumsum(rare)])[offsets])
             n_all = np.diff(offsets)
             salt = _mix(groups.to_numpy().astype(np.uint64) + np.uint64(0x51ED2701))
-            for kept, rows, extra in ((rare, n_rare >= LEAST, 0), (np.ones(len(grams), bool), (n_rare < FEW) & (n_all > 0), 1)):
+            for kept, rows, extra in ((rare, n_rare >= LEAST, 0), (np.ones(len(grams), bool), ((n_rare < FEW) | (n_rare < RARE_SHARE * n_all)) & (n_all > 0), 1)):
                 at = np.flatnonzero(rows)
                 if not len(at):
                     continue

@@ -84,15 +84,18 @@ def _window(capacity: int, last: bool):
         sized, empty = items[items["size"] > 0], items[items["size"] == 0]
         ids, parts, sizes = sized["item"].tolist(), sized["part"].tolist(), sized["size"].tolist()
         base = key[0] << 20
-        rows, at, end = [], 0, 0
+        rows, end = [], None
         for at, own in enumerate(pack(sizes, capacity)):
             space, start = capacity - sum(sizes[i] for i in own), 0
             done = last or space <= capacity * LOOSE
             for i in own:
                 rows.append((ids[i], parts[i], sizes[i], base + at, start, done))
                 start += sizes[i]
-            end = start
-        rows += [(i, p, 0, base + at, end, True) for i, p in zip(empty["item"].tolist(), empty["part"].tolist())]
+            if done:
+                end = (base + at, start, True)
+        # Items without length stand at the end of a container that stays; else they are dealt again.
+        end = end or (base, 0, last)
+        rows += [(i, p, 0, *end) for i, p in zip(empty["item"].tolist(), empty["part"].tolist())]
         return pd.DataFrame(rows, columns=PLACED.names)
 
     return run

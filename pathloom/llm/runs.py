@@ -136,6 +136,9 @@ def repeated_runs(df: DataFrame, actions: str, key: str = "row_id") -> DataFrame
 
 def collapse(df: DataFrame, actions: str) -> DataFrame:
     """``df`` with each run of ``actions`` as its first event, its count and its duration."""
-    found = df.withColumn("_runs", runs(actions))
+    name = "_runs"
+    while name in df.columns:
+        name += "_"
+    found = df.withColumn(name, runs(actions))
     event = lambda r: F.struct(F.get(F.col(actions), r.start_pos).alias("action"), r.start_pos.alias("start_pos"), r.run_length.alias("count"), r.duration_ms.alias("duration_ms"))
-    return found.withColumn(actions, F.transform("_runs", event)).drop("_runs")
+    return found.withColumn(actions, F.transform(name, event)).drop(name)

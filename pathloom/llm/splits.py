@@ -90,15 +90,15 @@ def components(records: DataFrame, ids: Sequence[str], keys: Sequence[str]) -> D
 
     Values of different key columns are told apart by a prefix.
     """
-    keyed = records.select(*ids, F.array_compact(F.array(*[F.concat(F.lit(f"{i}:"), F.col(k).cast("string")) for i, k in enumerate(keys)])).alias("_keys"))
+    keyed = records.select(F.struct(*ids).alias("_ids"), F.array_compact(F.array(*[F.concat(F.lit(f"{i}:"), F.col(k).cast("string")) for i, k in enumerate(keys)])).alias("_keys"))
     keyed = cut(keyed, "keyed")
     pairs = keyed.where(F.size("_keys") > 1).select("_keys").distinct()
     edges = pairs.select(F.explode(F.transform(F.slice("_keys", 2, len(keys)), lambda k: F.struct(F.col("_keys")[0].alias("a"), k.alias("b")))).alias("e")).select("e.*")
     labels = contract(edges)
     # A record without keys gets a label of its own, which also keeps it out of the joins' hot null.
-    own = F.concat(F.lit("row:"), F.concat_ws(":", *[F.col(i).cast("string") for i in ids]))
-    found = keyed.select(*ids, F.coalesce(F.get("_keys", F.lit(0)), own).alias("vertex"))
-    return found.join(labels, "vertex", "left").select(*ids, F.coalesce("label", "vertex").alias("component"))
+    own = F.concat(F.lit("row:"), F.to_json("_ids"))
+    found = keyed.select("_ids", F.coalesce(F.get("_keys", F.lit(0)), own).alias("vertex"))
+    return found.join(labels, "vertex", "left").select("_ids.*", F.coalesce("label", "vertex").alias("component"))
 
 
 def assign(labelled: DataFrame, shares: dict[str, float], seed: int = 0, buckets: int = 1024) -> DataFrame:
@@ -120,7 +120,7 @@ def assign(labelled: DataFrame, shares: dict[str, float], seed: int = 0, buckets
         bound += shares[name] / sum(shares.values())
         rule = (rule.when if rule is not None else F.when)(F.col("at") < bound, name)
     placed = placed.select("component", (rule.otherwise(names[-1]) if rule is not None else F.lit(names[-1])).alias("new_split"))
-    return labelled.join(placed, "component")
+    return labelled.drop("new_split").join(placed, "component")
 
 
 def crossing(labelled: DataFrame, split: str = "split", train: str = "train", held: Sequence[str] = ("validation", "test")) -> DataFrame:
