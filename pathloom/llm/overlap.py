@@ -30,13 +30,13 @@ from pathloom.storage import cut
 
 BLOCKS = 40
 #: The first blocks take two n-grams (they survive more edits), the others three (fewer texts meet).
-OF_TWO = 16
+OF_TWO = 24
 #: Share of the texts beyond which an n-gram is common, and a number that never is.
-COMMON, NEVER_COMMON = 0.003, 8
+COMMON, NEVER_COMMON = 0.01, 8
 #: With fewer rare n-grams than FEW the blocks over all n-grams are added; with fewer than LEAST they stand alone.
 FEW, LEAST = 10, 5
-#: The blocks over all n-grams are also added where fewer than this share are rare.
-RARE_SHARE = 0.3
+#: The blocks over all n-grams are also added where fewer than this share are rare; they all take three.
+RARE_SHARE = 0.4
 BUCKETS = 1 << 16
 NEAR = 0.1
 
@@ -97,14 +97,14 @@ def common_buckets(texts: DataFrame, text: str, total: int) -> np.ndarray:
     return common
 
 
-def blocks(grams: np.ndarray, offsets: np.ndarray, salt: np.ndarray) -> np.ndarray:
+def blocks(grams: np.ndarray, offsets: np.ndarray, salt: np.ndarray, of_two: int = OF_TWO) -> np.ndarray:
     """``BLOCKS`` codes per text (none of the texts is empty of n-grams)."""
     out = np.empty((len(offsets) - 1, BLOCKS), np.int64)
     starts = offsets[:-1]
     with np.errstate(over="ignore"):
         for t in range(BLOCKS):
-            codes = [_mix(np.minimum.reduceat(grams * f, starts)) for f in _FACTORS[3 * t : 3 * t + (2 if t < OF_TWO else 3)]]
-            a, b, c = codes if t >= OF_TWO else (*codes, _FACTORS[t])
+            codes = [_mix(np.minimum.reduceat(grams * f, starts)) for f in _FACTORS[3 * t : 3 * t + (2 if t < of_two else 3)]]
+            a, b, c = codes if t >= of_two else (*codes, _FACTORS[t])
             sign = (a & b) | (b & c) | (a & c)
             out[:, t] = _mix(sign + _FACTORS[t] + salt).view(np.int64)
     return out
@@ -130,7 +130,7 @@ def _codes(common: np.ndarray):
                 at = np.flatnonzero(rows)
                 if not len(at):
                     continue
-                codes = blocks(*_subset(grams, offsets, kept, rows), salt[at] + np.uint64(extra))
+                codes = blocks(*_subset(grams, offsets, kept, rows), salt[at] + np.uint64(extra), 0 if extra else OF_TWO)
                 take = pa.array(np.repeat(at, BLOCKS))
                 yield pa.RecordBatch.from_arrays([pa.array(codes.reshape(-1)), ids.take(take), trains.take(take), evals.take(take)], ["code", "id", "train", "held"])
 
