@@ -120,7 +120,9 @@ def prompt_parts(c: Column) -> Column:
     """``struct<system, user>`` of a text tagged [system] and [user]; untagged text is the user's."""
     pattern = r"(?is)^\s*\[system\](.*?)\[user\](.*)$"
     tagged = c.rlike(pattern)
-    return F.struct(F.when(tagged, F.trim(F.regexp_extract(c, pattern, 1))).alias("system"), F.trim(F.when(tagged, F.regexp_extract(c, pattern, 2)).otherwise(F.regexp_replace(c, r"(?i)^\s*\[(?:system|user)\]\s*", ""))).alias("user"))
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    rest = F.when(tagged, F.regexp_extract(c, pattern, 2)).otherwise(F.regexp_replace(c, r"(?i)^\s*\[(?:system|user)\]\s*", ""))
+    return F.struct(F.when(tagged, strip(F.regexp_extract(c, pattern, 1))).alias("system"), strip(rest).alias("user"))
 
 
 def relative_path(path: Column, root: str) -> Column:

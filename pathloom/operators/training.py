@@ -68,7 +68,7 @@ def label_mask(source: Column, target: Column, ignore: int = -100) -> Column:
 def blocks(ids: Column, size: int) -> Column:
     """An id list cut into whole blocks; the rest that fills none is dropped, as pretraining rows are."""
     n = F.floor(F.size(ids) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(ids, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<array<int>>"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(ids, i * size + 1, F.lit(size)))).otherwise(F.slice(F.array(ids), 1, 0))
 
 
 def token_accuracy(predicted: Column, labels: Column, ignore: int = -100) -> Column:

@@ -185,8 +185,8 @@ def prompt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROMPTS = r"""
-SELECT doc_id, CASE WHEN ok THEN length(trim(regexp_extract(text, '(?is)^\s*\[system\](.*?)\[user\](.*)$', 1), ' ')) END AS n_system,
-  length(trim(CASE WHEN ok THEN regexp_extract(text, '(?is)^\s*\[system\](.*?)\[user\](.*)$', 2) ELSE regexp_replace(text, '(?i)^\s*\[(?:system|user)\]\s*', '') END, ' ')) AS n_user
+SELECT doc_id, CASE WHEN ok THEN length(regexp_replace(regexp_extract(text, '(?is)^\s*\[system\](.*?)\[user\](.*)$', 1), '^\s+|\s+$', '', 'g')) END AS n_system,
+  length(regexp_replace(CASE WHEN ok THEN regexp_extract(text, '(?is)^\s*\[system\](.*?)\[user\](.*)$', 2) ELSE regexp_replace(text, '(?i)^\s*\[(?:system|user)\]\s*', '') END, '^\s+|\s+$', '', 'g')) AS n_user
 FROM (SELECT *, regexp_matches(text, '(?is)^\s*\[system\](.*?)\[user\](.*)$') AS ok FROM documents WHERE starts_with(text, '[system]'))
 """
 
