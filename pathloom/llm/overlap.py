@@ -30,7 +30,7 @@ from pathloom.storage import cut
 
 BLOCKS = 40
 #: The first blocks take two n-grams (they survive more edits), the others three (fewer texts meet).
-OF_TWO = 24
+OF_TWO = 4
 #: Share of the texts beyond which an n-gram is common, and a number that never is.
 COMMON, NEVER_COMMON = 0.01, 8
 #: With fewer rare n-grams than FEW the blocks over all n-grams are added; with fewer than LEAST they stand alone.
