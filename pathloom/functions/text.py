@@ -133,7 +133,7 @@ def relative_path(path: Column, root: str) -> Column:
 
 def merge_sources(a: Column, b: Column) -> Column:
     """Union of two +-joined tag lists in order of first appearance."""
-    tags = F.transform(F.split(F.concat_ws("+", a, b), r"\+"), F.trim)
+    tags = F.transform(F.split(F.concat_ws("+", a, b), r"\+"), lambda x: F.trim(x))
     return F.array_join(F.array_distinct(F.filter(tags, lambda x: x != "")), "+")
 
 
