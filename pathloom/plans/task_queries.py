@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import actions, scores, text
-from pathloom.operators import causal, preference, quality, ranking, sampling, stats, training
+from pathloom.operators import causal, evaluation, exports, preference, quality, ranking, retrieval, sampling, stats, training
 from pathloom.storage import cut, table
 
 R6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
@@ -438,7 +438,38 @@ def knapsack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.greedy_packs(rows, "row_id", "size", 512)
 
 
+def retrieval_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates per relation and eligibility that the causal pools of held-out tasks hold."""
+    tasks = table(spark, sf_dir, "listwise_tasks").where("intent IS NOT NULL AND episode_time IS NOT NULL").select(
+        F.col("row_id").cast("string").alias("task_id"), "user_id", F.col("episode_time").alias("time"), "scenario", "intent", "intent_class", "app", "target_split")
+    pools = retrieval.retrieval_pools(tasks.where("target_split IN ('validation', 'test')"), tasks.where("target_split = 'train'"))
+    return pools.groupBy("relation", "eligibility").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("similarity"), 6).alias("mean_similarity"))
+
+
+def generation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap scores of rejected answers against chosen ones, per source."""
+    pairs = table(spark, sf_dir, "preference_pairs").select("candidate_source", evaluation.generation_scores(F.col("rejected.content"), F.col("chosen.content")).alias("s"))
+    return pairs.groupBy("candidate_source").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f"s.{n}"), 6).alias(n) for n in ("bleu4", "rouge1", "rouge2", "rougel")])
+
+
+def grouped_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate groups as training rows: size, index and share of the oracle."""
+    rows = table(spark, sf_dir, "review_candidates").where("candidate_id IS NOT NULL")
+    best = causal.keep_first(rows.where("group_id IS NOT NULL AND candidate_source IN ('oracle', 'same_user', 'context')"), ["group_id", "candidate_source"], [F.col("current_target_probability").desc_nulls_last(), F.col("row_id")])
+    out = exports.grouped(best, "group_id", "candidate_id", "candidate_text", "candidate_source", "current_target_probability")
+    return out.select("group_id", F.size("candidates").alias("n"), "oracle_index", F.round(F.get("target_distribution", F.col("oracle_index")), 6).alias("oracle_share"))
+
+
+GROUPED = """
+WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, candidate_source ORDER BY current_target_probability DESC NULLS LAST, row_id) AS r FROM review_candidates WHERE candidate_id IS NOT NULL AND group_id IS NOT NULL AND candidate_source IN ('oracle', 'same_user', 'context')) WHERE r = 1),
+g AS (SELECT group_id, count(*) AS n, sum(coalesce(current_target_probability, 0)) AS t, count(*) FILTER (candidate_source = 'oracle') AS o, list({'p': -coalesce(current_target_probability, 0), 'c': candidate_id, 's': candidate_source} ORDER BY -coalesce(current_target_probability, 0), candidate_id, candidate_text) AS l FROM b GROUP BY group_id),
+x AS (SELECT *, list_position(list_transform(l, lambda z: z.s), 'oracle') AS i FROM g WHERE n >= 2 AND o = 1 AND t > 0)
+SELECT group_id, CAST(n AS INTEGER) AS n, CAST(i - 1 AS INTEGER) AS oracle_index, round(-l[i].p / t, 6) AS oracle_share FROM x
+"""
+
+
 QUERIES = {
+    "retrieval_pools": (retrieval_pools, None), "generation_report": (generation_report, None), "grouped_tasks": (grouped_tasks, GROUPED),
     "latest_fraction_split": (latest_fraction_split, SPLIT), "split_leakage_audit": (split_leakage_audit, LEAKAGE), "unseen_users": (unseen_users, UNSEEN),
     "hour_similarity_context": (hour_similarity_context, HOURS), "bigram_dice_retrieval": (bigram_dice_retrieval, DICE), "retrieval_modes_report": (retrieval_modes_report, MODES),
     "oracle_negative_pairs": (oracle_negative_pairs, ORACLE_PAIRS), "weight_assign_v3": (weight_assign_v3, WEIGHTS), "clamped_policy": (clamped_policy, CLAMPED),
