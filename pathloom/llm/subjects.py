@@ -37,6 +37,8 @@ LEAST_SEEN = 3
 #: Share of a document's placed sentences that makes its subject a weak label, and how many it needs.
 AGREEMENT, LEAST_PLACED = 0.8, 2
 SHARE = 0.25
+#: Documents scored at a time, which bounds a worker's memory whatever the Arrow batch holds.
+CHUNK = 400
 ROUNDS, STEPS, RATE, DECAY = 3, 40, 0.2, 1e-5
 
 _SPLIT = re.compile(r"(?<=[.!?])[\"”')]*\s+|(?<=[。！？])|\n+|(?<=[;；])\s*\n")
@@ -68,7 +70,7 @@ def sentences(text: str) -> list[str]:
     return [s for s in parts if s]
 
 
-@lru_cache(maxsize=1 << 20)
+@lru_cache(maxsize=1 << 17)
 def _bucket(gram: str) -> int:
     return xxhash.xxh32_intdigest(gram) & (BUCKETS - 1)
 
@@ -105,9 +107,11 @@ class Model:
     def scores(self, found: list[list[int]]) -> np.ndarray:
         """Probability per sentence and subject."""
         flat, offsets = bags(found)
-        total = np.zeros((len(flat) + 1, len(self.subjects)), np.float64)
-        np.cumsum(self.weights[flat], axis=0, out=total[1:])
-        return 1 / (1 + np.exp(-(total[offsets[1:]] - total[offsets[:-1]] + self.bias)))
+        total = np.tile(self.bias.astype(np.float64), (len(found), 1))
+        some = np.flatnonzero(np.diff(offsets))
+        if len(some):
+            total[some] += np.add.reduceat(self.weights[flat], offsets[:-1][some], axis=0)
+        return 1 / (1 + np.exp(-total))
 
 
 def fit(found: list[list[int]], labels: np.ndarray, subjects: list[str]) -> Model:
@@ -184,27 +188,29 @@ def train(examples: list[tuple[str, str]], sample: list[str]) -> Model:
 
 
 def _classify(model: Model):
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, texts = batch.column(0), batch.column(1)
+        found, owner = [], []
+        for i, text in enumerate(convert(texts, "form").to_pylist()):
+            own = sentences(text) if text else []
+            found += map(grams, own)
+            owner += [i] * len(own)
+        n = np.zeros((len(texts), len(model.subjects)), np.int64)
+        placed = np.zeros(len(texts), np.int64)
+        if found:
+            hit = model.scores(found) >= model.threshold
+            np.add.at(n, owner, hit)
+            placed += np.bincount(owner, hit.any(axis=1), len(texts)).astype(np.int64)
+        rows, kinds = np.nonzero(n)
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(rows, pa.int64())), pa.array([model.subjects[j] for j in kinds], pa.string()), pa.array(n[rows, kinds]), pa.array(placed[rows])],
+            ["id", "subject", "n_sentences", "n_placed"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            found, owner = [], []
-            for i, text in enumerate(convert(texts, "form").to_pylist()):
-                own = sentences(text) if text else []
-                found += map(grams, own)
-                owner += [i] * len(own)
-            rows, kinds, counts, placed = [], [], [], []
-            if found:
-                hit = model.scores(found) >= model.threshold
-                at = np.array(owner)
-                n = np.zeros((len(texts), len(model.subjects)), np.int64)
-                np.add.at(n, at, hit)
-                any_ = np.bincount(at, hit.any(axis=1), len(texts)).astype(np.int64)
-                rows, kinds = np.nonzero(n)
-                counts, placed = n[rows, kinds], any_[rows]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows, pa.int64())), pa.array([model.subjects[j] for j in kinds], pa.string()), pa.array(counts, pa.int64()), pa.array(placed, pa.int64())],
-                ["id", "subject", "n_sentences", "n_placed"],
-            )
+            for start in range(0, batch.num_rows, CHUNK):
+                yield some(batch.slice(start, CHUNK))
 
     return run
 
