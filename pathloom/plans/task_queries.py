@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import actions, scores, text
-from pathloom.operators import causal, evaluation, exports, preference, quality, ranking, retrieval, sampling, stats, training
+from pathloom.operators import causal, evaluation, exports, preference, quality, ranking, retrieval, rules, sampling, stats, training
 from pathloom.storage import cut, table
 
 R6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
@@ -468,7 +468,51 @@ SELECT group_id, CAST(n AS INTEGER) AS n, CAST(i - 1 AS INTEGER) AS oracle_index
 """
 
 
+def task_issue_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rollup(quality.issues(table(spark, sf_dir, "listwise_tasks"), ["row_id"], rules.source_tasks()))
+
+
+def _counts(table_name: str, parts: list[tuple[str, str, str]]) -> str:
+    """SQL that counts the rows of a table for each (code, severity, condition)."""
+    rows = " UNION ALL ".join(f"SELECT '{code}' AS code, '{severity}' AS severity FROM {table_name} WHERE {condition}" for code, severity, condition in parts)
+    return f"SELECT code, severity, count(*) AS n FROM ({rows}) GROUP BY ALL"
+
+
+_H = "coalesce(history_episode_ids, CAST([] AS VARCHAR[]))"
+TASK_ISSUES = _counts("listwise_tasks", [
+    *[(code, severity, f"coalesce(trim({c}, ' '), '') = ''") for code, severity, c in (("missing_task_id", "block", "task_id"), ("missing_intent", "block", "intent"), ("missing_user", "block", "user_id"), ("missing_scenario", "warn", "scenario"), ("missing_class", "warn", "intent_class"), ("missing_app", "warn", "app"))],
+    ("bad_time", "block", "NOT regexp_matches(coalesce(episode_time, ''), '^[0-9]{8}_[0-9]{6}$')"), ("unknown_split", "block", "coalesce(target_split, '') NOT IN ('train', 'validation', 'test')"),
+    ("history_not_past", "block", f"len(list_filter({_H}, lambda h: split_part(h, '__', 2) >= episode_time)) > 0"), ("history_of_another", "block", f"len(list_filter({_H}, lambda h: split_part(h, '__', 1) <> user_id)) > 0"),
+    ("history_holds_target", "block", f"list_contains({_H}, episode_id)"), ("history_repeats", "warn", f"len(list_distinct({_H})) < len({_H})"),
+    ("episode_differs_from_key", "warn", "episode_id <> concat_ws('__', user_id, episode_time)"), ("missing_profile", "warn", "user_profile IS NULL"), ("no_history", "warn", f"len({_H}) = 0"),
+])
+
+
+def pair_issue_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rollup(quality.issues(table(spark, sf_dir, "preference_pairs"), ["row_id"], rules.preference_rows()))
+
+
+PAIR_ISSUES = _counts("preference_pairs", [
+    ("missing_prompt", "block", "coalesce(len(messages), 0) = 0"), ("wrong_roles", "block", "messages[len(messages)].role <> 'user'"), ("missing_chosen", "block", "coalesce(trim(chosen.content, ' '), '') = ''"),
+    ("missing_rejected", "block", "coalesce(trim(rejected.content, ' '), '') = ''"), ("same_answers", "block", "chosen.content = rejected.content"), ("answer_not_by_assistant", "block", "chosen.role <> 'assistant' OR rejected.role <> 'assistant'"),
+    ("missing_weight", "warn", "papo_weight IS NULL"), ("weight_out_of_range", "warn", "papo_weight NOT BETWEEN 0.1e0 AND 5"), ("target_out_of_range", "block", "papo_target_probability NOT BETWEEN 0.5e0 AND 1"), ("missing_source", "warn", "coalesce(trim(candidate_source, ' '), '') = ''"),
+])
+
+
+def chat_issue_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rollup(quality.issues(table(spark, sf_dir, "sft_messages"), ["row_id"], rules.chat_rows()))
+
+
+_R = "list_transform(coalesce(messages, []), lambda m: m.role)"
+CHAT_ISSUES = _counts("sft_messages", [
+    ("no_messages", "block", "coalesce(len(messages), 0) = 0"), ("last_not_assistant", "block", "messages[len(messages)].role <> 'assistant'"), ("system_not_first", "block", f"coalesce(list_position({_R}, 'system'), 0) > 1"),
+    ("several_systems", "block", f"len(list_filter({_R}, lambda r: r = 'system')) > 1"), ("missing_answer", "block", "coalesce(trim(messages[len(messages)].content, ' '), '') = ''"), ("missing_weight", "warn", "papo_listwise_weight IS NULL"),
+    ("weight_out_of_range", "warn", "papo_listwise_weight NOT BETWEEN 0 AND 1"), ("missing_source", "warn", "coalesce(trim(candidate_source, ' '), '') = ''"), ("has_images", "info", "coalesce(len(images), 0) > 0"),
+])
+
+
 QUERIES = {
+    "task_issue_rollup": (task_issue_rollup, TASK_ISSUES), "pair_issue_rollup": (pair_issue_rollup, PAIR_ISSUES), "chat_issue_rollup": (chat_issue_rollup, CHAT_ISSUES),
     "retrieval_pools": (retrieval_pools, None), "generation_report": (generation_report, None), "grouped_tasks": (grouped_tasks, GROUPED),
     "latest_fraction_split": (latest_fraction_split, SPLIT), "split_leakage_audit": (split_leakage_audit, LEAKAGE), "unseen_users": (unseen_users, UNSEEN),
     "hour_similarity_context": (hour_similarity_context, HOURS), "bigram_dice_retrieval": (bigram_dice_retrieval, DICE), "retrieval_modes_report": (retrieval_modes_report, MODES),
