@@ -52,3 +52,25 @@ def interleave(sources: dict[str, DataFrame], key: str, until: str = "shortest")
         return out
     ends = out.groupBy("source").agg(F.max("turn").alias("last")).agg(F.min("last").alias("last"))
     return out.join(F.broadcast(ends), out.turn <= ends["last"]).drop("last")
+
+
+def resampled(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
+    """``rows`` rows of ``df``: each as often as the ratio says, the remainder by the order of a hash.
+
+    Whole copies are exploded; only the remainder is chosen, by a top-k over hashes.
+    """
+    total = df.count()
+    if not total or rows <= 0:
+        return df.limit(0).withColumn("copy", F.lit(0))
+    whole, rest = divmod(rows, total)
+    copies = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(whole)))) if whole else df.limit(0).withColumn("copy", F.lit(0))
+    extra = df.orderBy(seeded_order(seed, F.col(key)), key).limit(rest).withColumn("copy", F.lit(whole + 1))
+    return copies.unionByName(extra)
+
+
+def at_positions(df: DataFrame, order: Sequence[Column], first: int, last: int, step: int = 1) -> DataFrame:
+    """Rows at positions first, first + step, ... below last of a total order, from 0."""
+    from pathloom.operators.ranking import numbered
+
+    rows = numbered(df, order, "_pos").withColumn("_pos", F.col("_pos") - 1)
+    return rows.where((F.col("_pos") >= first) & (F.col("_pos") < last) & ((F.col("_pos") - first) % step == 0)).drop("_pos")

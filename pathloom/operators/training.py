@@ -75,3 +75,26 @@ def token_accuracy(predicted: Column, labels: Column, ignore: int = -100) -> Col
     """Share of counted positions where the prediction before meets the label."""
     pairs = F.filter(F.zip_with(F.slice(predicted, 1, F.greatest(F.size(predicted) - 1, F.lit(0))), F.slice(labels, 2, F.size(labels)), lambda p, y: F.struct(p.alias("p"), y.alias("y"))), lambda x: x.y != ignore)
     return F.when(F.size(pairs) > 0, F.size(F.filter(pairs, lambda x: x.p == x.y)) / F.size(pairs))
+
+
+def token_batches(df: DataFrame, key: str, size: str, budget: int, padded: bool = True, batch: int = 10_000) -> DataFrame:
+    """``key``, ``batch``, ``step``: rows in order filled into steps of a token budget.
+
+    A padded step costs its longest row times its rows, a padding-free one the sum of its rows; a
+    row beyond the budget is a step of its own. Rows are dealt to batches by hash, as what a step
+    holds depends on all before it.
+    """
+    batches = max(1, -(-df.count() // batch))
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        out, step, longest, n, total = [], 0, 0, 0, 0
+        for k, s in zip(*(rows.sort_values(key)[c].tolist() for c in (key, size))):
+            cost = max(longest, s) * (n + 1) if padded else total + s
+            if n and cost > budget:
+                step, longest, n, total = step + 1, 0, 0, 0
+            longest, n, total = max(longest, s), n + 1, total + s
+            out.append((k, int(rows["batch"].iloc[0]), step))
+        return pd.DataFrame(out, columns=[key, "batch", "step"])
+
+    dealt = df.select(key, F.coalesce(size, F.lit(0)).alias(size), F.pmod(F.xxhash64(key), F.lit(batches)).cast("int").alias("batch"))
+    return dealt.groupBy("batch").applyInPandas(fill, f"{key} {dict(df.dtypes)[key]}, batch int, step int")
