@@ -38,6 +38,8 @@ UNSEEN = "034F 115F 1160 17B4 17B5 180B 180C 180D 180F 3164 FFA0"
 BREAKS = "0085 2028 2029"
 
 SIZE = 0x110000
+#: Bytes of text converted at a time.
+CHUNK_BYTES = 1 << 20
 # Blocks that hold anything but characters which stand for themselves (ideographs, syllables, private use).
 _SCANNED = (range(0x3400), range(0xA4D0, 0xAC00), range(0xD7B0, 0xD800), range(0xF900, 0x14000), range(0x16000, 0x17000), range(0x1BC00, 0x1F300), range(0x1FB00, 0x1FC00), range(0x2F800, 0x2FA20), range(0xE0000, 0xE1000))
 _L, _V, _T, _S = 0x1100, 0x1161, 0x11A7, 0xAC00
@@ -240,8 +242,19 @@ def convert_codes(codes: np.ndarray, offsets: np.ndarray, form: str) -> tuple[np
     return _compose(*_expand(codes, offsets, _table(form)))
 
 
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> list[pa.Array]:
+    """Slices of about ``size`` bytes, so that temporary arrays stay small however long the texts are."""
+    rows = max(1, len(texts) * size // max(1, texts.nbytes))
+    return [texts.slice(at, rows) for at in range(0, len(texts), rows)] or [texts]
+
+
 def convert(texts: pa.Array, form: str) -> pa.Array:
     """``texts`` in one consistent form; nulls stay null."""
+    parts = chunks(texts)
+    return _convert(texts, form) if len(parts) == 1 else pa.concat_arrays([_convert(part, form) for part in parts])
+
+
+def _convert(texts: pa.Array, form: str) -> pa.Array:
     codes, offsets = code_points(texts)
     plain = len(codes) and codes.max() < 0x80
     if plain and form == "form":
@@ -284,6 +297,11 @@ def invariants(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     The histogram is the sum of one random 64-bit weight per letter, so it doesn't depend on
     order and equals for texts with equal reduced forms; unequal texts may share it.
     """
+    parts = [_invariants(part) for part in chunks(texts)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _invariants(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     codes, offsets = code_points(texts)
     weight, count = _weights()
     with np.errstate(over="ignore"):

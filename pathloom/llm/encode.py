@@ -25,12 +25,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.llm.charform import chunks
+
 #: Folder of vocabulary files; a parameter, as the files aren't part of this repository.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: the split pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Distinct fragments remembered by a worker between batches; beyond it the memory starts anew.
 REMEMBERED = 400_000
+#: Bytes of text encoded at a time.
+CHUNK_BYTES = 4 << 20
 # UTF-8 of the blanks beyond ASCII.
 _BLANKS = [bytes.fromhex(x) for x in "C285 C2A0 E19A80 E280A8 E280A9 E280AF E2819F E38080".split()] + [b"\xe2\x80" + bytes([x]) for x in range(0x80, 0x8B)]
 _ASCII_BLANKS = b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
@@ -90,6 +94,10 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and how many each text has."""
+        parts = [self._encode(part) for part in chunks(texts, CHUNK_BYTES)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         pieces, per_text = self.fragments(texts)
         if not len(pieces):
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
