@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import actions, scores, text
-from pathloom.operators import causal, evaluation, exports, preference, quality, ranking, retrieval, rules, sampling, stats, training
+from pathloom.operators import causal, evaluation, exports, nearest, preference, quality, ranking, retrieval, rules, sampling, stats, training
 from pathloom.storage import cut, table
 
 R6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
@@ -90,7 +90,8 @@ SELECT row_id, reference, similarity FROM (SELECT *, row_number() OVER (PARTITIO
 def retrieval_modes_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earlier tasks of the same class and app, scored once and reported per retrieval mode.
 
-    Both sides of the cross-user modes share class, app and scenario, which keeps the join an equi join.
+    As in its SQL, both sides of every mode share class, app and scenario, which leaves out most references;
+    :func:`retrieval_modes_whole` has all six modes without that restriction.
     """
     keys = ["intent_class", "app", "scenario"]
     tasks = table(spark, sf_dir, "listwise_tasks").where("user_id IS NOT NULL AND intent IS NOT NULL AND intent_class IS NOT NULL AND app IS NOT NULL AND scenario IS NOT NULL").select("row_id", "user_id", "episode_time", "intent", *keys, F.array_sort(text.bigrams(text.key_ascii(F.col("intent")))).alias("grams"))
@@ -113,6 +114,37 @@ SELECT mode, count(*) AS n, round(avg(similarity), 5) AS mean_similarity FROM r
 """
 
 
+def retrieval_modes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six retrieval modes over every earlier task of the user, or every task of another user and age group.
+
+    Age groups are those of the tasks' profiles; tasks without one have no cross-user reference.
+    """
+    tasks = table(spark, sf_dir, "listwise_tasks").where("user_id IS NOT NULL AND intent IS NOT NULL")
+    tasks = cut(tasks.select("row_id", "user_id", F.element_at("user_profile", F.lit("age_group")).alias("age"), "episode_time", "intent", text.key_ascii(F.col("intent")).alias("key")), "tasks")
+    order = F.when(F.col("episode_time").isNotNull(), F.dense_rank().over(W.partitionBy("user_id").orderBy("episode_time")))
+    own = nearest.best_of_same_user(tasks.withColumn("place", order), "user_id", F.col("place"), "key", "intent").select("row_id", F.when(F.col("mode") == "same", "same_user_top1").otherwise("same_user_no_same_intent").alias("mode"), "similarity")
+    others = nearest.best_of_other_group(tasks, "user_id", "age", "episode_time", "key").select("row_id", F.when(F.col("mode") == "any", "cross_user_top1").otherwise("cross_user_strict_past").alias("mode"), "similarity")
+    drawn = nearest.drawn_same_user(tasks, "user_id", "episode_time").select("*", F.lit("random_same_user").alias("mode")).unionByName(nearest.drawn_other_group(tasks, "user_id", "age").select("*", F.lit("random_cross_user").alias("mode")))
+    grams = tasks.select("row_id", text.bigrams(F.col("key")).alias("grams"))
+    drawn = drawn.join(grams, "row_id").join(grams.toDF("reference", "theirs"), "reference").select("row_id", "mode", F.round(text.dice(F.col("grams"), F.col("theirs")), 6).alias("similarity"))
+    return own.unionByName(others).unionByName(drawn).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("similarity"), 5).alias("mean_similarity"))
+
+
+_UNIT = "CAST('0x' || substr(md5('42:{}:' || {}), 1, 8) AS BIGINT) / 4294967296e0"
+MODES_WHOLE = f"""
+WITH t AS (SELECT row_id, user_id, user_profile['age_group'] AS age, episode_time AS tm, intent, regexp_replace(lower(intent), '[^a-z0-9]', '', 'g') AS k FROM listwise_tasks WHERE user_id IS NOT NULL AND intent IS NOT NULL),
+g AS (SELECT *, {_GRAMS} AS grams FROM t),
+p AS (SELECT a.row_id, b.row_id AS ref, a.user_id = b.user_id AS same, b.age <> a.age AS far, b.tm < a.tm AS past, a.intent <> b.intent AS other, b.tm AS rt, b.user_id AS ru,
+    round(CASE WHEN len(a.grams) > 0 AND len(b.grams) > 0 THEN 2e0 * len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams)) ELSE 0 END, 6) AS similarity FROM g a, g b),
+m AS (SELECT *, 'same_user_top1' AS mode FROM p WHERE same AND past UNION ALL SELECT *, 'same_user_no_same_intent' FROM p WHERE same AND past AND other
+  UNION ALL SELECT *, 'cross_user_top1' FROM p WHERE NOT same AND far UNION ALL SELECT *, 'cross_user_strict_past' FROM p WHERE NOT same AND far AND past),
+d AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY rt, ref) - 1 AS pos, floor({_UNIT.format('same', 'row_id')} * count(*) OVER (PARTITION BY row_id)) AS want, 'random_same_user' AS mode FROM p WHERE same AND past
+  UNION ALL SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY ru, ref) - 1, floor({_UNIT.format('cross', 'row_id')} * count(*) OVER (PARTITION BY row_id)), 'random_cross_user' FROM p WHERE NOT same AND far),
+r AS (SELECT row_id, mode, max(similarity) AS similarity FROM m GROUP BY ALL UNION ALL SELECT row_id, mode, similarity FROM d WHERE pos = want)
+SELECT mode, count(*) AS n, round(avg(similarity), 5) AS mean_similarity FROM r GROUP BY mode
+"""
+
+
 def oracle_negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each group's oracle against its two best negatives that it beats by more than a margin."""
     rows = table(spark, sf_dir, "review_candidates").where("group_id IS NOT NULL AND candidate_id IS NOT NULL AND reward_total IS NOT NULL AND NOT isnan(reward_total)")
@@ -515,7 +547,7 @@ QUERIES = {
     "task_issue_rollup": (task_issue_rollup, TASK_ISSUES), "pair_issue_rollup": (pair_issue_rollup, PAIR_ISSUES), "chat_issue_rollup": (chat_issue_rollup, CHAT_ISSUES),
     "retrieval_pools": (retrieval_pools, None), "generation_report": (generation_report, None), "grouped_tasks": (grouped_tasks, GROUPED),
     "latest_fraction_split": (latest_fraction_split, SPLIT), "split_leakage_audit": (split_leakage_audit, LEAKAGE), "unseen_users": (unseen_users, UNSEEN),
-    "hour_similarity_context": (hour_similarity_context, HOURS), "bigram_dice_retrieval": (bigram_dice_retrieval, DICE), "retrieval_modes_report": (retrieval_modes_report, MODES),
+    "hour_similarity_context": (hour_similarity_context, HOURS), "bigram_dice_retrieval": (bigram_dice_retrieval, DICE), "retrieval_modes_report": (retrieval_modes_report, MODES), "retrieval_modes_whole": (retrieval_modes_whole, MODES_WHOLE),
     "oracle_negative_pairs": (oracle_negative_pairs, ORACLE_PAIRS), "weight_assign_v3": (weight_assign_v3, WEIGHTS), "clamped_policy": (clamped_policy, CLAMPED),
     "frequency_cap": (frequency_cap, CAP), "verbatim_copy_gate": (verbatim_copy_gate, VERBATIM), "quality_issue_rollup": (quality_issue_rollup, ISSUES),
     "structural_text_defects": (structural_text_defects, None), "exact_dup_canonicalise": (exact_dup_canonicalise, DUPLICATES), "stratified_round_robin": (stratified_round_robin, ROUND_ROBIN),
