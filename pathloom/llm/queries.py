@@ -113,10 +113,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+_LOOKS = (("listwise_tasks", "intent"), ("review_candidates", "candidate_text"))
+
+
 def p6_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All intents in consistent character form, with whether that changed them."""
-    tasks = table(spark, sf_dir, "listwise_tasks").select("row_id", "intent", F.col("intent").alias("form"))
-    return variants.consistent(tasks, "form").select("row_id", "form", (~F.col("form").eqNullSafe(F.col("intent"))).alias("changed"))
+    """All intents and candidate texts in consistent character form, with whether that changed them."""
+    out = None
+    for name, text in _LOOKS:
+        part = variants.consistent(table(spark, sf_dir, name).select("row_id", F.col(text).alias("text"), F.col(text).alias("form")), "form")
+        part = part.select(F.lit(name).alias("table_name"), "row_id", "form", (~F.col("form").eqNullSafe(F.col("text"))).alias("changed"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _REPEATED = (("listwise_tasks", "intent", "row_id"), ("review_candidates", "candidate_text", "row_id"), ("raw_task_lines", "payload", "line_id"))

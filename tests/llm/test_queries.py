@@ -33,3 +33,13 @@ def test_places_equal_sql(spark):
 def test_runs_stay_in_the_scan(spark):
     plan = queries.p1_found(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ui_tree" not in plan
+
+
+def test_consistent_forms_of_both_tables(spark):
+    df = queries.p6_consistent(spark, SF)
+    assert df.columns == ["table_name", "row_id", "form", "changed"]
+    con = duckdb.connect()
+    for name in ("listwise_tasks", "review_candidates"):
+        own = df.where(f"table_name = '{name}'")
+        assert sorted(r.row_id for r in own.select("row_id").collect()) == sorted(r[0] for r in con.execute(f"SELECT row_id FROM '{SF}/{name}.parquet'").fetchall())
+        assert own.where("changed").count() and own.where("NOT changed").count()
