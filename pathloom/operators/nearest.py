@@ -79,11 +79,11 @@ def _ints(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).to_numpy()
 
 
-def best_of_same_user(df: DataFrame, user: str, order: Column, key: str, other: str | None = None, block: int = BLOCK) -> DataFrame:
+def best_of_same_user(df: DataFrame, user: str, order: Column, key: str, other: str | None = None, block: int = BLOCK, late: bool = True) -> DataFrame:
     """``row_id, mode, reference, similarity``: of all of the user's rows of a lower order the most alike.
 
-    ``order`` is a whole number within the user; ties go to the greater one, then to the greater
-    row_id. With ``other`` a second mode, 'other', takes only references that differ in that column.
+    ``order`` is a whole number within the user; ties go to the greater one (if ``late``), then to
+    the greater row_id. With ``other`` a second mode, 'other', takes only references that differ in that column.
     """
     rows = df.where(F.col(user).isNotNull() & F.col(key).isNotNull() & order.isNotNull())
     rows = rows.select(F.col("row_id"), F.col(user).alias("u"), order.cast("bigint").alias("o"), F.col(key).alias("k"), (F.xxhash64(other) if other else F.lit(0).cast("bigint")).alias("t"))
@@ -97,7 +97,7 @@ def best_of_same_user(df: DataFrame, user: str, order: Column, key: str, other:
         if not len(left) or not len(right):
             return _table([], [], None, None)
         a = left.sort_by("u").combine_chunks()
-        b = right.sort_by([("u", "ascending"), ("o", "descending"), ("row_id", "descending")]).combine_chunks()
+        b = right.sort_by([("u", "ascending"), *([("o", "descending")] if late else []), ("row_id", "descending")]).combine_chunks()
         users, first = np.unique(np.asarray(a.column("u").to_pylist(), object).astype(str), return_index=True)
         theirs, start = np.unique(np.asarray(b.column("u").to_pylist(), object).astype(str), return_index=True)
         ends, stops = np.append(first[1:], len(a)), np.append(start[1:], len(b))
@@ -116,9 +116,12 @@ def best_of_same_user(df: DataFrame, user: str, order: Column, key: str, other:
         return pa.concat_tables(tables) if tables else _table([], [], None, None)
 
     found = targets.groupBy("g", "tc", "rc").cogroup(references.groupBy("g", "tc", "rc")).applyInArrow(run, _FOUND)
-    tie = rows.select(F.col("row_id").alias("reference"), "o")
-    best = found.withColumn("similarity", F.round("similarity", 6)).join(tie, "reference")
-    return best.groupBy("row_id", "mode").agg(F.max(F.struct("similarity", "o", "reference")).alias("b")).select("row_id", "mode", "b.reference", "b.similarity")
+    found = found.withColumn("similarity", F.round("similarity", 6))
+    if not late:
+        best = F.struct("similarity", "reference")
+    else:
+        found, best = found.join(rows.select(F.col("row_id").alias("reference"), "o"), "reference"), F.struct("similarity", "o", "reference")
+    return found.groupBy("row_id", "mode").agg(F.max(best).alias("b")).select("row_id", "mode", "b.reference", "b.similarity")
 
 
 def best_of_other_group(df: DataFrame, user: str, group: str, time: str, key: str, block: int = BLOCK) -> DataFrame:

@@ -69,7 +69,10 @@ SELECT row_id, round(coalesce(sim, 0), 6) AS hour_similarity, round(0.5e0 * coal
 
 
 def bigram_dice_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the user's last ten earlier tasks the one most alike by character pairs of the intent."""
+    """Of the user's last ten earlier tasks the one most alike by character pairs of the intent.
+
+    The window is its SQL's; :func:`bigram_dice_whole` compares with all earlier tasks.
+    """
     tasks = table(spark, sf_dir, "listwise_tasks").where("user_id IS NOT NULL AND intent IS NOT NULL")
     keyed = tasks.select("row_id", "user_id", "episode_time", text.bigrams(text.key_ascii(F.col("intent"))).alias("grams"))
     seen = causal.latest_before(keyed, ["user_id"], [F.col("episode_time"), F.col("row_id")], 10, F.struct("row_id", "grams"), "past")
@@ -87,6 +90,23 @@ SELECT row_id, reference, similarity FROM (SELECT *, row_number() OVER (PARTITIO
 """
 
 
+def bigram_dice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all the user's earlier tasks the one most alike by character pairs of the intent."""
+    tasks = table(spark, sf_dir, "listwise_tasks").where("user_id IS NOT NULL AND intent IS NOT NULL")
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("episode_time", "row_id"))
+    keyed = cut(tasks.select("row_id", "user_id", place.alias("place"), text.key_ascii(F.col("intent")).alias("key")), "keyed")
+    return nearest.best_of_same_user(keyed, "user_id", F.col("place"), "key", late=False).select("row_id", "reference", "similarity")
+
+
+DICE_WHOLE = f"""
+WITH t AS (SELECT row_id, user_id, regexp_replace(lower(intent), '[^a-z0-9]', '', 'g') AS k, row_number() OVER (PARTITION BY user_id ORDER BY episode_time NULLS FIRST, row_id) AS rn FROM listwise_tasks WHERE user_id IS NOT NULL AND intent IS NOT NULL),
+g AS (SELECT row_id, user_id, rn, {_GRAMS} AS grams FROM t),
+p AS (SELECT a.row_id, b.row_id AS reference, round(CASE WHEN len(a.grams) > 0 AND len(b.grams) > 0 THEN 2e0 * len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams)) ELSE 0 END, 6) AS similarity
+  FROM g a JOIN g b ON a.user_id = b.user_id AND b.rn < a.rn)
+SELECT row_id, reference, similarity FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY similarity DESC, reference DESC) AS r FROM p) WHERE r = 1
+"""
+
+
 def retrieval_modes_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earlier tasks of the same class and app, scored once and reported per retrieval mode.
 
@@ -547,7 +567,7 @@ QUERIES = {
     "task_issue_rollup": (task_issue_rollup, TASK_ISSUES), "pair_issue_rollup": (pair_issue_rollup, PAIR_ISSUES), "chat_issue_rollup": (chat_issue_rollup, CHAT_ISSUES),
     "retrieval_pools": (retrieval_pools, None), "generation_report": (generation_report, None), "grouped_tasks": (grouped_tasks, GROUPED),
     "latest_fraction_split": (latest_fraction_split, SPLIT), "split_leakage_audit": (split_leakage_audit, LEAKAGE), "unseen_users": (unseen_users, UNSEEN),
-    "hour_similarity_context": (hour_similarity_context, HOURS), "bigram_dice_retrieval": (bigram_dice_retrieval, DICE), "retrieval_modes_report": (retrieval_modes_report, MODES), "retrieval_modes_whole": (retrieval_modes_whole, MODES_WHOLE),
+    "hour_similarity_context": (hour_similarity_context, HOURS), "bigram_dice_retrieval": (bigram_dice_retrieval, DICE), "bigram_dice_whole": (bigram_dice_whole, DICE_WHOLE), "retrieval_modes_report": (retrieval_modes_report, MODES), "retrieval_modes_whole": (retrieval_modes_whole, MODES_WHOLE),
     "oracle_negative_pairs": (oracle_negative_pairs, ORACLE_PAIRS), "weight_assign_v3": (weight_assign_v3, WEIGHTS), "clamped_policy": (clamped_policy, CLAMPED),
     "frequency_cap": (frequency_cap, CAP), "verbatim_copy_gate": (verbatim_copy_gate, VERBATIM), "quality_issue_rollup": (quality_issue_rollup, ISSUES),
     "structural_text_defects": (structural_text_defects, None), "exact_dup_canonicalise": (exact_dup_canonicalise, DUPLICATES), "stratified_round_robin": (stratified_round_robin, ROUND_ROBIN),

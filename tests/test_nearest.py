@@ -56,3 +56,11 @@ def test_other_group_needs_no_common_class(spark):
     assert all(by[r.reference][1] != by[r.row_id][1] and by[r.reference][2] != by[r.row_id][2] for r in cross)
     assert {r.row_id for r in own} == {a[0] for a in rows if any(a[1] and a[1] == b[1] and b[3] < a[3] for b in rows)}
     assert all(by[r.reference][1] == by[r.row_id][1] and by[r.reference][3] < by[r.row_id][3] for r in own)
+
+
+def test_a_better_reference_beyond_ten_tasks_is_found(spark):
+    rows = [(0, "u", None, "t00", "play the song")] + [(i, "u", None, f"t{i:02}", f"map {i}{i}") for i in range(1, 15)] + [(15, "u", None, "t15", "play the song")]
+    df = frame(spark, rows).withColumn("place", F.col("row_id"))
+    for block in (4, 8192):
+        got = {r.row_id: (r.reference, r.similarity) for r in nearest.best_of_same_user(df, "user_id", F.col("place"), "key", block=block, late=False).collect()}
+        assert got[15] == (0, 1.0) and got[1] == (0, 0.0) and len(got) == 15
