@@ -30,7 +30,7 @@ from pathloom.storage import cut
 
 BLOCKS = 40
 #: The first blocks take two n-grams (they survive more edits), the others three (fewer texts meet).
-OF_TWO = 4
+OF_TWO = 24
 #: Share of the texts beyond which an n-gram is common, and a number that never is.
 COMMON, NEVER_COMMON = 0.01, 8
 #: With fewer rare n-grams than FEW the blocks over all n-grams are added; with fewer than LEAST they stand alone.
@@ -75,6 +75,23 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
 
 
+def signature(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Length of every text, and 128 bits: whether the pairs of characters that fall on a bit are odd in number.
+
+    An edit takes or adds four pairs at most, so texts ``d`` edits apart differ in at most ``4 d`` bits.
+    """
+    codes, offsets = code_points(texts)
+    n, size = len(texts), np.diff(offsets)
+    owner = np.repeat(np.arange(n, dtype=np.int64), size)
+    c = codes.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        pair = _mix(c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    inside = owner[1:] == owner[:-1]
+    cells = owner[:-1][inside] * 128 + (pair[inside] >> np.uint64(57)).astype(np.int64)
+    odd = (np.bincount(cells, minlength=128 * n) & 1).astype(np.uint8)
+    return size.astype(np.int32), np.packbits(odd).view(np.int64).reshape(n, 2)
+
+
 def _bucket(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(48)).astype(np.int64)
 
@@ -125,14 +142,17 @@ def _codes(common: np.ndarray):
             rare = ~common[_bucket(grams)]
             n_rare = np.diff(np.concatenate([[0], np.cumsum(rare)])[offsets])
             n_all = np.diff(offsets)
+            size, bits = signature(texts)
             salt = _mix(groups.to_numpy().astype(np.uint64) + np.uint64(0x51ED2701))
             for kept, rows, extra in ((rare, n_rare >= LEAST, 0), (np.ones(len(grams), bool), ((n_rare < FEW) | (n_rare < RARE_SHARE * n_all)) & (n_all > 0), 1)):
                 at = np.flatnonzero(rows)
                 if not len(at):
                     continue
                 codes = blocks(*_subset(grams, offsets, kept, rows), salt[at] + np.uint64(extra), 0 if extra else OF_TWO)
-                take = pa.array(np.repeat(at, BLOCKS))
-                yield pa.RecordBatch.from_arrays([pa.array(codes.reshape(-1)), ids.take(take), trains.take(take), evals.take(take)], ["code", "id", "train", "held"])
+                repeated = np.repeat(at, BLOCKS)
+                take = pa.array(repeated)
+                own = [pa.array(x[repeated]) for x in (size, bits[:, 0], bits[:, 1])]
+                yield pa.RecordBatch.from_arrays([pa.array(codes.reshape(-1)), ids.take(take), trains.take(take), evals.take(take), *own], ["code", "id", "train", "held", "n", "s", "z"])
 
     return run
 
@@ -144,17 +164,16 @@ def near_texts(texts: DataFrame, near: float = NEAR) -> DataFrame:
     """
     total = texts.count()
     common = common_buckets(texts, "text", total)
-    codes = texts.select("id", "text", "grp", "train", "held").mapInArrow(_codes(common), "code bigint, id bigint, train boolean, held boolean")
+    codes = texts.select("id", "text", "grp", "train", "held").mapInArrow(_codes(common), "code bigint, id bigint, train boolean, held boolean, n int, s bigint, z bigint")
     codes = cut(codes, "codes")
-    left = codes.where("train").select("code", F.col("id").alias("a"))
-    right = codes.where("held").select("code", F.col("id").alias("b"))
-    met = left.join(right, "code").where("a <> b").select("a", "b").distinct()
+    left = codes.where("train").select("code", F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("z").alias("za"))
+    right = codes.where("held").select("code", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("z").alias("zb"))
+    bound = f"cast(floor(greatest(na, nb) * {near:g}D + 1e-9D) as int)"
+    met = left.join(right, "code").where("a <> b").where(F.expr(f"abs(na - nb) <= {bound} AND bit_count(sa ^ sb) + bit_count(za ^ zb) <= 4 * {bound}"))
+    met = met.select("a", "b", F.expr(bound).alias("d")).distinct()
     sized = texts.select("id", "text")
     pairs = met.join(sized.toDF("a", "ta"), "a").join(sized.toDF("b", "tb"), "b")
-    longer = "greatest(char_length(ta), char_length(tb))"
-    bound = f"cast(floor({longer} * {near:g}D + 1e-9D) as int)"
-    pairs = pairs.where(F.expr(f"abs(char_length(ta) - char_length(tb)) <= {bound}"))
-    return pairs.where(F.expr(f"levenshtein(ta, tb, {bound}) >= 0")).select("a", "b")
+    return pairs.where(F.expr("levenshtein(ta, tb, d) >= 0")).select("a", "b")
 
 
 def overlaps(records: DataFrame, near: float = NEAR) -> DataFrame:
