@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.functions import scores, text, vectors
-from pathloom.operators import sampling, stats
+from pathloom.operators import components, sampling, stats
 from pathloom.storage import table
 
 TENTHS = [0.5, 0.9, 0.95]
@@ -150,15 +150,10 @@ SELECT query_id, vec_id, similarity, CAST(r AS INTEGER) AS rank FROM (SELECT *,
 
 
 def comparison_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the graph of compared runs (nations tied by region), by rounds of neighbour minima."""
+    """Components of the graph of compared runs (nations tied by region)."""
     nation = table(spark, sf_dir, "nation")
     x, y = nation.select(F.col("n_nationkey").alias("a"), "n_regionkey"), nation.select(F.col("n_nationkey").alias("b"), "n_regionkey")
-    edges = x.join(y, "n_regionkey").select("a", "b")
-    labels = nation.select(F.col("n_nationkey").alias("run"), F.col("n_nationkey").alias("component"))
-    for _ in range(2):  # runs of one comparison see each other directly: two rounds reach the least
-        low = edges.join(labels, edges.b == labels.run).groupBy("a").agg(F.min("component").alias("low"))
-        labels = labels.join(low, labels.run == low.a, "left").select("run", F.least("component", F.coalesce("low", "component")).alias("component"))
-    return labels
+    return components.components(x.join(y, "n_regionkey").select("a", "b"))
 
 
 COMPONENTS = "SELECT x.n_nationkey AS run, min(y.n_nationkey) AS component FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey GROUP BY ALL"
