@@ -174,7 +174,10 @@ SELECT l_orderkey, CAST(least(greatest(100 - nt, 0), s) AS INTEGER) AS source, C
 
 
 def prompt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that are tagged prompts, as lengths of their system and user parts."""
+    """Documents that begin with a system tag, as lengths of their system and user parts.
+
+    As in its SQL, other texts are left out, even those with blanks before the tag; :func:`prompt_parts_whole` has all.
+    """
     rows = table(spark, sf_dir, "documents").where(F.col("text").startswith("[system]")).select("doc_id", text.prompt_parts(F.col("text")).alias("p"))
     return rows.select("doc_id", F.length("p.system").alias("n_system"), F.length("p.user").alias("n_user"))
 
@@ -185,8 +188,17 @@ SELECT doc_id, CASE WHEN ok THEN length(regexp_replace(regexp_extract(text, '(?i
 FROM (SELECT *, regexp_matches(text, '(?is)^\s*\[system\](.*?)\[user\](.*)$') AS ok FROM documents WHERE starts_with(text, '[system]'))
 """
 
+
+def prompt_parts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a text as lengths of their system and user parts; untagged text is the user's."""
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.prompt_parts(F.col("text")).alias("p"))
+    return rows.select("doc_id", F.length("p.system").alias("n_system"), F.length("p.user").alias("n_user"))
+
+
+PROMPTS_WHOLE = PROMPTS.replace("WHERE starts_with(text, '[system]')", "WHERE text IS NOT NULL")
+
 QUERIES = {
     "numeric_summary_linear": (numeric_summary_linear, LINEAR), "numeric_summary_lower": (numeric_summary_lower, LOWER), "nullspace_projection": (nullspace_projection, NULLSPACE),
     "regression_report": (regression_report, REGRESSION), "largest_remainder": (largest_remainder, REMAINDER), "length_cdf": (length_cdf, CDF), "hashed_text_embedding": (hashed_text_embedding, EMBEDDING),
-    "embedding_cosine_topk": (embedding_cosine_topk, COSINE), "comparison_components": (comparison_components, COMPONENTS), "budget_split": (budget_split, BUDGET), "prompt_parts": (prompt_parts, PROMPTS),
+    "embedding_cosine_topk": (embedding_cosine_topk, COSINE), "comparison_components": (comparison_components, COMPONENTS), "budget_split": (budget_split, BUDGET), "prompt_parts": (prompt_parts, PROMPTS), "prompt_parts_whole": (prompt_parts_whole, PROMPTS_WHOLE),
 }
