@@ -1,15 +1,20 @@
-"""Equal and nearly equal texts across splits, by blocks of similarity-hash fingerprints.
+"""Equal and nearly equal texts across splits, by MinHash banding and edit distance.
 
-A text, reduced to lower-case letters and digits, is a set of character n-grams. Its fingerprint
-has ``BLOCKS`` blocks of 64 bits; under the permutations of the n-grams that belong to a block, it is
-the similarity hash (the sign, bit by bit, of the summed +-1 codes) of the three n-grams that come
-first, or of two and a fixed third code that breaks ties. Texts with few edits keep most n-grams,
-so some block stays as it is; blocks are joined across splits, and every pair of texts that meets
-is verified by its edit distance. Before that, equal texts are
-collapsed, so copies meet once; after it, members are joined to their text.
+A text, reduced to lower-case letters and digits, is a set of character n-grams. It has ``BLOCKS``
+codes of 64 bits; under the permutations of the n-grams that belong to a block, its code combines
+(bit by bit, by majority) the three n-grams that come first, or two and a fixed third code. Texts
+with few edits keep most n-grams, so some code stays as it is; equal codes are joined across
+splits, pairs that length or :func:`signature` rule out are dropped, and every other pair that
+meets is verified by its edit distance. Before that, equal texts are collapsed, so copies meet
+once; after it, members are joined to their text.
+
+This stands in place of similarity-hash fingerprints joined within a Hamming radius, and no
+Hamming distance between fingerprints is taken: edits of up to a tenth change so many bits that
+the radius would be too wide for an equi join. Candidates are found by hashing, so a near pair
+can be missed.
 
 N-grams that more than ``COMMON`` of the texts contain carry no similarity and are left out of
-the fingerprint (counted over all texts, in a table of fixed size); texts left with few n-grams,
+the codes (counted over all texts, in a table of fixed size); texts left with few n-grams,
 or with a small share of theirs, get further blocks over all of theirs. No bucket is capped.
 
 Defined cases: null texts, null ids and texts without letters or digits are never cases; a record
