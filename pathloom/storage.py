@@ -3,23 +3,42 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SWEPT: set[str] = set()
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where that is unset (tests)."""
+    """The application's own folder in ``spark.checkpoint.dir``, deleted when the application ends.
+
+    Where the setting is missing, a session on this machine alone gets a temporary folder; a session
+    with executors elsewhere is refused, as those couldn't see it.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
     app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="pathloom-")
-    return _LOCAL[app]
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="pathloom-")
+        found = _LOCAL[app]
+    root = f"{found.rstrip('/')}/pathloom-{app}"
+    if root not in _SWEPT:
+        fs, target = _file_system(spark, root)
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+        _SWEPT.add(root)
+    return root
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
@@ -36,13 +55,13 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return scan
 
 
-def discard(df: DataFrame | None) -> None:
-    """Delete a cut that no later plan reads."""
-    path = getattr(df, "_cut_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*frames: DataFrame | None) -> None:
+    """Delete cuts that no later plan reads."""
+    for df in frames:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            fs, target = _file_system(df.sparkSession, path)
+            fs.delete(target, True)
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -50,8 +69,7 @@ def stored_bytes(df: DataFrame) -> int:
     path = getattr(df, "_cut_path", None)
     if not path:
         raise ValueError("only a cut has a known size")
-    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    fs, target = _file_system(df.sparkSession, path)
     return int(fs.getContentSummary(target).getLength())
 
 
