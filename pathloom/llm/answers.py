@@ -2,6 +2,8 @@
 
 An answer is ``empty``, ``copied`` from the prompt, a ``refusal``, in an ``other_language`` than
 the prompt asks for, or ``truncated``; the rules are tried in this order and the first holds.
+Languages are told by :mod:`pathloom.llm.language`; the one asked for is the last that the whole
+prompt requests (a language merely mentioned isn't requested), else that of its last line.
 
 Truncation is judged against the other answers. Names, numbers and times are masked, the distinct
 masked texts are sorted over the whole cluster, and one that is a prefix of its neighbour is a
@@ -27,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from pathloom.llm.charform import convert
+from pathloom.llm.language import languages
 from pathloom.storage import cut
 
 # How a refusal opens, per language; matched at the start of the answer, in lower case.
@@ -38,6 +41,16 @@ REFUSALS = [
     r"as an? (?:ai |virtual |language )*(?:assistant|model|ai)\b.{0,30}\b(?:can'?t|cannot|not able|unable|not allowed|won'?t|must not)",
     r"(?:it|this|that) (?:would|will) not be (?:appropriate|right|proper|possible) for me\b",
     r"(?:this|that) is (?:something|nothing) i (?:won'?t|can'?t|cannot|can|will not|would not|may not)",
+    r"(?:my |our )?(?:sincere |deepest )?apolog(?:ies|i[sz]e)\b.{0,80}\b(?:can'?t|cannot|unable|not able|outside|beyond|not permitted|not allowed|decline)\b",
+    r"(?:this|that|your) (?:request|question|topic) (?:is|falls|lies|goes) (?:outside|beyond)\b.{0,40}\b(?:permitted|allowed|able|scope|can)\b",
+    r"i(?:'m| am) not (?:able|allowed|permitted|authori[sz]ed|in a position) to\b",
+    r"(?:je suis |nous sommes )?(?:vraiment |sincèrement )?(?:désolée?s?|navrée?s?)\b.{0,60}\bne (?:peux|peut|pouvons|puis|suis)\b",
+    r"(?:malheureusement|je regrette)\b.{0,50}\bne (?:peux|puis|suis|pouvons)\b|je ne (?:peux|puis) pas (?:vous |t'|y |te )?(?:aider|répondre|fournir|dire|donner)",
+    r"(?:es )?tut mir (?:sehr |wirklich )?leid\b.{0,60}\b(?:nicht|kein\w*)\b|(?:leider|entschuldigung|bedaure)\b.{0,60}\b(?:kann|darf|können)\b.{0,40}\b(?:nicht|kein\w*)\b",
+    r"ich (?:kann|darf|möchte) (?:ihnen |dir |das |diese |dabei |darauf ){0,2}(?:leider )?nicht (?:dabei )?(?:helfen|beantworten|antworten|sagen)",
+    r"(?:mi dispiace|spiacente|purtroppo)\b.{0,50}\bnon (?:posso|sono|è possibile)\b|(?:desculpe|lamento|sinto muito|infelizmente)\b.{0,50}\bnão (?:posso|é possível|consigo)\b",
+    r"(?:申し訳|すみません|ごめん|恐れ入り).{0,40}(?:できません|できかね|お答えでき|いたしかね)",
+    r"(?:죄송|미안|유감).{0,40}(?:없습니다|어렵습니다|못합니다|할 수 없)",
     r"(?:抱歉|对不起|很遗憾|不好意思|非常抱歉|十分抱歉|很抱歉|恕我)[,，。\s]*(?:但)?(?:我|该|这|本|此|您|你|恕).{0,14}(?:无法|不能|不便|恕不|恕难|拒绝|超出)(?!去|来|到)",
     r"(?:作为|身为).{0,8}(?:助手|模型|助理|人工智能|ai)[,，]?.{0,6}(?:没有办法|无法|不能|不便|不可以|不会)",
     r"(?:出于|由于|因为|基于).{0,10}(?:考虑|原因|规定|政策|保护)[,，]?.{0,4}(?:拒绝|无法|不能|不便|恕)",
@@ -54,21 +67,35 @@ REFUSALS = [
 ]
 # Names of languages as prompts write them.
 LANGUAGE_NAMES = {
-    "en": "english inglés ingles 英文 英语 английск",
-    "zh": "chinese mandarin chino 中文 汉语 普通话 китайск",
-    "es": "spanish español espanol castellano 西班牙语 西班牙文 испанск",
-    "ru": "russian ruso 俄语 俄文 русск",
+    "en": "english inglés ingles anglais englisch 英文 英语 английском английски",
+    "zh": "chinese mandarin chino mandarín chinois chinesisch 中文 汉语 普通话 китайском китайски",
+    "es": "spanish español espanol castellano espagnol spanisch 西班牙语 西班牙文 испанском испански",
+    "ru": "russian ruso russe russisch 俄语 俄文 русском русски",
+    "fr": "french francés frances français französisch 法语 法文 французском французски",
+    "de": "german alemán aleman allemand deutsch 德语 德文 немецком немецки",
+    "it": "italian italiano italien italienisch 意大利语 意大利文 итальянском итальянски",
+    "pt": "portuguese portugués portugues português portugais portugiesisch 葡萄牙语 葡萄牙文 португальском португальски",
+    "ja": "japanese japonés japones japonais japanisch 日语 日文 日本語 японском японски",
+    "ko": "korean coreano coréen koreanisch 韩语 韩文 한국어 корейском корейски",
 }
-# Frequent small words and verbs that tell English from Spanish.
-SMALL_WORDS = {
-    "en": "the and to of in for with at is it by before after until please then that from ask call pay use open search find remind check be this them their what how who start stop save send into around near let know have has my your me i an on as or if not will would should",
-    "es": "el la los las de del y en con para que un una por al antes hasta busca abre llama quiero recuérdame ayuda pide paga dile escribe avisa se su mi es no si lo como más me ver guardar notas número debo indica responde según qué este esta frase persona usuario",
-}
-_ENGLISH, _SPANISH = (frozenset(SMALL_WORDS[x].split()) - {"me", "no"} for x in ("en", "es"))
+# How a prompt asks for a language, around its name (NAME).
+REQUESTS = [
+    r"\b(?:in|into|as|using)\s+(?:(?:a|an|one|two|three|single|short|plain|simple|only|just|brief|good|\d+)\s+){0,3}NAME\b(?=\s*(?:$|[^\w\s]|\x00|(?:sentences?|words?|only|please|and|with|phrases?|text|language|answer|reply)\b))",
+    r"\bNAME\s+(?:\w+\s+)?(?:sentences?|answers?|reply|response|words|only|please)\b",
+    r"\b(?:answer|reply|respond|write|speak|use)\s+(?:\w+\s+)?NAME\b(?=\s*(?:$|[^\w\s]|\x00|only\b|please\b))",
+    r"\b(?:en|auf)\s+(?:(?:idioma|lengua|langue)\s+)?NAME\b",
+    r"(?:用|以|写成|说成|译成|成)[^\x00\n。？！?!]{0,6}?NAME|NAME(?:回答|回复|作答|说明|写|表达)",
+    r"\b(?:на|по)[\s-]+(?:\w+\s+){0,2}?NAME",
+]
 _REFUSAL = re.compile("|".join(f"(?:{x})" for x in REFUSALS))
-_QUOTED = re.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|「[^」]*」|『[^』]*』|《[^》]*》|‘[^’]*’")
+_NAMED = {name: language for language, names in LANGUAGE_NAMES.items() for name in names.split()}
+_REQUEST = re.compile("|".join(x.replace("NAME", f"({'|'.join(sorted(map(re.escape, _NAMED), key=len, reverse=True))})") for x in REQUESTS))
 _TOKEN = re.compile(r"\d+(?:[:.]\d+)*|[㐀-䶿一-鿿]|[^\W\d_]+(?:['’-][^\W\d_]+)*|[^\w\s]|_")
-_STOPS, _ENDS = frozenset(".。!?！？"), frozenset("\"”»」』)）")
+_NUMBER, _DOTS = re.compile(r"\d+(?:[:.]\d+)*"), re.compile(r"\.\.+$")
+_STOP_MARKS, _CLOSERS = ".。!?！？", "\"”»」』)） \t\r\n\x0b\x0c\u3000"
+_STOPS = frozenset(_STOP_MARKS)
+#: Answers judged at a time, which bounds a worker's memory whatever the Arrow batch holds.
+CHUNK = 2000
 _JOINING = frozenset(",，、;；:：-—(（\"“")
 _MARKS = frozenset(",，、;；:：。.!?！？")
 
@@ -77,51 +104,42 @@ FEATURES = T.StructType([
     T.StructField("ending", T.StringType()), T.StructField("opening", T.StringType()), T.StructField("last2", T.StringType()),
     T.StructField("joined", T.BooleanType()), T.StructField("length", T.IntegerType()),
 ])
+_KINDS = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32()]
+
+
+def asked_languages(prompts: list[str]) -> list[str | None]:
+    """The language each prompt asks for: the last request in the whole prompt, else that of its last line."""
+    joined = "\x00".join(p.replace("\x00", " ") for p in prompts).lower()
+    found: list[str | None] = [None] * len(prompts)
+    row, upto = 0, joined.find("\x00")
+    for m in _REQUEST.finditer(joined):
+        while 0 <= upto < m.start():
+            row, upto = row + 1, joined.find("\x00", upto + 1)
+        found[row] = _NAMED[m[m.lastindex]]
+    open_ = [i for i, language in enumerate(found) if language is None and prompts[i].strip()]
+    for i, language in zip(open_, languages([prompts[i].strip().rsplit("\n", 1)[-1] for i in open_])):
+        found[i] = language
+    return found
+
+
+@lru_cache(maxsize=1)
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """A first word of a text, and a word inside it that begins with a capital."""
+    capital = "".join(chr(c) for c in range(0x250) if chr(c).isupper()) + "".join(chr(c) for c in (*range(0x370, 0x530), *range(0x1E00, 0x2000)) if chr(c).isupper())
+    word = r"[^\W\d_㐀-䶿一-鿿]+(?:['’-][^\W\d_㐀-䶿一-鿿]+)*"
+    return re.compile(rf"(?:^|(?<=\x00))\s*{word}"), re.compile(rf"(?<![^\W\d_])(?<!['’-])[{capital}](?:[^\W\d_㐀-䶿一-鿿]*)(?:['’-][^\W\d_㐀-䶿一-鿿]+)*")
+
 
+def _masked(texts: list[str]) -> list[list[str]]:
+    """Tokens of every text with numbers and names as placeholders; ideographs stand alone.
 
-def asked_language(question: str) -> str | None:
-    """The language a question asks for; by name, else its own."""
-    low = question.lower()
-    for language, names in LANGUAGE_NAMES.items():
-        if any(n in low for n in names.split()):
-            return language
-    return language_of(question)
-
-
-@lru_cache(maxsize=1 << 14)
-def _wanted(question: str) -> str | None:
-    return asked_language(convert(pa.array([question]), "form")[0].as_py()) if question.strip() else None
-
-
-def language_of(text: str) -> str | None:
-    """en, es, zh or ru by script and small words, quotations and names left out; None if nothing tells."""
-    bare = _QUOTED.sub(" ", text)
-    han = len(re.findall(r"[㐀-䶿一-鿿]", bare))
-    words = re.findall(r"[^\W\d_㐀-䶿一-鿿]+", bare)
-    cyrillic = sum(1 for w in words if re.search("[Ѐ-ӿ]", w))
-    lower = [w.lower() for i, w in enumerate(words) if (w[0].islower() or i == 0 or w.isupper()) and not re.search("[Ѐ-ӿ]", w)]
-    if han > 1.5 * len(lower) and han > cyrillic:
-        return "zh"
-    if cyrillic > len(lower):
-        return "ru"
-    english, spanish = sum(w in _ENGLISH for w in lower), sum(w in _SPANISH for w in lower)
-    if "¿" in bare or "¡" in bare:
-        spanish += 2
-    if english != spanish:
-        return "en" if english > spanish else "es"
-    return None
-
-
-def _masked(text: str) -> list[str]:
-    """Tokens with numbers and names as placeholders; ideographs stand alone."""
-    out = []
-    for token in _TOKEN.findall(text):
-        if token[0].isdigit():
-            token = "0"
-        elif out and token[0].isupper():
-            token = "W"
-        out.append(token if out else token.lower())
-    return out
+    The texts are one string for the patterns; no step but the last looks at single tokens.
+    """
+    first, name = _patterns()
+    joined = "\x00".join(t.replace("\x00", " ") for t in texts)
+    joined = first.sub(lambda m: m[0].lower(), joined)
+    joined = name.sub("W", _NUMBER.sub("0", joined))
+    return [own.split() for own in " ".join(_TOKEN.findall(joined)).split("\x00")] if texts else []
 
 
 def _ending(tokens: list[str]) -> tuple[str, str | None]:
@@ -146,41 +164,49 @@ def _copied(key: str, lines: list[str]) -> bool:
     return not rest
 
 
-def _features(form: str | None, key: str | None, wanted: str | None, lines: list[str]):
-    if not key:
-        return ("empty",) + (None,) * 7
-    text = form.strip()
-    if _copied(key, lines):
-        return ("copied",) + (None,) * 7
-    if _REFUSAL.match(text.lower().lstrip("-*>#\"“'· ")):
-        return ("refusal",) + (None,) * 7
-    found = language_of(text)
-    if wanted and found and wanted != found:
-        return ("other_language",) + (None,) * 7
-    dots = re.search(r"\.\.+$", text)
+def _judged(text: str) -> tuple[bool, str, bool]:
+    """Whether a text is closed by a stop, what is left to compare, and whether it ends in the air."""
+    dots = _DOTS.search(text)
     body = text[: dots.start()].rstrip() if dots else text
-    bare = body
-    while bare and bare[-1] in _ENDS:
-        bare = bare[:-1].rstrip()
+    bare = body.rstrip(_CLOSERS)
     stop = not dots and bool(bare) and bare[-1] in _STOPS
-    tokens = _masked(bare.rstrip("".join(_STOPS)) if stop else body)
-    ending, opening = _ending(tokens)
-    return None, " ".join(tokens), stop, ending, opening, " ".join(tokens[-2:]), bool(dots) or bool(body) and body[-1] in _JOINING, len(text)
+    return stop, bare.rstrip(_STOP_MARKS) if stop else body, bool(dots) or bool(body) and body[-1] in _JOINING
 
 
-@F.arrow_udf(FEATURES)
-def features(answers: pa.Array, asked: pa.Array) -> pa.Array:
+def _features(answers: pa.Array, asked: pa.Array) -> pa.Array:
     prompts = [(p or "").strip() for p in asked.to_pylist()]
-    questions = pa.array([p.rsplit("\n", 1)[-1] for p in prompts], pa.large_string())
-    last, keys = convert(questions, "reduce").to_pylist(), convert(answers, "reduce").to_pylist()
+    last = convert(pa.array([p.rsplit("\n", 1)[-1] for p in prompts], pa.large_string()), "reduce").to_pylist()
+    keys = convert(answers, "reduce").to_pylist()
+    defect: list[str | None] = [None if k else "empty" for k in keys]
     # Only an answer that holds the question can be a copy: the other lines are reduced for those alone.
     maybe = [i for i, (q, k) in enumerate(zip(last, keys)) if q and k and q in k]
     split = [prompts[i].split("\n") for i in maybe]
     reduced_lines = iter(convert(pa.array([line for own in split for line in own], pa.large_string()), "reduce").to_pylist())
-    lines = {i: [k for k in (next(reduced_lines) for _ in own) if k] for i, own in zip(maybe, split)}
-    wanted = map(_wanted, questions.to_pylist())
-    rows = [_features(f, k, w, lines.get(i, [])) for i, (f, k, w) in enumerate(zip(convert(answers, "form").to_pylist(), keys, wanted))]
-    return pa.array([dict(zip(FEATURES.names, r)) for r in rows], pa.struct([("defect", pa.string()), ("masked", pa.string()), ("stop", pa.bool_()), ("ending", pa.string()), ("opening", pa.string()), ("last2", pa.string()), ("joined", pa.bool_()), ("length", pa.int32())]))
+    for i, own in zip(maybe, split):
+        if _copied(keys[i], [k for k in (next(reduced_lines) for _ in own) if k]):
+            defect[i] = "copied"
+    texts = [(t or "").strip() for t in convert(answers, "form").to_pylist()]
+    for i, text in enumerate(texts):
+        if defect[i] is None and _REFUSAL.match(text.lower().lstrip("-*>#\"“'· ")):
+            defect[i] = "refusal"
+    open_ = [i for i, d in enumerate(defect) if d is None]
+    wanted = asked_languages(convert(pa.array([prompts[i] for i in open_], pa.large_string()), "form").to_pylist())
+    for i, want, found in zip(open_, wanted, languages([texts[i] for i in open_], wanted)):
+        if want and found and want != found:
+            defect[i] = "other_language"
+    judged = [i for i in open_ if defect[i] is None]
+    ends = [_judged(texts[i]) for i in judged]
+    rows: list[tuple] = [(d,) + (None,) * 7 for d in defect]
+    for i, (stop, _, joined), tokens in zip(judged, ends, _masked([e[1] for e in ends])):
+        ending, opening = _ending(tokens)
+        rows[i] = (None, " ".join(tokens), stop, ending, opening, " ".join(tokens[-2:]), joined, len(texts[i]))
+    columns = [list(c) for c in zip(*rows)] if rows else [[]] * len(_KINDS)
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], names=FEATURES.names)
+
+
+@F.arrow_udf(FEATURES)
+def features(answers: pa.Array, asked: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_features(answers.slice(at, CHUNK), asked.slice(at, CHUNK)) for at in range(0, len(answers), CHUNK)]) if len(answers) else _features(answers, asked)
 
 
 def last_content(messages: str, role: str) -> Column:

@@ -9,7 +9,10 @@ Two forms exist:
 
 ``form``    compatibility forms (width, style, ligatures), split accents, look-alike letters and
             unusual blanks become the usual character; invisible characters go. Letter case,
-            punctuation and ordinary blanks stay.
+            punctuation and ordinary blanks stay. A look-alike becomes Latin, unless its word has
+            letters that only Cyrillic (or Greek) has and none that only Latin has: such a word
+            is written wholly in that script, so Russian stays Russian. A word that could be
+            either takes the script of the word before it, or else of the one after it.
 ``reduce``  the same, then lower case, and only letters, digits and their marks are kept.
 
 Null stays null, an empty text stays empty, and a text of invisible characters becomes empty.
@@ -30,6 +33,7 @@ LOOK_ALIKES = (
     "А A  В B  Е E  К K  М M  Н H  О O  Р P  С C  Т T  У Y  Х X  І I  Ј J  Ѕ S  Ԛ Q  Ԝ W  "
     "а a  е e  о o  р p  с c  у y  х x  і i  ј j  ѕ s  ԛ q  ԝ w  һ h  ԁ d  "
     "Α A  Β B  Ε E  Ζ Z  Η H  Ι I  Κ K  Μ M  Ν N  Ο O  Ρ P  Τ T  Υ Y  Χ X  ο o  ϲ c  ϳ j  "
+    "α a  ι i  κ k  ν v  ρ p  υ u  γ y  ѵ v  Ѵ V  ӏ l  Ӏ l  ү y  Ү Y  "
     "ı i  ɑ a  ɡ g  օ o  ո n  ս u  Օ O  ⅼ l  Ꭺ A  Ᏼ B  Ꮯ C  Ꭼ E  Ꮋ H  Ꭻ J  Ꮶ K  Ꮇ M  Ꮲ P  Ꭲ T  Ꮃ W  Ꮓ Z"
 )
 # Invisible characters outside Unicode's format category.
@@ -96,7 +100,8 @@ def _folded(ch: str) -> str:
     upper = ch.upper()
     if len(upper) == 1 and upper in _look():
         return _look()[upper].lower()
-    return unicodedata.normalize("NFD", ch.casefold())
+    look = _look()
+    return "".join(look.get(c, c) for c in unicodedata.normalize("NFD", ch.casefold()))
 
 
 def _reduced(ch: str) -> str:
@@ -129,6 +134,64 @@ def _table(form: str) -> _Table:
     return _Table({"form": _formed, "reduce": _reduced}[form])
 
 
+#: Scripts that a word may be written in as a whole, by their blocks of letters.
+_SCRIPTS = ((range(0x400, 0x530), range(0xA640, 0xA6A0)), (range(0x370, 0x400), range(0x1F00, 0x2000)))
+_LATIN_ONLY, _OWN, _EITHER = 1, 2, 4
+
+
+@lru_cache(maxsize=1)
+def _scripts() -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per script: the kind of every code point (0 outside words), and the letter that looks like a Latin one."""
+    out = []
+    for blocks in _SCRIPTS:
+        kind, partner = np.zeros(SIZE, np.uint8), np.arange(SIZE, dtype=np.uint32)
+        inside = {chr(cp) for cps in blocks for cp in cps}
+        for other, latin in _look().items():
+            if other in inside and partner[ord(latin)] == ord(latin):
+                partner[ord(latin)] = ord(other)
+        for cps in (range(0x41, 0x250), range(0x1E00, 0x1F00), *(b for other in _SCRIPTS for b in other)):
+            for cp in cps:
+                if unicodedata.category(chr(cp))[0] == "L":
+                    kind[cp] = _OWN if chr(cp) in inside else _EITHER if partner[cp] != cp else _LATIN_ONLY
+        kind[0x300:0x370] = 8  # a mark belongs to the word of its letter
+        out.append((kind, partner))
+    return out
+
+
+def _filled(verdict: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Words without a verdict take that of the nearest word before them in their text."""
+    at = np.maximum.accumulate(np.where(verdict != 0, np.arange(len(verdict)), -1))
+    known = (at >= 0) & (text[at] == text)
+    return np.where(known, verdict[at], 0)
+
+
+def _in_script(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whole words of another script back from the Latin letters that theirs look like.
+
+    The letters go back one to one, so texts that agreed before agree after, and no others.
+    """
+    for kinds, partner in _scripts():
+        kind = kinds[codes]
+        if not (kind == _OWN).any():
+            continue
+        opens = kind > 0
+        opens[1:] &= kind[:-1] == 0
+        first = offsets[:-1][offsets[:-1] < len(codes)]
+        opens[first] = kind[first] > 0
+        word = np.cumsum(opens) - 1
+        inside = np.flatnonzero(kind > 0)
+        n = int(word[-1]) + 1
+        has = [np.bincount(word[inside], kind[inside] == k, n) > 0 for k in (_OWN, _LATIN_ONLY, _EITHER)]
+        text = np.searchsorted(offsets, np.flatnonzero(opens), side="right")
+        verdict = np.where(has[0] & ~has[1], 1, np.where(has[0] | has[1], -1, 0))
+        verdict = np.where(verdict == 0, _filled(verdict, text), verdict)
+        verdict = np.where(verdict == 0, _filled(verdict[::-1], text[::-1])[::-1], verdict)
+        back = inside[(verdict[word[inside]] == 1) & (kind[inside] == _EITHER)]
+        codes = codes.copy()
+        codes[back] = partner[codes[back]]
+    return codes
+
+
 @lru_cache(maxsize=1)
 def _marks() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Combining class of every code point; sorted (starter, mark) keys and their composites."""
@@ -239,7 +302,8 @@ def _compose(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def convert_codes(codes: np.ndarray, offsets: np.ndarray, form: str) -> tuple[np.ndarray, np.ndarray]:
-    return _compose(*_expand(codes, offsets, _table(form)))
+    codes, offsets = _expand(codes, offsets, _table(form))
+    return _compose(_in_script(codes, offsets) if form == "form" else codes, offsets)
 
 
 def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> list[pa.Array]:
@@ -263,16 +327,48 @@ def _convert(texts: pa.Array, form: str) -> pa.Array:
     return to_arrow(codes, offsets, np.asarray(texts.is_valid()))
 
 
-@lru_cache(maxsize=1)
-def _weights() -> tuple[np.ndarray, np.ndarray]:
-    """Per code point: sum of the random weights, and number, of the letters and digits it reduces to."""
-    table = _table("reduce")
+def mix(x: np.ndarray) -> np.ndarray:
+    """64 bits spread by multiplication and shifts."""
     with np.errstate(over="ignore"):
-        x = np.arange(SIZE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
+        return x ^ (x >> np.uint64(31))
+
+
+def digests(texts: pa.Array, none: np.ndarray | None = None) -> pa.Array:
+    """128-bit digest per text: two sums over its characters of a random number for character and place.
+
+    Null where the text is null or ``none`` says so.
+    """
+    null = np.asarray(texts.is_null()) if none is None else none | np.asarray(texts.is_null())
+    made = []
+    for part in chunks(texts):
+        codes, offsets = code_points(part)
+        place = np.arange(len(codes)) - np.repeat(offsets[:-1], np.diff(offsets))
+        at = codes.astype(np.uint64) << np.uint64(40) | place.astype(np.uint64)
+        own = np.empty((len(part), 2), np.uint64)
+        for k, salt in enumerate((0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)):
+            with np.errstate(over="ignore"):
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(at + np.uint64(salt)), dtype=np.uint64)])
+                own[:, k] = mix(total[offsets[1:]] - total[offsets[:-1]] + np.uint64(salt))
+        made.append(own)
+    valid = pa.py_buffer(np.packbits(~null, bitorder="little"))
+    return pa.Array.from_buffers(pa.binary(16), len(texts), [valid, pa.py_buffer(np.concatenate(made).tobytes())]).cast(pa.binary())
+
+
+@lru_cache(maxsize=2)
+def _weights(letters_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Per code point: sum of the random weights, and number, of the letters and digits it reduces to.
+
+    With ``letters_only``, digits and the letter e, which numbers may be written with, weigh nothing.
+    """
+    table = _table("reduce")
+    with np.errstate(over="ignore"):
+        x = mix(np.arange(SIZE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         base = _marks()[0] == 0
+        if letters_only:
+            idle = np.array([cp for cps in _SCANNED for cp in cps if unicodedata.category(chr(cp))[0] == "N"] + [ord("e")])
+            x[idle], base[idle] = 0, False
         weight = np.zeros(SIZE, np.uint64)
         count = np.zeros(SIZE, np.uint8)
         for k in range(int(table.length.max())):
@@ -291,19 +387,19 @@ def _weights() -> tuple[np.ndarray, np.ndarray]:
     return weight, count
 
 
-def invariants(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def invariants(texts: pa.Array, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Cheap invariants of the reduced text, without making it: its length and its letter histogram.
 
     The histogram is the sum of one random 64-bit weight per letter, so it doesn't depend on
     order and equals for texts with equal reduced forms; unequal texts may share it.
     """
-    parts = [_invariants(part) for part in chunks(texts)]
+    parts = [_invariants(part, letters_only) for part in chunks(texts)]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def _invariants(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _invariants(texts: pa.Array, letters_only: bool) -> tuple[np.ndarray, np.ndarray]:
     codes, offsets = code_points(texts)
-    weight, count = _weights()
+    weight, count = _weights(letters_only)
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weight[codes], dtype=np.uint64)])
         hist = (total[offsets[1:]] - total[offsets[:-1]]).view(np.int64)

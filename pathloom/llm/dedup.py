@@ -1,16 +1,19 @@
 """Duplicates hidden by formatting: classes refined step by step, each by a costlier key.
 
 1. cheap invariants of the text: number of letters and digits, and their histogram, summed from
-   a lookup table without making the reduced text;
+   a lookup table without making the reduced text (for records without reading the JSON, so
+   digits, which may be written in several ways, are left out);
 2. inside classes with several members only, the reduced text itself (or, for records, the
-   record with sorted fields and reduced strings) as a 128-bit digest.
+   record with sorted fields and reduced strings) as a 128-bit digest. The invariants of those
+   classes are broadcast where their size allows, so that the scan itself picks the texts.
 
 Each step is an aggregation with map-side combine and a join back on its key, so a class that
 holds a third of all rows is never one task's work: classes are counted, not collected, and the
 join's large side splits. The result has one row per member with the smallest id of its class.
 
 Defined cases: null texts and texts without a letter or digit are in no class; exact repeats are
-members like others; payloads that aren't JSON objects or arrays are in no class.
+members like others; payloads that aren't JSON objects or arrays (NaN is no JSON) are in no class;
+numbers are compared by their exact value, however long.
 """
 
 from __future__ import annotations
@@ -20,20 +23,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.charform import convert, invariants
-from pathloom.llm.variants import digests
-from pathloom.storage import cut
+from pathloom.llm.charform import convert, digests, invariants
+from pathloom.storage import cut, discard, stored_bytes
+
+#: Invariants of classes with several members are broadcast up to this many bytes on disk.
+BROADCAST_BYTES = 8 << 20
 
 _CHEAP = T.StructType([T.StructField("size", T.LongType()), T.StructField("hist", T.LongType())])
 
 
-def _cheap(texts: pa.Array) -> pa.Array:
-    size, hist = invariants(texts)
-    none = (size == 0) | np.asarray(texts.is_null())
+def _cheap(texts: pa.Array, letters_only: bool = False) -> pa.Array:
+    size, hist = invariants(texts, letters_only)
+    none = np.asarray(texts.is_null()) | ((size == 0) & (not letters_only))
     return pa.StructArray.from_arrays([pa.array(size, mask=none), pa.array(hist, mask=none)], names=["size", "hist"])
 
 
@@ -47,12 +53,30 @@ def text_key(texts: pa.Array) -> pa.Array:
     return digests(convert(texts, "reduce"))
 
 
+class _Number(str):
+    """A number of JSON by its exact value: sign, digits without closing zeros, power of ten."""
+
+    @classmethod
+    def read(cls, text: str) -> _Number:
+        mantissa, _, power = text.lower().partition("e")
+        whole, _, part = mantissa.lstrip("-").partition(".")
+        digits = (whole + part).lstrip("0")
+        short = digits.rstrip("0")
+        if not short:
+            return cls("0")
+        return cls(f"{'-' * mantissa.startswith('-')}{short}e{(int(power) if power else 0) - len(part) + len(digits) - len(short)}")
+
+
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def _parsed(payload: str | None):
     """The record of a payload, or None where it is broken or no record."""
     if payload is None:
         return None
     try:
-        found = json.loads(payload)
+        found = json.loads(payload, parse_int=_Number.read, parse_float=_Number.read, parse_constant=_no_number)
     except (ValueError, RecursionError):
         return None
     return found if isinstance(found, (dict, list)) else None
@@ -60,17 +84,20 @@ def _parsed(payload: str | None):
 
 @F.arrow_udf(_CHEAP)
 def record_invariants(payloads: pa.Array) -> pa.Array:
-    """Invariants over all letters of a record, wherever they stand and however they are escaped."""
-    texts = [None if (r := _parsed(p)) is None else " ".join(_leaves(r)).encode("utf-8", "replace").decode() for p in payloads.to_pylist()]
-    return _cheap(pa.array(texts, pa.large_string()))
+    """Invariants over the letters of a payload; only one with escapes is read as JSON for them.
 
-
-def _scalar(value) -> str:
-    """A number, boolean or null of JSON; a whole float reads as its integer."""
-    return str(int(value)) if isinstance(value, float) and value.is_integer() else json.dumps(value)
+    Broken payloads have invariants too; the record itself is what they fail at.
+    """
+    texts = payloads.cast(pa.large_string())
+    escaped = pc.fill_null(pc.match_substring(texts, "\\"), False)
+    if pc.any(escaped).as_py():
+        read = iter([None if (r := _parsed(p)) is None else " ".join(_leaves(r)).encode("utf-8", "replace").decode() for p in texts.filter(escaped).to_pylist()])
+        texts = pc.replace_with_mask(texts, escaped, pa.array(list(read), pa.large_string()))
+    return _cheap(texts, letters_only=True)
 
 
 def _leaves(value) -> Iterator[str]:
+    """All words of a record as its payload would hold them without escapes."""
     if isinstance(value, dict):
         for name, v in value.items():
             yield name
@@ -79,7 +106,7 @@ def _leaves(value) -> Iterator[str]:
         for v in value:
             yield from _leaves(v)
     else:
-        yield value if isinstance(value, str) else _scalar(value)
+        yield value if isinstance(value, str) else json.dumps(value)
 
 
 def _flat(value, out: list[str], strings: list[str]) -> None:
@@ -95,11 +122,11 @@ def _flat(value, out: list[str], strings: list[str]) -> None:
         for v in value:
             _flat(v, out, strings)
         out.append("]")
-    elif isinstance(value, str):
+    elif isinstance(value, str) and not isinstance(value, _Number):
         out.append("\x00")
         strings.append(value.encode("utf-8", "replace").decode())
     else:
-        out.append(_scalar(value))
+        out.append(value if isinstance(value, _Number) else json.dumps(value))
 
 
 @F.arrow_udf(T.BinaryType())
@@ -120,9 +147,13 @@ def copies(df: DataFrame, text: str, key: str, cheap: Callable[[str], Column] =
     """``keep_id``, ``copy_id`` and ``n_copies``: every further member of a class under its smallest id."""
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     seen = cut(rows.select("_id", cheap("_text").alias("_c")).select("_id", "_c.*").where("size IS NOT NULL"), "cheap")
-    several = seen.groupBy("size", "hist").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    left = seen.join(several, ["size", "hist"], "left_semi").select("_id")
-    keyed = cut(rows.join(left, "_id", "left_semi").select("_id", exact("_text").alias("_key")), "keyed")
+    several = cut(seen.groupBy("size", "hist").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "hist"), "several")
+    if stored_bytes(several) <= BROADCAST_BYTES:
+        left = rows.select("_id", "_text", cheap("_text").alias("_c")).join(F.broadcast(several), (F.col("_c.size") == F.col("size")) & (F.col("_c.hist") == F.col("hist")), "left_semi")
+    else:
+        left = rows.join(seen.join(several, ["size", "hist"], "left_semi").select("_id"), "_id", "left_semi")
+    keyed = cut(left.select("_id", exact("_text").alias("_key")).where(F.col("_key").isNotNull()), "keyed")
+    discard(seen, several)
     classes = keyed.groupBy("_key").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
     return keyed.join(classes, "_key").where("_id <> keep_id").select("keep_id", F.col("_id").alias("copy_id"), "n_copies")
 

@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import base64
 import os
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,13 +131,21 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _shipped(vocabulary: str, folder: str | None) -> Callable[[], Encoder]:
+    """The encoder as workers find it: the driver's vocabulary file is sent to every executor once."""
+    path = f"{folder or TOKENIZERS}/{vocabulary}.tiktoken"
+    SparkSession.getActiveSession().sparkContext.addFile(path)
+    name = os.path.basename(path)
+    return lambda: encoder(SparkFiles.get(name))
+
+
 def token_ids(text: str, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> Column:
     """``array<int>`` of the ids of a text column, without special tokens."""
-    path = f"{folder or TOKENIZERS}/{vocabulary}.tiktoken"
+    own = _shipped(vocabulary, folder)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def ids(texts: pa.Array) -> pa.Array:
-        flat, size = encoder(path).encode(texts)
+        flat, size = own().encode(texts)
         return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(flat, pa.int32()))
 
     return ids(F.col(text))
@@ -143,10 +153,10 @@ def token_ids(text: str, vocabulary: str = "byte_bpe_50k", folder: str | None =
 
 def token_count(text: str, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> Column:
     """``int`` number of ids of a text column; 0 for empty and null."""
-    path = f"{folder or TOKENIZERS}/{vocabulary}.tiktoken"
+    own = _shipped(vocabulary, folder)
 
     @F.arrow_udf(T.IntegerType())
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array(encoder(path).encode(texts)[1].astype(np.int32))
+        return pa.array(own().encode(texts)[1].astype(np.int32))
 
     return count(F.col(text))

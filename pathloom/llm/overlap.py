@@ -10,12 +10,13 @@ once; after it, members are joined to their text.
 
 This stands in place of similarity-hash fingerprints joined within a Hamming radius, and no
 Hamming distance between fingerprints is taken: edits of up to a tenth change so many bits that
-the radius would be too wide for an equi join. Candidates are found by hashing, so a near pair
-can be missed.
+the radius would be too wide for an equi join (README gives the measured recall per radius).
+Candidates are found by hashing, so a near pair can be missed.
 
 N-grams that more than ``COMMON`` of the texts contain carry no similarity and are left out of
 the codes (counted over all texts, in a table of fixed size); texts left with few n-grams,
-or with a small share of theirs, get further blocks over all of theirs. No bucket is capped.
+or with a small share of theirs, get further blocks over all of theirs. No bucket is capped; the
+codes of a hot bucket are split over salts on one side and repeated for them on the other.
 
 Defined cases: null texts, null ids and texts without letters or digits are never cases; a record
 delivered twice counts once; one id on both sides isn't paired with itself.
@@ -30,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.charform import code_points, reduced
-from pathloom.storage import cut
+from pathloom.llm.charform import code_points, mix, reduced
+from pathloom.storage import cut, discard
 
 BLOCKS = 40
 #: The first blocks take two n-grams (they survive more edits), the others three (fewer texts meet).
@@ -43,17 +44,12 @@ FEW, LEAST = 10, 5
 #: The blocks over all n-grams are also added where fewer than this share are rare; they all take three.
 RARE_SHARE = 0.4
 BUCKETS = 1 << 16
+#: Codes of one bucket that go through one task, and how many times the mean makes a bucket hot.
+HOT, HOT_TIMES = 1 << 17, 16
 NEAR = 0.1
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
-_FACTORS = _mix(np.arange(1, 1 + 3 * BLOCKS, dtype=np.uint64)) | np.uint64(1)
+_FACTORS = mix(np.arange(1, 1 + 3 * BLOCKS, dtype=np.uint64)) | np.uint64(1)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +66,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     pairs = (rest >= 2) & (broad[:-3] | broad[1:-2])
     fours = (rest >= 4) & ~(broad[:-3] | broad[1:-2] | broad[2:-1] | broad[3:])
     short = (rest == size[owner]) & (size[owner] < 4) if n else rest > 0
-    grams = _mix(np.concatenate([pair[pairs], four[fours], four[short]]))
+    grams = mix(np.concatenate([pair[pairs], four[fours], four[short]]))
     owner = np.concatenate([owner[pairs], owner[fours], owner[short]])
     order = np.lexsort((grams, owner))
     grams, owner = grams[order], owner[order]
@@ -90,7 +86,7 @@ def signature(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(n, dtype=np.int64), size)
     c = codes.astype(np.uint64)
     with np.errstate(over="ignore"):
-        pair = _mix(c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+        pair = mix(c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
     inside = owner[1:] == owner[:-1]
     cells = owner[:-1][inside] * 128 + (pair[inside] >> np.uint64(57)).astype(np.int64)
     odd = (np.bincount(cells, minlength=128 * n) & 1).astype(np.uint8)
@@ -125,10 +121,10 @@ def blocks(grams: np.ndarray, offsets: np.ndarray, salt: np.ndarray, of_two: int
     starts = offsets[:-1]
     with np.errstate(over="ignore"):
         for t in range(BLOCKS):
-            codes = [_mix(np.minimum.reduceat(grams * f, starts)) for f in _FACTORS[3 * t : 3 * t + (2 if t < of_two else 3)]]
+            codes = [mix(np.minimum.reduceat(grams * f, starts)) for f in _FACTORS[3 * t : 3 * t + (2 if t < of_two else 3)]]
             a, b, c = codes if t >= of_two else (*codes, _FACTORS[t])
             sign = (a & b) | (b & c) | (a & c)
-            out[:, t] = _mix(sign + _FACTORS[t] + salt).view(np.int64)
+            out[:, t] = mix(sign + _FACTORS[t] + salt).view(np.int64)
     return out
 
 
@@ -148,7 +144,7 @@ def _codes(common: np.ndarray):
             n_rare = np.diff(np.concatenate([[0], np.cumsum(rare)])[offsets])
             n_all = np.diff(offsets)
             size, bits = signature(texts)
-            salt = _mix(groups.to_numpy().astype(np.uint64) + np.uint64(0x51ED2701))
+            salt = mix(groups.to_numpy().astype(np.uint64) + np.uint64(0x51ED2701))
             for kept, rows, extra in ((rare, n_rare >= LEAST, 0), (np.ones(len(grams), bool), ((n_rare < FEW) | (n_rare < RARE_SHARE * n_all)) & (n_all > 0), 1)):
                 at = np.flatnonzero(rows)
                 if not len(at):
@@ -171,21 +167,22 @@ def near_texts(texts: DataFrame, near: float = NEAR) -> DataFrame:
     common = common_buckets(texts, "text", total)
     codes = texts.select("id", "text", "grp", "train", "held").mapInArrow(_codes(common), "code bigint, id bigint, train boolean, held boolean, n int, s bigint, z bigint")
     codes = cut(codes, "codes")
-    left = codes.where("train").select("code", F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("z").alias("za"))
-    right = codes.where("held").select("code", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("z").alias("zb"))
+    bucket = F.expr(f"cast(code & {BUCKETS - 1} as int)")
+    sizes = codes.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(sizes.where(F.col("n") > F.lit(max(HOT, HOT_TIMES * BLOCKS * total // BUCKETS))).select("bucket", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "hot")
+    codes = codes.withColumn("bucket", bucket).join(F.broadcast(sizes), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = codes.where("train").select("code", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("z").alias("za"))
+    right = codes.where("held").select("code", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("z").alias("zb"))
     bound = f"cast(floor(greatest(na, nb) * {near:g}D + 1e-9D) as int)"
-    met = left.join(right, "code").where("a <> b").where(F.expr(f"abs(na - nb) <= {bound} AND bit_count(sa ^ sb) + bit_count(za ^ zb) <= 4 * {bound}"))
+    met = left.join(right, ["code", "salt"]).where("a <> b").where(F.expr(f"abs(na - nb) <= {bound} AND bit_count(sa ^ sb) + bit_count(za ^ zb) <= 4 * {bound}"))
     met = met.select("a", "b", F.expr(bound).alias("d")).distinct()
     sized = texts.select("id", "text")
     pairs = met.join(sized.toDF("a", "ta"), "a").join(sized.toDF("b", "tb"), "b")
     return pairs.where(F.expr("levenshtein(ta, tb, d) >= 0")).select("a", "b")
 
 
-def overlaps(records: DataFrame, near: float = NEAR) -> DataFrame:
-    """``grp, train_id, held_id, held_split`` of all equal or near records across splits.
-
-    ``records`` has grp (int), id, text, split; train against validation and test within a grp.
-    """
+def _matched(records: DataFrame, near: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members of the texts that have a match, on the train side (a) and the held-out side (b); the pairs a, b."""
     sides = records.where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("split").isin("train", "validation", "test"))
     sides = sides.select("grp", "id", "split", "text").distinct().withColumn("text", reduced("text")).where("text <> ''")
     members = cut(sides.distinct(), "members")
@@ -196,6 +193,38 @@ def overlaps(records: DataFrame, near: float = NEAR) -> DataFrame:
     used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     named = texts.join(used, "id", "left_semi").select("grp", "text", F.col("id").alias("t"))
     own = cut(members.join(named, ["grp", "text"]).select("grp", "t", "id", "split"), "own")
+    discard(members, texts)
     train = own.where("split = 'train'").select("grp", F.col("t").alias("a"), F.col("id").alias("train_id"))
-    held = own.where("split <> 'train'").select(F.col("t").alias("b"), F.col("id").alias("held_id"), F.col("split").alias("held_split"))
-    return train.join(pairs, "a").join(held, "b").select("grp", "train_id", "held_id", "held_split").where("train_id <> held_id")
+    held = own.where("split <> 'train'").select("grp", F.col("t").alias("b"), F.col("id").alias("held_id"), F.col("split").alias("held_split"))
+    return train, held, pairs
+
+
+def overlaps(records: DataFrame, near: float = NEAR) -> DataFrame:
+    """``grp, train_id, held_id, held_split`` of all equal or near records across splits.
+
+    ``records`` has grp (int), id, text, split; train against validation and test within a grp.
+    """
+    train, held, pairs = _matched(records, near)
+    return train.join(pairs, "a").join(held.drop("grp"), "b").select("grp", "train_id", "held_id", "held_split").where("train_id <> held_id")
+
+
+def overlap_counts(records: DataFrame, near: float = NEAR) -> DataFrame:
+    """``grp, held_split, n_pairs, n_records``: the overlaps counted without making them.
+
+    Ids with one text are counted per text, and texts that match multiply their counts. Only ids
+    with several texts or on several sides, whose pairs could repeat, are paired one by one.
+    """
+    train, held, pairs = _matched(records, near)
+    seen = train.select("grp", F.col("train_id").alias("id")).unionByName(held.select("grp", F.col("held_id").alias("id")))
+    several = cut(seen.groupBy("grp", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp", "id", F.lit(True).alias("multi")), "several")
+    flagged = lambda df, key: df.join(several.withColumnRenamed("id", key), ["grp", key], "left").withColumn("multi", F.coalesce("multi", F.lit(False)))
+    train, held = cut(flagged(train, "train_id"), "train"), cut(flagged(held, "held_id"), "held")
+    n_train = train.where("NOT multi").groupBy("a").agg(F.count(F.lit(1)).alias("n_train"))
+    n_held = held.where("NOT multi").groupBy("grp", "b", "held_split").agg(F.count(F.lit(1)).alias("n_held"))
+    counted = pairs.join(n_train, "a").join(n_held, "b").groupBy("grp", "held_split").agg(F.sum(F.col("n_train") * F.col("n_held")).alias("n_pairs"))
+    left, right = train.select("a", "train_id", F.col("multi").alias("m")), held.select("grp", "b", "held_id", "held_split", "multi")
+    ones = left.where("m").join(pairs, "a").join(right, "b").unionByName(left.where("NOT m").join(pairs, "a").join(right.where("multi"), "b"))
+    ones = cut(ones.where("train_id <> held_id").select("grp", "train_id", "held_id", "held_split", "multi").distinct(), "ones")
+    records_ = held.where("NOT multi").select("grp", "held_split", "held_id").unionByName(ones.where("multi").select("grp", "held_split", "held_id")).distinct()
+    pairs_ = counted.unionByName(ones.groupBy("grp", "held_split").agg(F.count(F.lit(1)).alias("n_pairs"))).groupBy("grp", "held_split").agg(F.sum("n_pairs").alias("n_pairs"))
+    return pairs_.join(records_.groupBy("grp", "held_split").agg(F.count(F.lit(1)).alias("n_records")), ["grp", "held_split"])

@@ -21,14 +21,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.storage import cut
+from pathloom.storage import cut, discard
 
 CAPACITY = 2048
 #: Items of a window on average; the largest window of a hash deal exceeds it by a few percent.
 WINDOW = 4096
 #: A container with more than this share unused is dealt again, while several windows are left.
 LOOSE = 0.005
-_LEVELS = 40
+#: Where more than this share of the items dealt lies in loose containers, dealing again is at its end.
+SETTLED = 0.9
+#: Levels of dealing, and partitions of one level; windows beyond the latter share partitions.
+_LEVELS, MAX_TASKS = 40, 20_000
 
 PLACED = T.StructType([
     T.StructField("item", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("size", T.IntegerType()),
@@ -102,28 +105,29 @@ def _window(capacity: int, last: bool):
 
 
 def containers(df: DataFrame, item: str, size: str | Column, capacity: int = CAPACITY, window: int = WINDOW) -> DataFrame:
-    """``item, part, size, container, start``: where each item, or each part of a long one, lies."""
+    """``item, part, size, container, start``: where each item, or each part of a long one, lies.
+
+    Every level deals what is left to one partition per window (their few bytes would otherwise be
+    merged into one task). The last level keeps all of its containers, whatever space they have.
+    """
     length = F.col(size) if isinstance(size, str) else size
     parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / capacity))).cast("array<int>")
     items = df.select(F.col(item).cast("bigint").alias("item"), F.coalesce(length.cast("bigint"), F.lit(0)).alias("n"))
     left = cut(items.select("item", F.explode(parts).alias("part"), "n").select("item", "part", F.least(F.lit(capacity), F.col("n") - F.col("part") * capacity).cast("int").alias("size")), "items")
+    base, count = left, left.count()
     out, level = None, 0
-    for level in range(_LEVELS):
-        count = left.count()
+    while True:
         windows = max(1, -(-count // window))
-        last = windows == 1
+        last = windows == 1 or level == _LEVELS - 1
         dealt = left.select("item", "part", "size", (F.pmod(F.xxhash64("item", "part", F.lit(level)), F.lit(windows)) * _LEVELS + level).alias("w"))
+        dealt = dealt.repartition(min(windows, MAX_TASKS), "w")
         placed = cut(dealt.groupBy("w").applyInPandas(_window(capacity, last), PLACED), "placed")
-        done = placed if last else placed.where("done")
+        loose = 0 if last else placed.where("NOT done").count()
+        settled = not loose or loose > SETTLED * count  # dealing again gains nothing: these containers stay as they are
+        done = placed if settled else placed.where("done")
         out = done if out is None else out.unionByName(done)
-        if last:
-            break
-        rest = placed.where("NOT done").select("item", "part", "size")
-        fewer = rest.count()
-        left = rest
-        if not fewer:
-            break
-        if fewer > 0.9 * count:  # nothing left to gain by dealing again: these containers stay as they are
-            out = out.unionByName(placed.where("NOT done"))
-            break
-    return out.drop("done")
+        if level == 0:
+            discard(base)
+        if settled:
+            return out.drop("done")
+        left, count, level = placed.where("NOT done").select("item", "part", "size"), loose, level + 1

@@ -83,25 +83,28 @@ SELECT group_id, candidate_id, CAST(place AS INTEGER) AS place FROM ranked WHERE
 _SPLIT_TEXTS = (("listwise_tasks", "task_id", "intent", "target_split"), ("review_candidates", "group_id", "oracle_text", "split"), ("gui_step_examples", "example_id", "instruction", "split"))
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = None
     for k, (name, key, text, split) in enumerate(_SPLIT_TEXTS):
         part = table(spark, sf_dir, name).select(F.lit(k).alias("grp"), F.col(key).alias("id"), F.col(text).alias("text"), F.col(split).alias("split"))
         records = part if records is None else records.unionByName(part)
-    names = F.array(*[F.lit(x[0]) for x in _SPLIT_TEXTS])
-    return overlap.overlaps(records).withColumn("table_name", F.get(names, F.col("grp")))
+    return records
+
+
+def _split_name():
+    return F.get(F.array(*[F.lit(x[0]) for x in _SPLIT_TEXTS]), F.col("grp")).alias("table_name")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a train and a held-out record with equal or nearly equal texts, each once."""
-    found = _overlaps(spark, sf_dir)
-    return found.select("table_name", F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b")).distinct()
+    found = overlap.overlaps(_split_texts(spark, sf_dir))
+    return found.select(_split_name(), F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b")).distinct()
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping pairs, and held-out records that overlap, per table and split."""
-    found = _overlaps(spark, sf_dir).distinct()
-    return found.groupBy("table_name", "held_split").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("held_id").alias("n_records"))
+    found = overlap.overlap_counts(_split_texts(spark, sf_dir))
+    return found.select(_split_name(), "held_split", "n_pairs", "n_records")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,16 @@ combine, so a hub costs no task more than others), edges are rewritten by two jo
 and repeats go. About a quarter of the vertices leave per round, whatever the graph's diameter.
 The merges of all rounds form a forest; pointer doubling unwinds it to the final labels.
 
+Splits are cut from the components in the order of a hash, so that no split gets the small or the
+large ones only.
+
 Defined cases: a record without any key is a component of its own; keys that are null, empty or
 named as nobody tie nothing; tables may be empty; repeated rows are records of their own.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -24,6 +28,8 @@ from pyspark.sql import Window as W
 from pathloom.storage import cut, discard
 
 MAX_ROUNDS = 200
+#: A component beyond this part of the smallest share is placed before the others.
+HEAVY = 0.02
 
 
 def person_key(column: str, nobody: Sequence[str] = ("", "unknown")) -> Column:
@@ -101,26 +107,53 @@ def components(records: DataFrame, ids: Sequence[str], keys: Sequence[str]) -> D
     return found.join(labels, "vertex", "left").select("_ids.*", F.coalesce("label", "vertex").alias("component"))
 
 
-def assign(labelled: DataFrame, shares: dict[str, float], seed: int = 0, buckets: int = 1024) -> DataFrame:
+def _placed_large(large: list[tuple[str, int]], shares: dict[str, float], total: int, seed: int) -> tuple[list[tuple[str, str]], dict[str, float]]:
+    """A split for each heavy component, drawn in proportion to the room left; and the room left over."""
+    room = {name: share * total for name, share in shares.items()}
+    placed = []
+    for component, weight in large:
+        fits = {n: r for n, r in room.items() if r >= weight} or {max(room, key=room.get): 1.0}
+        at = int.from_bytes(hashlib.md5(f"{seed}:{component}".encode()).digest()[:8], "big") / 2**64 * sum(fits.values())
+        for name, r in fits.items():
+            at -= r
+            if at < 0:
+                break
+        room[name] -= weight
+        placed.append((component, name))
+    return placed, {name: max(0.0, r) for name, r in room.items()}
+
+
+def assign(labelled: DataFrame, shares: dict[str, float], seed: int = 0, bucket: int = 4096) -> DataFrame:
     """``labelled`` with ``new_split``: whole components, in the given shares of all rows.
 
-    Components are laid end to end by falling weight class and then by hash, and cut where the
-    cumulative weight passes a share. The running sum is taken over (class, bucket) totals, of
-    which there are at most 64 * ``buckets``, and within each of those over its own components.
+    Components are laid end to end in the order of a hash, which depends on nothing else, and cut
+    where the cumulative weight passes a share: every split holds small and large components alike.
+    Components beyond ``HEAVY`` of the smallest share, of which there are at most 1 / that, would
+    move a cut too far; they are drawn first, and what room they leave is cut for the others. The
+    running sum goes over totals of hash buckets of about ``bucket`` components, then within each.
     """
     sized = cut(labelled.groupBy("component").agg(F.count("*").alias("weight")), "sized")
-    sized = sized.select("*", F.floor(F.log2("weight")).cast("int").alias("kind"), F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(buckets)).cast("int").alias("bucket"))
-    order = W.orderBy(F.col("kind").desc(), "bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = sized.groupBy("kind", "bucket").agg(F.sum("weight").alias("total"))
-    totals = totals.select("kind", "bucket", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("before"), F.sum("total").over(W.partitionBy()).alias("all"))
-    inside = W.partitionBy("kind", "bucket").orderBy("component").rowsBetween(W.unboundedPreceding, -1)
-    placed = sized.join(F.broadcast(totals), ["kind", "bucket"]).select("component", ((F.col("before") + F.coalesce(F.sum("weight").over(inside), F.lit(0)) + F.col("weight") / 2) / F.col("all")).alias("at"))
-    names, bound, rule = list(shares), 0.0, None
+    count, total = sized.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    shares = {name: share / sum(shares.values()) for name, share in shares.items()}
+    bound = HEAVY * min(shares.values()) * total
+    large = sized.where(F.col("weight") > bound).orderBy(F.col("weight").desc(), "component").collect()
+    placed, room = _placed_large([(r.component, r.weight) for r in large], shares, total, seed)
+    left = max(1.0, sum(room.values()))
+    n = max(1, -(-count // bucket))
+    light = sized.where(F.col("weight") <= bound).select("*", F.xxhash64("component", F.lit(seed)).alias("hash")).select("*", F.pmod("hash", F.lit(n)).alias("bucket"))
+    totals = light.groupBy("bucket").agg(F.sum("weight").alias("own"))
+    totals = totals.select("bucket", F.coalesce(F.sum("own").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = W.partitionBy("bucket").orderBy("hash", "component").rowsBetween(W.unboundedPreceding, -1)
+    at = (F.col("before") + F.coalesce(F.sum("weight").over(inside), F.lit(0)) + F.col("weight") / 2) / left
+    names, upto, rule = list(shares), 0.0, None
     for name in names[:-1]:
-        bound += shares[name] / sum(shares.values())
-        rule = (rule.when if rule is not None else F.when)(F.col("at") < bound, name)
-    placed = placed.select("component", (rule.otherwise(names[-1]) if rule is not None else F.lit(names[-1])).alias("new_split"))
-    return labelled.drop("new_split").join(placed, "component")
+        upto += room[name] / left
+        rule = (rule.when if rule is not None else F.when)(at < upto, name)
+    chosen = light.join(totals, "bucket").select("component", (rule.otherwise(names[-1]) if rule is not None else F.lit(names[-1])).alias("new_split"))
+    if placed:
+        kind = labelled.schema["component"].dataType.simpleString()
+        chosen = chosen.unionByName(labelled.sparkSession.createDataFrame(placed, f"component {kind}, new_split string"))
+    return labelled.drop("new_split").join(chosen, "component")
 
 
 def crossing(labelled: DataFrame, split: str = "split", train: str = "train", held: Sequence[str] = ("validation", "test")) -> DataFrame:

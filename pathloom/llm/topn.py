@@ -5,7 +5,7 @@ group's true N-th best can't fall below. One pass finds these bounds inside the
 partitions (no shuffle), the tightest bound per group is joined to the rows, and only rows that
 reach it are shuffled and ranked: of a group with millions of rows, a few per partition. Bounds
 compare the whole order, ties included, so equal scores prune as well as different ones. A bound
-is only sent where it can drop a row.
+is only sent where it can drop several rows, and dropping fewer bounds never drops a row.
 
 Defined cases: rows with a null group, or a null or NaN score, take no part; a null rank comes
 after all ranks and a null item after all items; an item counts once, by its first row.
@@ -17,16 +17,17 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from pathloom.storage import cut, stored_bytes
+from pathloom.storage import cut, discard, stored_bytes
 
-#: Bounds are broadcast only below this many bytes on disk, and joined by shuffle beyond.
+#: Bounds that are broadcast take at most this many bytes on disk; beyond, those that drop most rows.
 BROADCAST_BYTES = 8 << 20
+#: Rows that bounds are taken from at a time, and how many times N a group must have among them.
+BUFFER, WORTH = 1 << 18, 4
 _NO_RANK = 2147483647
 
 
@@ -38,45 +39,57 @@ def _order(score: str, rank: str, item: str) -> list[Column]:
 _KEYS = ["_o0", "_o1", "_o2", "_o3"]
 
 
+def _bounds_of(df: pd.DataFrame, n: int) -> pd.DataFrame:
+    """Of each group with many rows here, its N-th best distinct item and the number of rows."""
+    rows = df.groupby("_g", sort=False)["_o0"].transform("size")
+    df = df.assign(rows=rows)[rows >= WORTH * n]
+    df = df.sort_values(["_g", *_KEYS], kind="stable")
+    df = df[~df.duplicated(["_g", "_o2", "_o3"])]
+    return df[df.groupby("_g", sort=False).cumcount() == n - 1]
+
+
 def _local_bounds(n: int):
-    """Per partition: the N-th best distinct item of each group that has more than N rows there."""
+    """Per partition, a bounded buffer of rows at a time: bounds of the groups that have many rows there.
 
-    def best(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["_g", *_KEYS], kind="stable")
-        df = df[~df.duplicated(["_g", "_o2", "_o3"])]
-        return df[df.groupby("_g", sort=False).cumcount() < n]
+    A bound of any part of a group's rows holds for the whole group, so buffers needn't be merged:
+    time is linear in the rows and memory follows the buffer, however many groups there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, rows = None, None
+        held, size = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            df = batch.to_pandas()
-            seen = df["_g"].value_counts()
-            rows = seen if rows is None else rows.add(seen, fill_value=0)
-            own = best(df)
-            kept = own if kept is None else best(pd.concat([kept, own]))
-        if kept is None:
-            return
-        nth = kept[kept.groupby("_g", sort=False).cumcount() == n - 1]
-        nth = nth[nth["_g"].map(rows) > n]
-        yield pa.RecordBatch.from_pandas(nth[["_g", *_KEYS]], schema=_BOUNDS, preserve_index=False)
+            held.append(batch)
+            size += batch.num_rows
+            if size >= BUFFER:
+                yield made(held)
+                held, size = [], 0
+        if size:
+            yield made(held)
+
+    def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        found = _bounds_of(pa.Table.from_batches(held).to_pandas(), n)
+        return pa.RecordBatch.from_pandas(found[_BOUNDS.names], schema=_BOUNDS, preserve_index=False)
 
     return run
 
 
-_BOUNDS = pa.schema([("_g", pa.string()), ("_o0", pa.float64()), ("_o1", pa.int64()), ("_o2", pa.bool_()), ("_o3", pa.string())])
+_BOUNDS = pa.schema([("rows", pa.int64()), ("_g", pa.string()), ("_o0", pa.float64()), ("_o1", pa.int64()), ("_o2", pa.bool_()), ("_o3", pa.string())])
 
 
 def top_n(df: DataFrame, n: int, group: str, item: str, score: str, rank: str) -> DataFrame:
     """Columns ``group``, ``item``, ``score``, ``rank`` and ``place`` of the first ``n`` items per group."""
     rows = df.where(F.col(group).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
     rows = rows.select(F.col(group).cast("string").alias("_g"), *[c.alias(k) for k, c in zip(_KEYS, _order(score, rank, item))], F.col(score).alias("_s"), F.col(rank).alias("_r"), F.col(item).alias("_i"))
-    kinds = T.StructType([T.StructField("_g", T.StringType()), T.StructField("_o0", T.DoubleType()), T.StructField("_o1", T.LongType()), T.StructField("_o2", T.BooleanType()), T.StructField("_o3", T.StringType())])
+    kinds = T.StructType([T.StructField("rows", T.LongType()), T.StructField("_g", T.StringType()), T.StructField("_o0", T.DoubleType()), T.StructField("_o1", T.LongType()), T.StructField("_o2", T.BooleanType()), T.StructField("_o3", T.StringType())])
     local = rows.select("_g", *_KEYS).mapInArrow(_local_bounds(n), kinds)
-    bounds = cut(local.groupBy("_g").agg(F.min(F.struct(*_KEYS)).alias("_bound")), "bounds")
-    small = stored_bytes(bounds) <= BROADCAST_BYTES
-    held = rows.join(F.broadcast(bounds) if small else bounds, "_g", "left")
+    bounds = cut(local.groupBy("_g").agg(F.min(F.struct(*_KEYS)).alias("_bound"), F.sum("rows").alias("rows")), "bounds")
+    size = stored_bytes(bounds)
+    if size > BROADCAST_BYTES:
+        # A bound only saves work: the ones that drop most go along, rows of other groups pass unfiltered.
+        every = bounds
+        bounds = cut(every.orderBy(F.col("rows").desc(), "_g").limit(max(1, every.count() * BROADCAST_BYTES // size)), "bounds")
+        discard(every)
+    held = rows.join(F.broadcast(bounds.drop("rows")), "_g", "left")
     held = held.where(F.col("_bound").isNull() | (F.struct(*_KEYS) <= F.col("_bound")))
     # Each item once, by its first row; then at most N * partitions rows of a hot group are ranked.
     first = held.groupBy("_g", "_o2", "_o3").agg(F.min(F.struct(*_KEYS, "_s", "_r", "_i")).alias("_x"))
