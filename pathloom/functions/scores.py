@@ -95,3 +95,16 @@ def tempered_fusion(base: Column, adapted: Column, gate: Column, over: W) -> Col
 
 def step_limit(golden: Column, most: int) -> Column:
     return F.least(F.lit(most), F.floor(2.5 * golden).cast("int"))
+
+
+def task_reward(success: Column, progress: Column, invalid: Column, risk: Column, eta: float = 0.5, mu: float = 0.1, nu: float = 0.2) -> Column:
+    """Success and part of the progress, less penalties for invalid actions and risk; what is missing counts nothing."""
+    c = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    return c(success) + eta * c(progress) - mu * c(invalid) - nu * c(risk)
+
+
+def task_distance(left: Column, right: Column, success: float = 1.0, progress: float = 0.5, goal: float = 0.5, invalid: float = 0.1) -> Column:
+    """Weighted differences of two outcomes (structs of task_success, progress, goal_state, invalid_count)."""
+    gap = lambda n: F.abs(F.coalesce(left[n].cast("double"), F.lit(0.0)) - F.coalesce(right[n].cast("double"), F.lit(0.0)))
+    other = F.when(left["goal_state"].eqNullSafe(right["goal_state"]), 0.0).otherwise(1.0)
+    return success * gap("task_success") + progress * gap("progress") + goal * other + invalid * gap("invalid_count")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -28,15 +29,19 @@ def key_clean(c: Column) -> Column:
     return F.replace(key_compact(c), F.lit("�"), F.lit(""))
 
 
-@F.arrow_udf(T.StringType())
-def key_alnum(texts: pa.Array) -> pa.Array:
-    """Compatibility form, case-folded, alphanumeric characters only; null as empty."""
-    return pa.array(["".join(ch for ch in unicodedata.normalize("NFKC", t or "").casefold() if ch.isalnum()) for t in texts.to_pylist()], pa.string())
+_NOT_ALNUM = re.compile(r"[^\w\x00]|_")
 
 
-def key_ascii(c: Column) -> Column:
-    """The alphanumeric key for ASCII texts, without leaving the JVM."""
-    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+@F.arrow_udf(T.StringType())
+def key_alnum(texts: pa.Array) -> pa.Array:
+    """Compatibility form, case-folded, alphanumeric characters only; null as empty.
+
+    A column is one string for these steps, with a character between its texts that none of them keeps.
+    """
+    if not len(texts):
+        return pa.array([], pa.string())
+    joined = "\x00".join(t.replace("\x00", " ") for t in texts.fill_null("").to_pylist())
+    return pa.array(_NOT_ALNUM.sub("", unicodedata.normalize("NFKC", joined).casefold()).split("\x00"), pa.string())
 
 
 def bigrams(key: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.operators.ranking import ranked
+from pathloom.operators.ranking import numbered, ranked
 
 
 def latest_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, payload: Column, name: str) -> DataFrame:
@@ -47,10 +47,25 @@ def latest_fraction_split(df: DataFrame, user: str, order: Sequence[Column], fra
     return placed.withColumn("part", part).drop("_place", "_n")
 
 
+def beside(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: dict[str, str], step: int = 1) -> DataFrame:
+    """``df`` with columns of the row ``step`` places later among the same keys (earlier if negative), null where there is none.
+
+    Rows are numbered over the whole cluster and met by their number, so that no key is one task's
+    window, however many rows it has. ``columns`` maps new names to columns.
+    """
+    placed = numbered(df, [*[F.col(k) for k in keys], *order], "_rn")
+    other = placed.select((F.col("_rn") - step).alias("_rn"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns.values())])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    met = placed.join(other, "_rn", "left").withColumns({name: F.when(same, F.col(f"_c{i}")) for i, name in enumerate(columns)})
+    return met.drop("_rn", *[f"_k{i}" for i in range(len(keys))], *[f"_c{i}" for i in range(len(columns))])
+
+
 def transitions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], state: str) -> DataFrame:
     """Each step with the next state, whether there is one, and whether it ends its episode."""
-    following = F.lead(state).over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("next_state", following).withColumn("has_next", F.col("next_state").isNotNull()).withColumn("terminal", ~F.col("has_next"))
+    out = beside(df, keys, order, {"next_state": state})
+    return out.withColumn("has_next", F.col("next_state").isNotNull()).withColumn("terminal", ~F.col("has_next"))
 
 
 def without_keys(df: DataFrame, excluded: DataFrame, keys: Sequence[str]) -> DataFrame:

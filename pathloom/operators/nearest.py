@@ -1,7 +1,7 @@
 """The earlier or foreign text most alike, by Dice over character pairs, exact over all eligible rows.
 
-Keys are lower-case letters and digits; a block of them is a 0/1 matrix over the possible character
-pairs, so what two blocks share is one matrix product and no pair of rows is ever shuffled. Rows of
+Keys are letters and digits of any script; two blocks of them are 0/1 matrices over the character
+pairs that both have, so what they share is one matrix product and no pair of rows is ever shuffled. Rows of
 a busy user, and the two sides of a comparison across users, are cut into blocks of ``BLOCK`` rows
 and every pair of blocks is a task of its own; what leaves it is one row per target.
 """
@@ -16,35 +16,46 @@ from pyspark.sql import functions as F
 
 from pathloom.operators.stats import hash_unit
 
-BLOCK = 8192
+BLOCK = 4096
 #: Groups that the users are dealt to, and target rows scored in one product.
 GROUPS, ROWS = 64, 256
-_N = 36
 
 
-def bigram_matrix(keys: pa.Array) -> np.ndarray:
-    """One row per key over its distinct character pairs; a key of one character has a cell of its own."""
+def pair_sets(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and code of every distinct character pair of every key; a key of one character has a code of its own."""
     keys = keys.cast(pa.large_string())
-    n = len(keys)
-    raw = keys.buffers()
-    offsets = np.frombuffer(raw[1], np.int64, n + 1, 8 * keys.offset)
-    data = np.frombuffer(raw[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.int64) if raw[2] is not None else np.zeros(0, np.int64)
-    data = np.where(data >= 97, data - 97, data - 48 + 26)
-    size = np.diff(offsets)
-    owner = np.repeat(np.arange(n), size)
-    out = np.zeros((n, _N * _N + _N), np.float32)
-    joined = owner[1:] == owner[:-1]
-    out[owner[:-1][joined], (data[:-1] * _N + data[1:])[joined]] = 1
-    alone = size[owner] == 1
-    out[owner[alone], _N * _N + data[alone]] = 1
-    return out
-
-
-def _best(a: np.ndarray, b: np.ndarray, rules) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per rule (rows -> mask over ``b``) the targets that have a reference, it, and the similarity; ties go to the first."""
-    used = a.any(axis=0) & b.any(axis=0)
-    na, nb = a.sum(axis=1), b.sum(axis=1)
-    a, b = a[:, used], b[:, used]
+    codes = np.frombuffer("\x00".join(keys.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    owner = np.cumsum(codes == 0)
+    real = codes > 0
+    size = np.bincount(owner[real], minlength=len(keys))
+    joined = real[1:] & real[:-1]
+    alone = real & (size[owner] == 1)
+    pair = np.concatenate([codes[:-1][joined] << 21 | codes[1:][joined], codes[alone] << 21])
+    owner = np.concatenate([owner[:-1][joined], owner[alone]])
+    order = np.lexsort((pair, owner))
+    pair, owner = pair[order], owner[order]
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (owner[1:] != owner[:-1])
+    return owner[new], pair[new]
+
+
+def _matrices(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """0/1 rows of both sides over the pairs that both have, and how many pairs each row has in all."""
+    (oa, ca), (ob, cb) = pair_sets(left), pair_sets(right)
+    both = np.intersect1d(ca, cb)
+    out = []
+    for owner, code, n in ((oa, ca, len(left)), (ob, cb, len(right))):
+        at = np.minimum(np.searchsorted(both, code), max(len(both) - 1, 0))
+        some = both[at] == code if len(both) else np.zeros(len(code), bool)
+        rows = np.zeros((n, len(both)), np.float32)
+        rows[owner[some], at[some]] = 1
+        out += [rows, np.bincount(owner, minlength=n).astype(np.float32)]
+    return tuple(out)
+
+
+def _best(left: pa.Array, right: pa.Array, rules) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per rule (rows -> mask over ``right``) the targets that have a reference, it, and the similarity; ties go to the first."""
+    a, na, b, nb = _matrices(left, right)
     parts = [[] for _ in rules]
     for lo in range(0, len(a), ROWS):
         rows = slice(lo, min(lo + ROWS, len(a)))
@@ -111,7 +122,7 @@ def best_of_same_user(df: DataFrame, user: str, order: Column, key: str, other:
             rules = [lambda r: oy[None, :] < ox[r, None]]
             if other:
                 rules.append(lambda r: (oy[None, :] < ox[r, None]) & (ty[None, :] != tx[r, None]))
-            found = _best(bigram_matrix(x.column("k").combine_chunks()), bigram_matrix(y.column("k").combine_chunks()), rules)
+            found = _best(x.column("k").combine_chunks(), y.column("k").combine_chunks(), rules)
             tables.append(_table(found, names, _ints(x, "row_id"), _ints(y, "row_id")))
         return pa.concat_tables(tables) if tables else _table([], [], None, None)
 
@@ -147,7 +158,7 @@ def best_of_other_group(df: DataFrame, user: str, group: str, time: str, key: st
         ux, uy, ax, ay = _ints(left, "u"), _ints(right, "u"), _ints(left, "a"), _ints(right, "a")
         anyone = lambda r: (uy[None, :] != ux[r, None]) & (ay[None, :] != ax[r, None])
         rules = [anyone, lambda r: anyone(r) & (ty[None, :] < tx[r, None]) & dx[r, None] & dy[None, :]]
-        found = _best(bigram_matrix(left.column("k").combine_chunks()), bigram_matrix(right.column("k").combine_chunks()), rules)
+        found = _best(left.column("k").combine_chunks(), right.column("k").combine_chunks(), rules)
         return _table(found, ["any", "past"], _ints(left, "row_id"), _ints(right, "row_id"))
 
     found = targets.groupBy("tb", "rb").cogroup(references.groupBy("tb", "rb")).applyInArrow(run, _FOUND)

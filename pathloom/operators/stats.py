@@ -8,22 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pathloom.operators.ranking import ranked
+
 
 def lower_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
-    """``sorted[int((n - 1) p)]`` per key, from counts of distinct values and not from collected lists."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    below = F.sum("n").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1))
-    total = F.sum("n").over(W.partitionBy(*keys))
-    at = counted.select(*keys, value, F.coalesce(below, F.lit(0)).alias("_b"), "n", total.alias("_t"))
-    picks = [F.max(F.when((F.floor((F.col("_t") - 1) * p) >= F.col("_b")) & (F.floor((F.col("_t") - 1) * p) < F.col("_b") + F.col("n")), F.col(value))).alias(f"q{round(p * 100)}") for p in probabilities]
-    return at.groupBy(*keys).agg(F.max("_t").alias("n"), *picks)
+    """``sorted[int((n - 1) p)]`` per key; values are ranked over the cluster, so a key may have any share of the rows."""
+    placed = ranked(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [F.col(value)], "_r", "_t")
+    picks = [F.max(F.when(F.col("_r") - 1 == F.floor((F.col("_t") - 1) * p), F.col(value))).alias(f"q{round(p * 100)}") for p in probabilities]
+    return placed.groupBy(*keys).agg(F.max("_t").alias("n"), *picks)
 
 
 def linear_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
-    """Interpolated quantiles with count, mean, least and greatest value."""
-    q = F.percentile(value, F.array(*[F.lit(p) for p in probabilities]))
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), q.alias("_q"))
-    return out.select(*keys, "n", "mean", "least", "most", *[F.col("_q")[i].alias(f"q{round(p * 100)}") for i, p in enumerate(probabilities)])
+    """Interpolated quantiles with count, mean, least and greatest value, from the same ranks."""
+    placed = ranked(df.where(F.col(value).isNotNull()).select(*keys, value), keys, [F.col(value)], "_r", "_t")
+    at = {f"q{round(p * 100)}": (F.col("_t") - 1) * p for p in probabilities}
+    pick = lambda where, name: F.max(F.when(F.col("_r") - 1 == where, F.col(value).cast("double"))).alias(name)
+    ends = [c for name, h in at.items() for c in (pick(F.floor(h), f"{name}_lo"), pick(F.ceil(h), f"{name}_hi"), F.max(h - F.floor(h)).alias(f"{name}_f"))]
+    out = placed.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), *ends)
+    return out.select(*keys, "n", "mean", "least", "most", *[(F.col(f"{q}_lo") + (F.col(f"{q}_hi") - F.col(f"{q}_lo")) * F.col(f"{q}_f")).alias(q) for q in at])
 
 
 def hash_unit(*parts: Column) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions.scores import sigmoid
+
 
 def align_chat(df: DataFrame, messages: str) -> DataFrame:
     """``system``, ``prompt`` (turns before the last), ``response`` and ``valid``: user and assistant alternate and the assistant is last."""
@@ -33,16 +35,22 @@ def flatten_groups(df: DataFrame, arrays: list[str]) -> DataFrame:
     return zipped.select(*rest, "pos", *[F.col(f"_z.{a}").alias(a) for a in arrays])
 
 
-def greedy_knapsack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Positions per pack: always the largest that still fits; what exceeds the capacity is left out."""
-    order = sorted(range(len(sizes)), key=lambda i: sizes[i])
-    lengths, packs = [sizes[i] for i in order], []
-    while lengths and lengths[0] <= capacity:
-        room, own = capacity, []
-        while (at := bisect.bisect_right(lengths, room) - 1) >= 0:
-            room -= lengths.pop(at)
-            own.append(order.pop(at))
-        packs.append(own)
+def largest_first(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Positions per pack, each filled with the largest item that still fits; what exceeds the capacity is left out."""
+    held: dict[int, list[int]] = {}
+    for at in sorted(range(len(sizes)), key=lambda i: (sizes[i], i)):
+        if sizes[at] <= capacity:
+            held.setdefault(sizes[at], []).append(at)
+    left, packs = sorted(held), []
+    while left:
+        pack, room = [], capacity
+        while fit := bisect.bisect(left, room):
+            size = left[fit - 1]
+            pack.append(held[size].pop())
+            room -= size
+            if not held[size]:
+                del left[fit - 1]
+        packs.append(pack)
     return packs
 
 
@@ -52,7 +60,7 @@ def greedy_packs(df: DataFrame, key: str, size: str, capacity: int, batch: int =
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([size, key])
-        packs = greedy_knapsack(rows[size].tolist(), capacity)
+        packs = largest_first(rows[size].tolist(), capacity)
         keys = rows[key].tolist()
         return pd.DataFrame([(keys[i], int(rows["batch"].iloc[0]), p) for p, own in enumerate(packs) for i in own], columns=[key, "batch", "pack"])
 
@@ -98,3 +106,15 @@ def token_batches(df: DataFrame, key: str, size: str, budget: int, padded: bool
 
     dealt = df.select(key, F.coalesce(size, F.lit(0)).alias(size), F.pmod(F.xxhash64(key), F.lit(batches)).cast("int").alias("batch"))
     return dealt.groupBy("batch").applyInPandas(fill, f"{key} {dict(df.dtypes)[key]}, batch int, step int")
+
+
+def pair_loss(df: DataFrame, keys: list[str], margin: str, target: str, weight: str, beta: float = 1.0) -> DataFrame:
+    """Per key: pairs, weighted soft cross entropy of ``target`` against a sigmoid of the margin, weighted accuracy, mean margin.
+
+    Rows without margin, target or weight take no part; probabilities are held off 0 by 1e-12.
+    """
+    rows = df.where(F.col(margin).isNotNull() & F.col(target).isNotNull() & F.col(weight).isNotNull())
+    p, t, w = sigmoid(F.col(margin) / beta), F.col(target), F.col(weight)
+    log = lambda x: F.ln(F.greatest(x, F.lit(1e-12)))
+    loss = F.sum(w * -(t * log(p) + (1 - t) * log(1 - p))) / F.sum(w)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), loss.alias("loss"), (F.sum(w * (F.col(margin) > 0).cast("double")) / F.sum(w)).alias("accuracy"), F.avg(margin).alias("mean_margin"))

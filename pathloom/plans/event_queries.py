@@ -86,8 +86,7 @@ RANK = "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER
 
 def user_habit_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every user's actions and of pairs of successive actions."""
-    after = F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    pairs = table(spark, sf_dir, "events").select("user_id", "event_type", after.alias("after"))
+    pairs = causal.beside(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id"], [F.col("ts"), F.col("event_id")], {"after": "event_type"})
     one = pairs.groupBy("user_id", F.col("event_type").alias("habit")).agg(F.count(F.lit(1)).alias("n"))
     two = pairs.where("after IS NOT NULL").groupBy("user_id", F.concat_ws("\t", "event_type", "after").alias("habit")).agg(F.count(F.lit(1)).alias("n"))
     return one.unionByName(two)
@@ -234,17 +233,10 @@ SELECT x.root, x.node, x.action AS positive, y.action AS negative, round(x.a - y
 FROM rv x JOIN rv y USING (root, node) WHERE x.a - y.a > 0.05"""
 
 
-def bootstrap_ci_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of the users' mean values with a 95 % interval over users, of 200 draws as in its SQL."""
-    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("m"))
-    out = stats.bootstrap_mean(users, "user_id", "m", 200)
-    return out.select("n_units", *[F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")])
-
-
 _POISSON = "CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.73575888234288467 THEN 1 WHEN u < 0.91969860292860584 THEN 2 WHEN u < 0.98101184312384626 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.99940581518241833 THEN 5 WHEN u < 0.99991675885071207 THEN 6 ELSE 7 END"
 BOOTSTRAP = f"""
 WITH us AS (SELECT user_id, round(avg(value), 6) AS m FROM events GROUP BY user_id),
-dr AS (SELECT d, m, CAST('0x' || substr(md5('42:' || d || ':' || user_id), 1, 8) AS BIGINT) / 4294967296e0 AS u FROM us, range(200) AS r(d)),
+dr AS (SELECT d, m, CAST('0x' || substr(md5('42:' || d || ':' || user_id), 1, 8) AS BIGINT) / 4294967296e0 AS u FROM us, range(1000) AS r(d)),
 me AS (SELECT d, sum({_POISSON} * m) / sum({_POISSON}) AS m FROM dr GROUP BY d)
 SELECT (SELECT count(*) FROM us) AS n_units, (SELECT round(avg(m), 6) FROM us) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM me
 """
@@ -257,9 +249,6 @@ def bootstrap_ci_user_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_units", *[F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")])
 
 
-BOOTSTRAP_1000 = BOOTSTRAP.replace("range(200)", "range(1000)")
-
-
 def top_actions_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per action: events, users, share of all events, mean value."""
     events = table(spark, sf_dir, "events")
@@ -300,7 +289,7 @@ QUERIES = {
     "prior_action_prefix": (prior_action_prefix, PRIOR), "chronological_rank": (chronological_rank, RANK), "user_habit_profile": (user_habit_profile, HABITS),
     "jaccard_tokens": (jaccard_tokens, JACCARD), "transition_candidates": (transition_candidates, CANDIDATES), "transition_tree_edges": (transition_tree_edges, TREE),
     "leaf_reward_propagation": (leaf_reward_propagation, PROPAGATION), "node_advantages": (node_advantages, ADVANTAGES),
-    "residual_values_and_policy": (residual_values_and_policy, POLICY), "preference_pairs": (preference_pairs, PAIRS), "bootstrap_ci_user": (bootstrap_ci_user, BOOTSTRAP), "bootstrap_ci_user_1000": (bootstrap_ci_user_1000, BOOTSTRAP_1000),
+    "residual_values_and_policy": (residual_values_and_policy, POLICY), "preference_pairs": (preference_pairs, PAIRS), "bootstrap_ci_user_1000": (bootstrap_ci_user_1000, BOOTSTRAP),
     "top_actions_audit": (top_actions_audit, AUDIT), "user_longitudinal_coverage": (user_longitudinal_coverage, COVERAGE), "best_checkpoint": (best_checkpoint, CHECKPOINT),
     "windowed_counts": (windowed_counts, WINDOWED),
 }

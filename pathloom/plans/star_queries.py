@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,14 +82,13 @@ SELECT bin, n, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS running, round(100e
 
 def hashed_text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed feature-hash embedding of every document's words, as its non-zero cells."""
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", tokens.alias("tokens"))
-    out = vectors.hashed_embedding(docs, "doc_id", "tokens")
-    return out.select("doc_id", "idx", F.round("weight", 6).alias("weight"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.inline(vectors.hashed_embedding(vectors.words(F.col("text")))))
+    return docs.select("doc_id", "idx", F.round("weight", 6).alias("weight"))
 
 
-EMBEDDING = """
-WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM documents WHERE text IS NOT NULL),
+EMBEDDING = r"""
+WITH l AS (SELECT doc_id, lower(text) AS x FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, unnest(CASE WHEN regexp_matches(x, '[a-z0-9_]') THEN regexp_extract_all(x, '[a-z0-9_]+') ELSE list_filter(regexp_split_to_array(x, '[\t-\r\x1c-\x1f\x{85}\p{Z}]+'), lambda y: y <> '') END) AS token FROM l),
 h AS (SELECT doc_id, md5(token) AS m FROM t),
 c AS (SELECT doc_id, CAST(CAST('0x' || substr(m, 7, 2) || substr(m, 5, 2) || substr(m, 3, 2) || substr(m, 1, 2) AS BIGINT) % 256 AS INTEGER) AS idx, sum(CASE WHEN CAST('0x' || substr(m, 9, 2) AS INTEGER) % 2 = 0 THEN 1e0 ELSE -1e0 END) AS v FROM h GROUP BY ALL),
 n AS (SELECT doc_id, sqrt(sum(v * v)) AS l FROM c WHERE v <> 0 GROUP BY doc_id)
@@ -99,47 +96,10 @@ SELECT doc_id, idx, round(v / l, 6) AS weight FROM c JOIN n USING (doc_id) WHERE
 """
 
 
-def _nearest(queries: np.ndarray, ids: np.ndarray, k: int):
-    """Best k per query over a partition, by blocks of rows against all queries of a block."""
-    unit = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-8)
-
-    def run(batches):
-        best = np.full((len(ids), k), -np.inf)
-        who = np.full((len(ids), k), -1, np.int64)
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
-            s = np.round(unit @ x.T, 5)
-            s[ids[:, None] == own[None, :]] = -np.inf
-            s, w = np.hstack([best, s]), np.hstack([who, np.broadcast_to(own, s.shape)])
-            order = np.lexsort((w, -s), axis=1)[:, :k]
-            best, who = np.take_along_axis(s, order, 1), np.take_along_axis(w, order, 1)
-        some = best > -np.inf
-        row = np.nonzero(some)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(who[some]), pa.array(best[some])], ["query_id", "vec_id", "similarity"])
-
-    return run
-
-
-def embedding_cosine_topk(spark: SparkSession, sf_dir: str, block: int = 2000) -> DataFrame:
-    """The five vectors most alike to every vector whose id is divisible by 100, against all rows.
-
-    Queries go to the executors in blocks of bounded size; each partition returns five per query.
-    """
+def embedding_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors most alike to every vector whose id is divisible by 100, against all rows."""
     rows = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding")
-    asked = rows.where("vec_id % 100 = 0")
-    blocks = asked.withColumn("b", F.floor(F.col("vec_id") / (100 * block)))
-    out = None
-    for (b,) in sorted(blocks.select("b").distinct().collect()):
-        own = blocks.where(F.col("b") == b).orderBy("vec_id").collect()
-        part = rows.mapInArrow(_nearest(np.array([r.embedding for r in own], np.float64), np.array([r.vec_id for r in own]), 5), "query_id bigint, vec_id bigint, similarity double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id bigint, vec_id bigint, similarity double, rank int")
-    from pathloom.operators.causal import top_k
-
-    return top_k(out, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], 5)
+    return vectors.most_alike(rows.where("vec_id % 100 = 0"), rows, "vec_id", "embedding", 5)
 
 
 COSINE = """
@@ -173,19 +133,10 @@ SELECT l_orderkey, CAST(least(greatest(100 - nt, 0), s) AS INTEGER) AS source, C
 """
 
 
-def prompt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that begin with a system tag, as lengths of their system and user parts.
-
-    As in its SQL, other texts are left out, even those with blanks before the tag; :func:`prompt_parts_whole` has all.
-    """
-    rows = table(spark, sf_dir, "documents").where(F.col("text").startswith("[system]")).select("doc_id", text.prompt_parts(F.col("text")).alias("p"))
-    return rows.select("doc_id", F.length("p.system").alias("n_system"), F.length("p.user").alias("n_user"))
-
-
 PROMPTS = r"""
 SELECT doc_id, CASE WHEN ok THEN length(regexp_replace(regexp_extract(text, '(?is)^\s*\[system\](.*?)\[user\](.*)$', 1), '^\s+|\s+$', '', 'g')) END AS n_system,
   length(regexp_replace(CASE WHEN ok THEN regexp_extract(text, '(?is)^\s*\[system\](.*?)\[user\](.*)$', 2) ELSE regexp_replace(text, '(?i)^\s*\[(?:system|user)\]\s*', '') END, '^\s+|\s+$', '', 'g')) AS n_user
-FROM (SELECT *, regexp_matches(text, '(?is)^\s*\[system\](.*?)\[user\](.*)$') AS ok FROM documents WHERE starts_with(text, '[system]'))
+FROM (SELECT *, regexp_matches(text, '(?is)^\s*\[system\](.*?)\[user\](.*)$') AS ok FROM documents WHERE text IS NOT NULL)
 """
 
 
@@ -195,10 +146,9 @@ def prompt_parts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.length("p.system").alias("n_system"), F.length("p.user").alias("n_user"))
 
 
-PROMPTS_WHOLE = PROMPTS.replace("WHERE starts_with(text, '[system]')", "WHERE text IS NOT NULL")
 
 QUERIES = {
     "numeric_summary_linear": (numeric_summary_linear, LINEAR), "numeric_summary_lower": (numeric_summary_lower, LOWER), "nullspace_projection": (nullspace_projection, NULLSPACE),
     "regression_report": (regression_report, REGRESSION), "largest_remainder": (largest_remainder, REMAINDER), "length_cdf": (length_cdf, CDF), "hashed_text_embedding": (hashed_text_embedding, EMBEDDING),
-    "embedding_cosine_topk": (embedding_cosine_topk, COSINE), "comparison_components": (comparison_components, COMPONENTS), "budget_split": (budget_split, BUDGET), "prompt_parts": (prompt_parts, PROMPTS), "prompt_parts_whole": (prompt_parts_whole, PROMPTS_WHOLE),
+    "embedding_cosine_topk": (embedding_cosine_topk, COSINE), "comparison_components": (comparison_components, COMPONENTS), "budget_split": (budget_split, BUDGET), "prompt_parts_whole": (prompt_parts_whole, PROMPTS),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import actions, scores, text
 from pathloom.operators import causal, evaluation, exports, nearest, preference, quality, ranking, retrieval, rules, sampling, stats, training
+from pathloom.plans import sql
 from pathloom.storage import cut, table
 
 R6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
@@ -53,9 +54,8 @@ UNSEEN = "SELECT row_id, user_id, target_split FROM listwise_tasks t WHERE targe
 
 def hour_similarity_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each task against the same user's task before: hour similarity and context score."""
-    tasks = table(spark, sf_dir, "listwise_tasks").select("row_id", "user_id", "episode_time", "scenario")
-    over = W.partitionBy("user_id").orderBy("episode_time", "row_id")
-    out = tasks.where("user_id IS NOT NULL").select("*", F.lag("episode_time").over(over).alias("before"), F.lag("scenario").over(over).alias("scenario_before"))
+    tasks = table(spark, sf_dir, "listwise_tasks").where("user_id IS NOT NULL").select("row_id", "user_id", "episode_time", "scenario")
+    out = causal.beside(tasks, ["user_id"], [F.col("episode_time"), F.col("row_id")], {"before": "episode_time", "scenario_before": "scenario"}, -1)
     t, b = F.col("episode_time"), F.col("before")
     return out.select("row_id", F.round(scores.hour_similarity(t, b), 6).alias("hour_similarity"), F.round(scores.context_score(F.col("scenario"), F.col("scenario_before"), t, b), 6).alias("context"))
 
@@ -68,79 +68,30 @@ SELECT row_id, round(coalesce(sim, 0), 6) AS hour_similarity, round(0.5e0 * coal
 """
 
 
-def bigram_dice_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the user's last ten earlier tasks the one most alike by character pairs of the intent.
-
-    The window is its SQL's; :func:`bigram_dice_whole` compares with all earlier tasks.
-    """
-    tasks = table(spark, sf_dir, "listwise_tasks").where("user_id IS NOT NULL AND intent IS NOT NULL")
-    keyed = tasks.select("row_id", "user_id", "episode_time", text.bigrams(text.key_ascii(F.col("intent"))).alias("grams"))
-    seen = causal.latest_before(keyed, ["user_id"], [F.col("episode_time"), F.col("row_id")], 10, F.struct("row_id", "grams"), "past")
-    best = F.array_max(F.transform("past", lambda p: F.struct(F.round(text.dice(F.col("grams"), p.grams), 6).alias("similarity"), p.row_id.alias("reference"))))
-    return seen.select("row_id", best.alias("b")).where("b IS NOT NULL").select("row_id", "b.reference", "b.similarity")
-
-
-_GRAMS = "CASE WHEN length(k) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, length(k))), lambda i: substr(k, i, 2))) END"
-DICE = f"""
-WITH t AS (SELECT row_id, user_id, episode_time, regexp_replace(lower(intent), '[^a-z0-9]', '', 'g') AS k, row_number() OVER (PARTITION BY user_id ORDER BY episode_time NULLS FIRST, row_id) AS rn FROM listwise_tasks WHERE user_id IS NOT NULL AND intent IS NOT NULL),
-g AS (SELECT row_id, user_id, rn, {_GRAMS} AS grams FROM t),
-p AS (SELECT a.row_id, b.row_id AS reference, round(CASE WHEN len(a.grams) > 0 AND len(b.grams) > 0 THEN 2e0 * len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams)) ELSE 0 END, 6) AS similarity
-  FROM g a JOIN g b ON a.user_id = b.user_id AND b.rn < a.rn AND b.rn >= a.rn - 10)
-SELECT row_id, reference, similarity FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY similarity DESC, reference DESC) AS r FROM p) WHERE r = 1
-"""
-
-
 def bigram_dice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all the user's earlier tasks the one most alike by character pairs of the intent."""
     tasks = table(spark, sf_dir, "listwise_tasks").where("user_id IS NOT NULL AND intent IS NOT NULL")
     place = F.row_number().over(W.partitionBy("user_id").orderBy("episode_time", "row_id"))
-    keyed = cut(tasks.select("row_id", "user_id", place.alias("place"), text.key_ascii(F.col("intent")).alias("key")), "keyed")
+    keyed = cut(tasks.select("row_id", "user_id", place.alias("place"), text.key_alnum("intent").alias("key")), "keyed")
     return nearest.best_of_same_user(keyed, "user_id", F.col("place"), "key", late=False).select("row_id", "reference", "similarity")
 
 
 DICE_WHOLE = f"""
-WITH t AS (SELECT row_id, user_id, regexp_replace(lower(intent), '[^a-z0-9]', '', 'g') AS k, row_number() OVER (PARTITION BY user_id ORDER BY episode_time NULLS FIRST, row_id) AS rn FROM listwise_tasks WHERE user_id IS NOT NULL AND intent IS NOT NULL),
-g AS (SELECT row_id, user_id, rn, {_GRAMS} AS grams FROM t),
+WITH t AS (SELECT row_id, user_id, {sql.key('intent')} AS k, row_number() OVER (PARTITION BY user_id ORDER BY episode_time NULLS FIRST, row_id) AS rn FROM listwise_tasks WHERE user_id IS NOT NULL AND intent IS NOT NULL),
+g AS (SELECT row_id, user_id, rn, {sql.GRAMS} AS grams FROM t),
 p AS (SELECT a.row_id, b.row_id AS reference, round(CASE WHEN len(a.grams) > 0 AND len(b.grams) > 0 THEN 2e0 * len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams)) ELSE 0 END, 6) AS similarity
   FROM g a JOIN g b ON a.user_id = b.user_id AND b.rn < a.rn)
 SELECT row_id, reference, similarity FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY similarity DESC, reference DESC) AS r FROM p) WHERE r = 1
 """
 
 
-def retrieval_modes_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earlier tasks of the same class and app, scored once and reported per retrieval mode.
-
-    As in its SQL, both sides of every mode share class, app and scenario, which leaves out most references;
-    :func:`retrieval_modes_whole` has all six modes without that restriction.
-    """
-    keys = ["intent_class", "app", "scenario"]
-    tasks = table(spark, sf_dir, "listwise_tasks").where("user_id IS NOT NULL AND intent IS NOT NULL AND intent_class IS NOT NULL AND app IS NOT NULL AND scenario IS NOT NULL").select("row_id", "user_id", "episode_time", "intent", *keys, F.array_sort(text.bigrams(text.key_ascii(F.col("intent")))).alias("grams"))
-    pairs = causal.strict_past_pairs(tasks, tasks, keys, "episode_time")
-    same = F.col("user_id") == F.col("user_id_ref")
-    modes = F.array_compact(F.array(F.when(same, "same_user"), F.when(same & (F.col("intent") != F.col("intent_ref")), "same_user_other_intent"), F.when(~same, "cross_user_strict_past")))
-    scored = pairs.select("row_id", "episode_time_ref", "row_id_ref", F.round(text.dice(F.col("grams"), F.col("grams_ref")), 6).alias("similarity"), F.explode(modes).alias("mode"))
-    best = causal.top_k(scored, ["row_id", "mode"], [F.col("similarity").desc(), F.col("episode_time_ref").desc(), F.col("row_id_ref").desc()], 1)
-    return best.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("similarity"), 5).alias("mean_similarity"))
-
-
-MODES = f"""
-WITH t AS (SELECT *, regexp_replace(lower(intent), '[^a-z0-9]', '', 'g') AS k FROM listwise_tasks WHERE user_id IS NOT NULL AND intent IS NOT NULL AND intent_class IS NOT NULL AND app IS NOT NULL AND scenario IS NOT NULL),
-g AS (SELECT *, {_GRAMS} AS grams FROM t),
-p AS (SELECT a.row_id, b.row_id AS ref, b.episode_time AS rt, a.user_id = b.user_id AS same, a.intent <> b.intent AS other, round(CASE WHEN len(a.grams) > 0 AND len(b.grams) > 0 THEN 2e0 * len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams)) ELSE 0 END, 6) AS similarity
-  FROM g a JOIN g b ON a.intent_class = b.intent_class AND a.app = b.app AND a.scenario = b.scenario AND b.episode_time < a.episode_time),
-m AS (SELECT *, 'same_user' AS mode FROM p WHERE same UNION ALL SELECT *, 'same_user_other_intent' FROM p WHERE same AND other UNION ALL SELECT *, 'cross_user_strict_past' FROM p WHERE NOT same),
-r AS (SELECT *, row_number() OVER (PARTITION BY row_id, mode ORDER BY similarity DESC, rt DESC, ref DESC) AS rn FROM m)
-SELECT mode, count(*) AS n, round(avg(similarity), 5) AS mean_similarity FROM r WHERE rn = 1 GROUP BY mode
-"""
-
-
 def retrieval_modes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All six retrieval modes over every earlier task of the user, or every task of another user and age group.
 
     Age groups are those of the tasks' profiles; tasks without one have no cross-user reference.
     """
     tasks = table(spark, sf_dir, "listwise_tasks").where("user_id IS NOT NULL AND intent IS NOT NULL")
-    tasks = cut(tasks.select("row_id", "user_id", F.element_at("user_profile", F.lit("age_group")).alias("age"), "episode_time", "intent", text.key_ascii(F.col("intent")).alias("key")), "tasks")
+    tasks = cut(tasks.select("row_id", "user_id", F.element_at("user_profile", F.lit("age_group")).alias("age"), "episode_time", "intent", text.key_alnum("intent").alias("key")), "tasks")
     order = F.when(F.col("episode_time").isNotNull(), F.dense_rank().over(W.partitionBy("user_id").orderBy("episode_time")))
     own = nearest.best_of_same_user(tasks.withColumn("place", order), "user_id", F.col("place"), "key", "intent").select("row_id", F.when(F.col("mode") == "same", "same_user_top1").otherwise("same_user_no_same_intent").alias("mode"), "similarity")
     others = nearest.best_of_other_group(tasks, "user_id", "age", "episode_time", "key").select("row_id", F.when(F.col("mode") == "any", "cross_user_top1").otherwise("cross_user_strict_past").alias("mode"), "similarity")
@@ -152,8 +103,8 @@ def retrieval_modes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _UNIT = "CAST('0x' || substr(md5('42:{}:' || {}), 1, 8) AS BIGINT) / 4294967296e0"
 MODES_WHOLE = f"""
-WITH t AS (SELECT row_id, user_id, user_profile['age_group'] AS age, episode_time AS tm, intent, regexp_replace(lower(intent), '[^a-z0-9]', '', 'g') AS k FROM listwise_tasks WHERE user_id IS NOT NULL AND intent IS NOT NULL),
-g AS (SELECT *, {_GRAMS} AS grams FROM t),
+WITH t AS (SELECT row_id, user_id, user_profile['age_group'] AS age, episode_time AS tm, intent, {sql.key('intent')} AS k FROM listwise_tasks WHERE user_id IS NOT NULL AND intent IS NOT NULL),
+g AS (SELECT *, {sql.GRAMS} AS grams FROM t),
 p AS (SELECT a.row_id, b.row_id AS ref, a.user_id = b.user_id AS same, b.age <> a.age AS far, b.tm < a.tm AS past, a.intent <> b.intent AS other, b.tm AS rt, b.user_id AS ru,
     round(CASE WHEN len(a.grams) > 0 AND len(b.grams) > 0 THEN 2e0 * len(list_intersect(a.grams, b.grams)) / (len(a.grams) + len(b.grams)) ELSE 0 END, 6) AS similarity FROM g a, g b),
 m AS (SELECT *, 'same_user_top1' AS mode FROM p WHERE same AND past UNION ALL SELECT *, 'same_user_no_same_intent' FROM p WHERE same AND past AND other
@@ -224,12 +175,12 @@ FROM (SELECT *, o2 + CASE WHEN s IS NOT NULL THEN s2 ELSE 0 END + CASE WHEN c IS
 def frequency_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most five uses of each source and text over the pool, the best rewarded."""
     rows = table(spark, sf_dir, "review_candidates").where("candidate_text IS NOT NULL AND reward_total IS NOT NULL AND NOT isnan(reward_total)")
-    keyed = rows.select("row_id", "candidate_source", text.key_ascii(F.col("candidate_text")).alias("key"), "reward_total")
+    keyed = rows.select("row_id", "candidate_source", text.key_alnum("candidate_text").alias("key"), "reward_total")
     return causal.frequency_cap(keyed, ["candidate_source", "key"], [F.col("reward_total").desc(), F.col("row_id").desc()], 5).select("row_id", "candidate_source")
 
 
-CAP = """
-WITH k AS (SELECT row_id, candidate_source, row_number() OVER (PARTITION BY candidate_source, regexp_replace(lower(candidate_text), '[^a-z0-9]', '', 'g') ORDER BY reward_total DESC, row_id DESC) AS r
+CAP = f"""
+WITH k AS (SELECT row_id, candidate_source, row_number() OVER (PARTITION BY candidate_source, {sql.key('candidate_text')} ORDER BY reward_total DESC, row_id DESC) AS r
   FROM review_candidates WHERE candidate_text IS NOT NULL AND reward_total IS NOT NULL AND NOT isnan(reward_total))
 SELECT row_id, candidate_source FROM k WHERE r <= 5
 """
@@ -286,6 +237,15 @@ def structural_text_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("candidate_source", "defect").agg(F.count(F.lit(1)).alias("n"))
 
 
+DEFECTS = r"""
+WITH t AS (SELECT candidate_source, coalesce(candidate_text, '') AS x, lower(regexp_replace(coalesce(candidate_text, ''), '[\t-\r\x{85}\p{Z}]', '', 'g')) AS k FROM review_candidates),
+m AS (SELECT *, list_max(list_transform(list_distinct(string_split(k, '')), lambda c: CASE WHEN c = '' THEN 0 ELSE length(k) - length(replace(k, c, '')) END)) AS top FROM t),
+d AS (SELECT candidate_source, 'too_short' AS defect FROM m WHERE length(k) < 2 UNION ALL SELECT candidate_source, 'replacement_character' FROM m WHERE contains(x, chr(65533))
+  UNION ALL SELECT candidate_source, 'control_character' FROM m WHERE regexp_matches(x, '[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]') UNION ALL SELECT candidate_source, 'dominant_character' FROM m WHERE length(k) >= 8 AND top >= 0.6e0 * length(k))
+SELECT candidate_source, defect, count(*) AS n FROM d GROUP BY ALL
+"""
+
+
 def exact_dup_canonicalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task keys delivered more than once, and whether the deliveries say the same."""
     tasks = table(spark, sf_dir, "listwise_tasks").select("task_id", F.struct("user_id", "episode_time", "scenario", "intent", "intent_class", "app", "target_split").alias("body"), "row_id")
@@ -358,17 +318,21 @@ SELECT split, count(*) AS n_groups, round(avg(ln(z) - qr / total), 5) AS cross_e
 
 
 def weighted_pair_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted soft cross entropy of the pairs' target probability against a sigmoid of their weight, per source."""
-    p = F.col("papo_target_probability")
-    rows = table(spark, sf_dir, "preference_pairs").where(p.isNotNull() & F.col("papo_weight").isNotNull())
-    m = scores.sigmoid(F.col("papo_weight") - 1.0)
-    loss = -(p * F.ln(m) + (1 - p) * F.ln(1 - m))
-    return rows.groupBy("candidate_source").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("papo_weight") * loss) / F.sum("papo_weight"), 5).alias("loss"))
+    """Weighted soft loss of the pairs per source; a pair's margin is what its task's oracle is rewarded beyond the source's best."""
+    known = table(spark, sf_dir, "review_candidates").where("reward_total IS NOT NULL AND NOT isnan(reward_total) AND candidate_source IS NOT NULL")
+    best = known.groupBy("task_id", "candidate_source").agg(F.max("reward_total").alias("best"))
+    oracle = best.where("candidate_source = 'oracle'").select("task_id", F.col("best").alias("oracle"))
+    rows = table(spark, sf_dir, "preference_pairs").select("task_id", "candidate_source", "papo_weight", "papo_target_probability")
+    pairs = rows.join(oracle, "task_id").join(best, ["task_id", "candidate_source"]).withColumn("margin", F.col("oracle") - F.col("best"))
+    return training.pair_loss(pairs, ["candidate_source"], "margin", "papo_target_probability", "papo_weight", 0.1).select("candidate_source", "n", *R6("loss", "accuracy", "mean_margin"))
 
 
 PAIR_LOSS = """
-WITH r AS (SELECT candidate_source, papo_weight AS w, papo_target_probability AS p, 1 / (1 + exp(-(papo_weight - 1))) AS m FROM preference_pairs WHERE papo_weight IS NOT NULL AND papo_target_probability IS NOT NULL)
-SELECT candidate_source, count(*) AS n, round(sum(w * -(p * ln(m) + (1 - p) * ln(1 - m))) / sum(w), 5) AS loss FROM r GROUP BY candidate_source
+WITH b AS (SELECT task_id, candidate_source, max(reward_total) AS best FROM review_candidates WHERE reward_total IS NOT NULL AND NOT isnan(reward_total) AND candidate_source IS NOT NULL GROUP BY ALL),
+m AS (SELECT p.candidate_source, papo_weight AS w, papo_target_probability AS t, o.best - b.best AS g FROM preference_pairs p JOIN b USING (task_id, candidate_source) JOIN b o ON o.task_id = p.task_id AND o.candidate_source = 'oracle'
+  WHERE papo_weight IS NOT NULL AND papo_target_probability IS NOT NULL),
+l AS (SELECT *, 1 / (1 + exp(-g / 0.1e0)) AS s FROM m)
+SELECT candidate_source, count(*) AS n, round(sum(w * -(t * ln(greatest(s, 1e-12)) + (1 - t) * ln(greatest(1 - s, 1e-12)))) / sum(w), 6) AS loss, round(sum(w * CASE WHEN g > 0 THEN 1e0 ELSE 0e0 END) / sum(w), 6) AS accuracy, round(avg(g), 6) AS mean_margin FROM l GROUP BY candidate_source
 """
 
 
@@ -386,8 +350,9 @@ SELECT row_id, len(t) > 0 AND len(t) % 2 = 0 AND len(list_filter(range(len(t)),
 
 
 def group_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every action of every trajectory with its place."""
-    return table(spark, sf_dir, "trajectory_records").select("row_id", F.posexplode("actions").alias("pos", "a")).select("row_id", "pos", "a.action_type", "a.target")
+    """Every action of every trajectory with its place, from parallel lists of types and targets."""
+    lists = table(spark, sf_dir, "trajectory_records").select("row_id", F.col("actions.action_type").alias("action_type"), F.col("actions.target").alias("target"))
+    return training.flatten_groups(lists, ["action_type", "target"])
 
 
 FLATTEN = "SELECT row_id, CAST(i AS INTEGER) AS pos, actions[i + 1].action_type AS action_type, actions[i + 1].target AS target FROM (SELECT row_id, actions, unnest(range(len(actions))) AS i FROM trajectory_records WHERE actions IS NOT NULL)"
@@ -414,6 +379,17 @@ def strict_action_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.groupBy("p.action_type", "p.error").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("p.x", F.lit(0)).cast("bigint")).alias("sum_x"))
 
 
+_VERBS = r"(?i)\b(click|long_click|type|scroll|press_back|press_home|press_recent|wait|finished)\b"
+PARSED = rf"""
+WITH a AS (SELECT a.action_type AS t, a.bbox AS b, coalesce(a.text, '') AS x FROM (SELECT unnest(actions) AS a FROM trajectory_records)),
+c AS (SELECT trim(lower(t) || '(coordinates=(' || CAST(trunc(b[1]) AS INTEGER) || ', 7), text=' || chr(39) || x || chr(39) || ')', ' ') AS call FROM a WHERE t IS NOT NULL AND b[1] IS NOT NULL),
+v AS (SELECT call, regexp_extract_all(call, '{_VERBS}') AS v FROM c),
+k AS (SELECT call, CASE WHEN len(v) = 1 THEN lower(v[1]) ELSE 'invalid' END AS k, regexp_matches(call, '(?i)\b(up|down|left|right)\b') AS d, regexp_matches(call, '(?s)text\s*=\s*\x27.*?\x27') AS q, regexp_matches(call, 'coordinates\s*=\s*\([-\d]+\s*,\s*[-\d]+\)') AS p FROM v),
+e AS (SELECT call, k, CASE WHEN k = 'invalid' THEN 'not_one_call' WHEN k IN ('press_back', 'press_home', 'press_recent', 'wait', 'finished') THEN '' WHEN k = 'type' AND NOT q THEN 'nothing_to_type' WHEN k = 'type' THEN '' WHEN NOT p THEN 'no_place' WHEN k = 'scroll' AND NOT d THEN 'no_direction' ELSE '' END AS e FROM k)
+SELECT k AS action_type, e AS error, count(*) AS n, CAST(sum(CASE WHEN k IN ('click', 'long_click', 'scroll') THEN CAST(regexp_extract(call, 'coordinates\s*=\s*\(([-\d]+)', 1) AS BIGINT) ELSE 0 END) AS BIGINT) AS sum_x FROM e GROUP BY ALL
+"""
+
+
 def retrieval_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per split: tasks, share with history, with profile, and mean history length by depth bucket."""
     n = F.coalesce(F.size("history_episode_ids"), F.lit(0))
@@ -429,19 +405,22 @@ SELECT target_split, CASE WHEN n = 0 THEN '0' WHEN n <= 2 THEN '1-2' ELSE '3+' E
 
 
 def exact_intent_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intents that several users share, with how many users, apps and scenarios."""
-    rows = table(spark, sf_dir, "listwise_tasks").where("intent IS NOT NULL AND intent <> ''")
-    out = rows.groupBy("intent").agg(F.count_distinct("user_id").alias("n_users"), F.count_distinct("app").alias("n_apps"), F.count_distinct("scenario").alias("n_scenarios"), F.count(F.lit(1)).alias("n"))
+    """Instructions that several users share, with how many users and how many different paths of action types."""
+    steps = table(spark, sf_dir, "gui_step_examples").where("user_id IS NOT NULL").select(
+        text.key_alnum("instruction").alias("intent"), "user_id", F.array_join(F.transform("action_history", lambda a: F.coalesce(a.action_type, F.lit("?"))), ">").alias("path"))
+    out = steps.where("intent <> ''").groupBy("intent").agg(F.count_distinct("user_id").alias("n_users"), F.count_distinct(F.coalesce("path", F.lit(""))).alias("n_paths"), F.count(F.lit(1)).alias("n"))
     return out.where("n_users >= 2")
 
 
-INTENTS = "SELECT intent, count(DISTINCT user_id) AS n_users, count(DISTINCT app) AS n_apps, count(DISTINCT scenario) AS n_scenarios, count(*) AS n FROM listwise_tasks WHERE intent IS NOT NULL AND intent <> '' GROUP BY intent HAVING count(DISTINCT user_id) >= 2"
+INTENTS = f"""
+WITH s AS (SELECT {sql.key('instruction')} AS intent, user_id, coalesce(array_to_string(list_transform(action_history, lambda a: coalesce(a.action_type, '?')), '>'), '') AS path FROM gui_step_examples WHERE user_id IS NOT NULL AND instruction IS NOT NULL)
+SELECT intent, count(DISTINCT user_id) AS n_users, count(DISTINCT path) AS n_paths, count(*) AS n FROM s WHERE intent <> '' GROUP BY intent HAVING count(DISTINCT user_id) >= 2
+"""
 
 
 def trajectory_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task reward of every trajectory from success, progress, invalid actions and risk."""
-    c = lambda n: F.coalesce(F.col(n).cast("double"), F.lit(0.0))
-    reward = c("task_success") + 0.5 * c("progress") - 0.1 * c("invalid_count") - 0.2 * c("risk_score")
+    reward = scores.task_reward(F.col("task_success"), F.col("progress"), F.col("invalid_count"), F.col("risk_score"))
     return table(spark, sf_dir, "trajectory_records").select("row_id", F.round(reward, 6).alias("reward"), F.coalesce(F.size("actions"), F.lit(0)).cast("bigint").alias("n_actions"))
 
 
@@ -449,16 +428,15 @@ REWARDS = "SELECT row_id, round(coalesce(task_success, 0) + 0.5e0 * coalesce(pro
 
 
 def continuation_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per action type, the mean reward and length of what trajectories do after it (suffix by position)."""
-    rows = table(spark, sf_dir, "trajectory_records").select("progress", F.size("actions").alias("n"), F.posexplode("actions").alias("pos", "a"))
-    rest = rows.select(F.lower("a.action_type").alias("action"), "progress", (F.col("n") - F.col("pos") - 1).alias("rest")).where("action IS NOT NULL")
-    return rest.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rest"), 6).alias("mean_rest"), F.round(F.avg("progress"), 6).alias("mean_progress"))
+    """Every action of every trajectory with a digest of the actions that follow it."""
+    lists = table(spark, sf_dir, "trajectory_records").select("row_id", F.transform("actions", lambda a: F.coalesce(a.action_type, F.lit(""))).alias("types"))
+    out = retrieval.continuations(lists, "row_id", "types", F.lower)
+    return out.select("row_id", "pos", "action", F.size("suffix").alias("n_rest"), F.md5(F.array_join("suffix", ">")).alias("rest"))
 
 
 CONTINUATIONS = """
-WITH r AS (SELECT progress, len(actions) AS n, unnest(range(len(actions))) AS pos, actions FROM trajectory_records WHERE actions IS NOT NULL),
-a AS (SELECT lower(actions[pos + 1].action_type) AS action, progress, n - pos - 1 AS rest FROM r)
-SELECT action, count(*) AS n, round(avg(rest), 6) AS mean_rest, round(avg(progress), 6) AS mean_progress FROM a WHERE action IS NOT NULL GROUP BY action
+WITH r AS (SELECT row_id, list_transform(actions, lambda a: coalesce(a.action_type, '')) AS t, unnest(range(len(actions))) AS pos FROM trajectory_records WHERE actions IS NOT NULL)
+SELECT row_id, CAST(pos AS INTEGER) AS pos, lower(t[pos + 1]) AS action, CAST(len(t) - pos - 1 AS INTEGER) AS n_rest, md5(array_to_string(t[pos + 2 :], '>')) AS rest FROM r
 """
 
 
@@ -498,6 +476,25 @@ def retrieval_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pools.groupBy("relation", "eligibility").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("similarity"), 6).alias("mean_similarity"))
 
 
+POOLS = f"""
+WITH b AS (SELECT CAST(row_id AS VARCHAR) AS id, user_id AS u, episode_time AS t, scenario AS s, intent_class AS c, app AS a, target_split IN ('validation', 'test') AS held, {sql.key('intent')} AS k FROM listwise_tasks WHERE intent IS NOT NULL AND episode_time IS NOT NULL AND target_split IS NOT NULL),
+g AS (SELECT *, {sql.GRAMS} AS grams, try_cast(substr(t, 10, 2) AS INTEGER) AS h FROM b),
+x AS (SELECT t.id, r.id AS ref, t.u, r.u AS ru, r.k, r.t AS rt, CASE WHEN len(t.grams) > 0 AND len(r.grams) > 0 THEN 2e0 * len(list_intersect(t.grams, r.grams)) / (len(t.grams) + len(r.grams)) ELSE 0e0 END AS sim,
+    CASE WHEN t.s <> '' AND t.s = r.s THEN 1e0 ELSE 0e0 END AS scene, coalesce(1 - least(abs(t.h - r.h), 24 - abs(t.h - r.h)) / 12e0, 0e0) AS hour, coalesce(t.c <> '' AND t.c = r.c, false) AS same_c, coalesce(t.a <> '' AND t.a = r.a, false) AS same_a
+  FROM g t JOIN g r ON t.held AND NOT r.held AND r.k <> '' AND r.t <> '' AND r.t < t.t AND t.k <> r.k),
+o AS (SELECT *, (same_c OR (same_a AND sim >= 0.35e0)) AND sim >= 0.2e0 AS alike FROM x WHERE u = ru AND id <> ref),
+m AS (SELECT id, ref, k, rt, sim, CASE WHEN alike THEN 1 ELSE 2 END AS rel, CASE WHEN alike THEN 0.65e0 * sim + 0.2e0 * scene + 0.15e0 * hour ELSE 0.15e0 * sim + 0.55e0 * scene + 0.3e0 * hour END AS score,
+    CASE WHEN NOT alike THEN 'contrast_only_zero_mass' WHEN sim >= 0.35e0 THEN 'listwise' ELSE 'review_required_zero_mass' END AS eligibility
+  FROM o WHERE alike OR (NOT same_c AND NOT same_a AND (scene > 0 OR hour >= 0.75e0) AND sim < 0.75e0)
+  UNION ALL SELECT id, ref, k, rt, sim, 3, 0.75e0 * sim + 0.15e0 * scene + 0.1e0 * hour, CASE WHEN sim >= 0.55e0 THEN 'analysis_only_pseudo_negative_risk' ELSE 'dpo_rejected_review_required' END FROM x WHERE (same_c OR same_a) AND (u IS NULL OR ru IS NULL OR u <> ru)),
+f AS (SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY rel, eligibility = 'listwise' DESC, score DESC, rt DESC, ref DESC) AS first FROM m),
+w AS (SELECT *, row_number() OVER (PARTITION BY id, rel ORDER BY eligibility = 'listwise' DESC, score DESC, rt DESC, ref DESC) AS place FROM f WHERE first = 1),
+l AS (SELECT *, row_number() OVER (PARTITION BY rel, k ORDER BY score DESC, id DESC) AS used FROM w WHERE place <= 2)
+SELECT CASE rel WHEN 1 THEN 'same_user_similar_intent' WHEN 2 THEN 'same_user_similar_context_different_intent' ELSE 'cross_user_similar_intent' END AS relation, eligibility, count(*) AS n, round(avg(sim), 6) AS mean_similarity
+FROM l WHERE used <= greatest(10, (SELECT CAST(ceil(count(*) / 200e0) AS BIGINT) FROM b WHERE held)) GROUP BY ALL
+"""
+
+
 def generation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap scores of rejected answers against chosen ones, per source."""
     pairs = table(spark, sf_dir, "preference_pairs").select("candidate_source", evaluation.generation_scores(F.col("rejected.content"), F.col("chosen.content")).alias("s"))
@@ -565,15 +562,15 @@ CHAT_ISSUES = _counts("sft_messages", [
 
 QUERIES = {
     "task_issue_rollup": (task_issue_rollup, TASK_ISSUES), "pair_issue_rollup": (pair_issue_rollup, PAIR_ISSUES), "chat_issue_rollup": (chat_issue_rollup, CHAT_ISSUES),
-    "retrieval_pools": (retrieval_pools, None), "generation_report": (generation_report, None), "grouped_tasks": (grouped_tasks, GROUPED),
+    "retrieval_pools": (retrieval_pools, POOLS), "generation_report": (generation_report, None), "grouped_tasks": (grouped_tasks, GROUPED),
     "latest_fraction_split": (latest_fraction_split, SPLIT), "split_leakage_audit": (split_leakage_audit, LEAKAGE), "unseen_users": (unseen_users, UNSEEN),
-    "hour_similarity_context": (hour_similarity_context, HOURS), "bigram_dice_retrieval": (bigram_dice_retrieval, DICE), "bigram_dice_whole": (bigram_dice_whole, DICE_WHOLE), "retrieval_modes_report": (retrieval_modes_report, MODES), "retrieval_modes_whole": (retrieval_modes_whole, MODES_WHOLE),
+    "hour_similarity_context": (hour_similarity_context, HOURS), "bigram_dice_whole": (bigram_dice_whole, DICE_WHOLE), "retrieval_modes_whole": (retrieval_modes_whole, MODES_WHOLE),
     "oracle_negative_pairs": (oracle_negative_pairs, ORACLE_PAIRS), "weight_assign_v3": (weight_assign_v3, WEIGHTS), "clamped_policy": (clamped_policy, CLAMPED),
     "frequency_cap": (frequency_cap, CAP), "verbatim_copy_gate": (verbatim_copy_gate, VERBATIM), "quality_issue_rollup": (quality_issue_rollup, ISSUES),
-    "structural_text_defects": (structural_text_defects, None), "exact_dup_canonicalise": (exact_dup_canonicalise, DUPLICATES), "stratified_round_robin": (stratified_round_robin, ROUND_ROBIN),
+    "structural_text_defects": (structural_text_defects, DEFECTS), "exact_dup_canonicalise": (exact_dup_canonicalise, DUPLICATES), "stratified_round_robin": (stratified_round_robin, ROUND_ROBIN),
     "hash_shard": (hash_shard, SHARD), "paired_comparison": (paired_comparison, PAIRED), "group_listwise_metrics": (group_listwise_metrics, LISTWISE),
     "weighted_pair_loss": (weighted_pair_loss, PAIR_LOSS), "chat_align": (chat_align, CHAT), "group_flatten": (group_flatten, FLATTEN), "interleave_mix": (interleave_mix, MIX),
-    "strict_action_parse": (strict_action_parse, None), "retrieval_readiness": (retrieval_readiness, READINESS), "exact_intent_groups": (exact_intent_groups, INTENTS),
+    "strict_action_parse": (strict_action_parse, PARSED), "retrieval_readiness": (retrieval_readiness, READINESS), "exact_intent_groups": (exact_intent_groups, INTENTS),
     "trajectory_rewards": (trajectory_rewards, REWARDS), "continuation_suffixes": (continuation_suffixes, CONTINUATIONS), "rotated_mismatch": (rotated_mismatch, ROTATED),
     "candidate_matching_ratio": (candidate_matching_ratio, None), "knapsack_packing": (knapsack_packing, None),
 }

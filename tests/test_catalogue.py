@@ -43,7 +43,7 @@ def test_query(spark, duck, name):
 
 
 def test_plans_have_no_nested_loops_and_prune_columns(spark):
-    for name in ("strict_past_topk_reference", "retrieval_modes_report", "oracle_negative_pairs", "leaf_reward_propagation"):
+    for name in ("strict_past_topk_reference", "bigram_dice_whole", "oracle_negative_pairs", "leaf_reward_propagation"):
         plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
     plan = catalogue.queries()["oracle_negative_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()

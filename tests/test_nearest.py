@@ -20,7 +20,7 @@ def tasks(n=90):
 
 def frame(spark, rows):
     df = spark.createDataFrame(rows, "row_id bigint, user_id string, age string, time string, intent string")
-    return df.withColumn("key", text.key_ascii(F.col("intent")))
+    return df.withColumn("key", text.key_alnum(F.col("intent")))
 
 
 def test_same_user_reaches_all_earlier_rows_of_a_split_user(spark):
