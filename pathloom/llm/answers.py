@@ -107,17 +107,31 @@ FEATURES = T.StructType([
 _KINDS = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32()]
 
 
+def _requested(line: str) -> str | None:
+    """The language that a line asks for last."""
+    last = None
+    for m in _REQUEST.finditer(line.lower()):
+        last = m
+    return _NAMED[last[last.lastindex]] if last else None
+
+
 def asked_languages(prompts: list[str]) -> list[str | None]:
-    """The language each prompt asks for: the last request in the whole prompt, else that of its last line."""
-    joined = "\x00".join(p.replace("\x00", " ") for p in prompts).lower()
+    """The language each prompt asks for: the last request in the whole prompt, else that of its last line.
+
+    Prompts are read line by line from their end until one asks; lines that recur are read once.
+    """
+    lines = [p.strip().split("\n") for p in prompts]
     found: list[str | None] = [None] * len(prompts)
-    row, upto = 0, joined.find("\x00")
-    for m in _REQUEST.finditer(joined):
-        while 0 <= upto < m.start():
-            row, upto = row + 1, joined.find("\x00", upto + 1)
-        found[row] = _NAMED[m[m.lastindex]]
+    known: dict[str, str | None] = {}
+    left, back = list(range(len(prompts))), 1
+    while left:
+        new = [t for t in dict.fromkeys(lines[i][-back] for i in left) if t not in known]
+        known.update(zip(new, map(_requested, convert(pa.array(new, pa.large_string()), "form").to_pylist())))
+        for i in left:
+            found[i] = known[lines[i][-back]]
+        left, back = [i for i in left if found[i] is None and back < len(lines[i])], back + 1
     open_ = [i for i, language in enumerate(found) if language is None and prompts[i].strip()]
-    for i, language in zip(open_, languages([prompts[i].strip().rsplit("\n", 1)[-1] for i in open_])):
+    for i, language in zip(open_, languages([lines[i][-1] for i in open_])):
         found[i] = language
     return found
 
@@ -144,7 +158,9 @@ def _masked(texts: list[str]) -> list[list[str]]:
 
 def _ending(tokens: list[str]) -> tuple[str, str | None]:
     """How a text ends: its last clause by opening and closing ideographs, or its last three tokens."""
-    if tokens and re.match(r"[㐀-䶿一-鿿]", tokens[-1]) or sum(len(t) == 1 and t >= "㐀" for t in tokens) > len(tokens) / 2:
+    if not tokens or max(tokens) < "㐀":
+        return "w|" + " ".join(["^", *tokens][-3:]), None
+    if re.match(r"[㐀-䶿一-鿿]", tokens[-1]) or sum(len(t) == 1 and t >= "㐀" for t in tokens) > len(tokens) / 2:
         start = max((i + 1 for i, t in enumerate(tokens[:-1]) if t in _MARKS), default=0)
         clause = tokens[start:]
         opening = "h|" + "".join(clause[:2])
@@ -175,7 +191,10 @@ def _judged(text: str) -> tuple[bool, str, bool]:
 
 def _features(answers: pa.Array, asked: pa.Array) -> pa.Array:
     prompts = [(p or "").strip() for p in asked.to_pylist()]
-    last = convert(pa.array([p.rsplit("\n", 1)[-1] for p in prompts], pa.large_string()), "reduce").to_pylist()
+    questions = [p.rsplit("\n", 1)[-1] for p in prompts]
+    each = list(dict.fromkeys(questions))
+    asked_key = dict(zip(each, convert(pa.array(each, pa.large_string()), "reduce").to_pylist()))
+    last = [asked_key[q] for q in questions]
     keys = convert(answers, "reduce").to_pylist()
     defect: list[str | None] = [None if k else "empty" for k in keys]
     # Only an answer that holds the question can be a copy: the other lines are reduced for those alone.
@@ -190,7 +209,7 @@ def _features(answers: pa.Array, asked: pa.Array) -> pa.Array:
         if defect[i] is None and _REFUSAL.match(text.lower().lstrip("-*>#\"“'· ")):
             defect[i] = "refusal"
     open_ = [i for i, d in enumerate(defect) if d is None]
-    wanted = asked_languages(convert(pa.array([prompts[i] for i in open_], pa.large_string()), "form").to_pylist())
+    wanted = asked_languages([prompts[i] for i in open_])
     for i, want, found in zip(open_, wanted, languages([texts[i] for i in open_], wanted)):
         if want and found and want != found:
             defect[i] = "other_language"
