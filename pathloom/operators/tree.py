@@ -1,9 +1,10 @@
 """Bounded transition trees over logged steps, level by level.
 
 Steps have ``step_id, user_id, episode_id, step_index, time, app, state_key, intent_key, tokens,
-action``. Each level is three equi joins (on app, state and intent) whose union is de-duplicated,
-a score, and a window that keeps a few steps per path; the depth is unrolled, as every node's
-candidates are cut to a few before the next level, and each level is written out.
+action``, and may have ``rank`` (their place in their user's history) and ``eligible`` (whether they
+may be retrieved). Each level is three equi joins (on app, state and intent) whose union is
+de-duplicated, a score, and a window that keeps a few steps per path; the depth is unrolled, as
+every node's candidates are cut to a few before the next level, and each level is written out.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions.text import jaccard
-from pathloom.operators.causal import top_k
+from pathloom.operators.causal import beside, top_k
+from pathloom.operators.ranking import ranked
 from pathloom.storage import cut
 
-_STEP = ["step_id", "user_id", "episode_id", "step_index", "time", "app", "state_key", "intent_key", "tokens", "action"]
+_STEP = ["step_id", "user_id", "episode_id", "step_index", "time", "app", "state_key", "intent_key", "tokens", "action", "rank"]
+#: Where an edge comes from, in the order in which sources are named and examples chosen.
+SOURCES = ("observed_path", "same_user", "cross_user")
 
 
 def step_similarity(a: str, b: str) -> Column:
@@ -27,32 +31,38 @@ def step_similarity(a: str, b: str) -> Column:
 
 
 def _retrieved(frontier: DataFrame, steps: DataFrame, same_k: int, cross_k: int, visible: Column | None) -> DataFrame:
-    """Per path of the frontier the most similar earlier steps of the root's user and of others."""
+    """Per path of the frontier the most similar earlier steps of the root's user and of others.
+
+    The user's own steps are earlier by rank, those of others by time; only steps with a following one are met.
+    """
+    able = steps.where("eligible AND _next IS NOT NULL")
     met = None
     for block in ("app", "state_key", "intent_key"):
-        part = frontier.select("path_id", F.col(f"proxy.{block}").alias("_k")).join(steps.select(F.col(block).alias("_k"), "step_id"), "_k").where(F.coalesce(F.col("_k"), F.lit("")) != "").select("path_id", "step_id")
+        part = frontier.select("path_id", F.col(f"proxy.{block}").alias("_k")).join(able.select(F.col(block).alias("_k"), "step_id"), "_k").where(F.coalesce(F.col("_k"), F.lit("")) != "").select("path_id", "step_id")
         met = part if met is None else met.unionByName(part)
     own = frontier.select("path_id", "root", "proxy")
-    pairs = met.distinct().join(own, "path_id").join(steps.select("step_id", F.struct(*_STEP).alias("cand")), "step_id")
-    within = (F.col("cand.episode_id") == F.col("root.episode_id")) & (F.col("cand.step_index") < F.col("root.step_index"))
-    pairs = pairs.where(((F.col("cand.time") < F.col("root.time")) | within) & (F.col("cand.step_id") != F.col("proxy.step_id")))
+    pairs = met.distinct().join(own, "path_id").join(able.select("step_id", F.struct(*_STEP).alias("cand")), "step_id")
+    name = lambda s: F.coalesce(F.col(f"{s}.user_id"), F.lit(""))
+    same = name("cand") == name("root")
+    earlier = F.when(same, F.col("cand.rank") < F.col("root.rank")).otherwise((F.coalesce(F.col("root.time"), F.lit("")) == "") | (F.coalesce(F.col("cand.time"), F.lit("")) < F.col("root.time")))
+    pairs = pairs.where(earlier & (F.col("cand.step_id") != F.col("proxy.step_id")))
     if visible is not None:
         pairs = pairs.where(visible)
-    same = F.coalesce(F.col("cand.user_id") == F.col("root.user_id"), F.lit(False))
-    scored = pairs.select("path_id", "cand", F.when(same, "same_user").otherwise("cross_user").alias("source"), (step_similarity("proxy", "cand") + F.when(same, 0.25).otherwise(0.0)).alias("score"))
-    order = [F.col("score").desc(), F.col("cand.time").desc(), F.col("cand.step_index").desc(), F.col("cand.step_id")]
+    scored = pairs.select("path_id", "cand", F.when(same, SOURCES[1]).otherwise(SOURCES[2]).alias("source"), (step_similarity("proxy", "cand") + F.when(same, 0.25).otherwise(0.0)).alias("score"))
+    order = [F.col("score").desc(), F.col("cand.rank").desc(), F.col("cand.step_id")]
     best = top_k(scored, ["path_id", "source"], order, max(same_k, cross_k), "_n")
-    return best.where(F.col("_n") <= F.when(F.col("source") == "same_user", same_k).otherwise(cross_k)).select("path_id", "source", "score", "cand.step_id", "cand.action")
+    return best.where(F.col("_n") <= F.when(F.col("source") == SOURCES[1], same_k).otherwise(cross_k)).select("path_id", "source", "_n", "cand.step_id", "cand.action")
 
 
 def _merged(frontier: DataFrame, retrieved: DataFrame, most: int) -> DataFrame:
     """One edge per path and action: support, sources, example step; the observed one first."""
-    seen = frontier.select("path_id", F.lit("observed_path").alias("source"), F.lit(float("inf")).alias("score"), "proxy.step_id", "proxy.action")
-    edges = seen.unionByName(retrieved).where("action IS NOT NULL AND action <> ''").groupBy("path_id", "action").agg(
-        F.count(F.lit(1)).alias("support"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"),
-        F.min(F.struct((-F.col("score")).alias("s"), "step_id")).alias("e"), F.bool_or(F.col("source") == "observed_path").alias("observed"),
+    seen = frontier.select("path_id", F.lit(SOURCES[0]).alias("source"), F.lit(0).alias("_n"), "proxy.step_id", "proxy.action")
+    place = F.array_position(F.array(*[F.lit(s) for s in SOURCES]), F.col("source"))
+    edges = seen.unionByName(retrieved).where("action IS NOT NULL AND action <> ''").withColumn("_s", place).groupBy("path_id", "action").agg(
+        F.count(F.lit(1)).alias("support"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("_s", "source"))), lambda x: x.source), "+").alias("source"),
+        F.min(F.struct("_s", "_n", "step_id")).alias("e"),
     )
-    place = F.row_number().over(W.partitionBy("path_id").orderBy(F.col("observed").desc(), F.col("support").desc(), "action"))
+    place = F.row_number().over(W.partitionBy("path_id").orderBy(F.col("e._s") > 1, F.col("support").desc(), "action"))
     return edges.withColumn("place", place).where(F.col("place") <= most).select("path_id", "action", "support", "source", F.col("e.step_id").alias("example"), "place")
 
 
@@ -62,8 +72,11 @@ def expand(roots: DataFrame, steps: DataFrame, depth: int = 3, same_k: int = 2,
     A node is named by the places taken on the way to it, so names sort in depth-first order.
     ``visible`` is a condition on ``root`` and ``cand`` (for instance: train steps, or the root's own episode).
     """
-    order = W.partitionBy("episode_id").orderBy("step_index")
-    steps = cut(steps.withColumn("_next", F.lead("step_id").over(order)), "steps")
+    if "rank" not in steps.columns:
+        steps = ranked(steps, ["user_id"], [F.col(c) for c in ("time", "episode_id", "step_index", "step_id")])
+    if "eligible" not in steps.columns:
+        steps = steps.withColumn("eligible", F.lit(True))
+    steps = cut(beside(steps.select(*_STEP, "eligible"), ["episode_id"], [F.col("step_index"), F.col("step_id")], {"_after": "step_id"}).withColumn("_next", F.when(F.col("episode_id").isNotNull(), F.col("_after"))), "steps")
     record = F.struct(*_STEP)
     frontier = steps.join(roots.select("step_id"), "step_id", "left_semi").select(F.col("step_id").alias("root_id"), F.concat("step_id", F.lit(":")).alias("path_id"), record.alias("root"), record.alias("proxy"), F.array().cast("array<string>").alias("actions"))
     following = steps.select(F.col("step_id").alias("example"), "_next")

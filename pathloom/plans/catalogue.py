@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pathloom.plans import event_queries, star_queries, task_queries
+from pathloom.plans import event_queries, star_queries, task_queries, tree_queries
 
-_ALL = {**event_queries.QUERIES, **task_queries.QUERIES, **star_queries.QUERIES}
+_ALL = {**event_queries.QUERIES, **task_queries.QUERIES, **star_queries.QUERIES, **tree_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable]:
