@@ -120,8 +120,3 @@ def negative_class(reasons: Column, task_match: Column, same_user: Column, pseud
     """Class of a negative candidate: invalid, pseudo, easy or hard."""
     return F.when(F.size(reasons) > 0, "invalid").when(task_match >= pseudo, "pseudo_negative").when((task_match <= easy) & (same_user <= easy), "easy_negative").otherwise("valid_hard_negative")
 
-
-def reject_reason(candidate: Column, prompt: Column, oracle: Column, frequency: Column, most: int) -> Column:
-    """Why a negative can't be used, the first reason that holds; null if none does."""
-    key, asked, wanted = text.key_clean(candidate), text.key_clean(prompt), text.key_clean(oracle)
-    return F.when(key == "", "empty").when(key == wanted, "same_as_oracle").when(F.contains(asked, key), "copied_from_prompt").when(frequency > most, "too_frequent")
