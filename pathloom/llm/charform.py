@@ -407,6 +407,11 @@ def _invariants(texts: pa.Array, letters_only: bool) -> tuple[np.ndarray, np.nda
     return size[offsets[1:]] - size[offsets[:-1]], hist
 
 
+def convert_text(text: str, form: str = "reduce") -> str:
+    """One text in a form."""
+    return convert(pa.array([text]), form)[0].as_py()
+
+
 @F.arrow_udf(T.StringType())
 def same_form(texts: pa.Array) -> pa.Array:
     """Column of texts in consistent character form."""

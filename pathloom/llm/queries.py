@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import answers, dedup, encode, overlap, packing, runs, splits, subjects, topn, variants
+from pathloom.llm import answers, charform, dedup, encode, overlap, packing, runs, splits, subjects, topn, variants
+from pathloom.plans.sql import key
 from pathloom.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,29 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _run_part(kind: str, name: str, column: str) -> str:
+    text = lambda x: _plain_key(f"coalesce({x}, '')")
+    return f"""SELECT '{kind}' AS record_kind, row_id, i - 1 AS pos, {text("a.action_type")} AS k1, {text("a.target")} AS k2, {text("a.text")} AS k3, a.bbox AS b FROM (SELECT row_id, unnest({column}) AS a, generate_subscripts({column}, 1) AS i FROM {name})"""
+
+
+def _plain_key(x: str) -> str:
+    """Letters and digits of a text in lower case, compatibility form and usual letters for look-alikes."""
+    pairs = [(c, r) for c in map(chr, (*range(0x250, 0x600), *range(0x1C80, 0x1C90), *range(0x13A0, 0x13F6))) if c.isalpha() and len(r := charform.convert_text(c)) == 1 and r != c.lower()]
+    return key(f"translate({x}, '{''.join(a for a, _ in pairs)}', '{''.join(b for _, b in pairs)}')")
+
+
+def p1_sql() -> str:
+    """Runs by comparing each action with the one before it."""
+    moved = " OR ".join(f"coalesce(abs(b[{e}] - lag(b[{e}]) OVER w) > 12, false)" for e in range(1, 5))
+    parts = " UNION ALL ".join(_run_part(kind, name, column) for kind, name, column in _ACTIONS)
+    return f"""
+WITH e AS ({parts}),
+s AS (SELECT *, coalesce(k1 = lag(k1) OVER w AND k2 = lag(k2) OVER w AND k3 = lag(k3) OVER w AND NOT ({moved}), false) AS same FROM e WINDOW w AS (PARTITION BY record_kind, row_id ORDER BY pos)),
+g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY record_kind, row_id ORDER BY pos) AS run FROM s)
+SELECT record_kind, row_id, CAST(min(pos) AS INTEGER) AS start_pos, CAST(count(*) AS INTEGER) AS run_length FROM g GROUP BY record_kind, row_id, run HAVING count(*) > 1
+"""
+
+
 def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every trajectory and step with its runs collapsed: actions before and after, repeats and their time."""
     parts = []
@@ -56,6 +80,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.crossing(_components(spark, sf_dir)).select("record_kind", "row_id")
 
 
+#: The least label spreads over shared keys round by round; far more rounds than any path of the test tables needs.
+P2_SQL = r"""
+WITH RECURSIVE r AS (
+  SELECT 'trajectory' AS record_kind, row_id, split, user_id AS u, task_id AS t, trajectory_id AS j FROM trajectory_records UNION ALL SELECT 'step', row_id, split, user_id, task_id, source_trajectory_id FROM gui_step_examples),
+p AS (SELECT record_kind, row_id, split, record_kind || row_id AS own, lower(regexp_replace(u, '^[\t-\r\x{85}\p{Z}]+|[\t-\r\x{85}\p{Z}]+$', '', 'g')) AS u, t, j FROM r),
+k AS (SELECT record_kind, row_id, split, own, coalesce(CASE WHEN u IN ('', 'unknown') THEN NULL ELSE 'u:' || u END, own) AS u, coalesce('t:' || t, own) AS t, coalesce('j:' || j, own) AS j FROM p),
+l AS (SELECT 0 AS n, own, u, t, j, own AS label FROM k
+  UNION ALL SELECT n + 1, own, u, t, j, least(min(label) OVER (PARTITION BY u), min(label) OVER (PARTITION BY t), min(label) OVER (PARTITION BY j)) FROM l WHERE n < 64),
+c AS (SELECT record_kind, row_id, split, label FROM k JOIN l USING (own) WHERE n = 64)
+SELECT record_kind, row_id FROM c WHERE split IN ('validation', 'test') AND label IN (SELECT label FROM c WHERE split = 'train')
+"""
+
+
 def p2_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A split for every row that keeps tied rows together, in the shares 80, 10 and 10."""
     shares = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -184,4 +221,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    return {"p1_found": p1_sql(), "p2_found": P2_SQL, "p3_found": P3_SQL}
