@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.storage import listed, read_text
+
 # File endings and the reader that takes them.
 FORMATS = {"csv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet", "orc": "orc", "txt": "text"}
 
@@ -71,7 +73,7 @@ def unique_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def files(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
     """Files of one kind, by their ending; mixed endings are refused."""
-    names = [folder] if os.path.isfile(folder) else sorted(os.listdir(folder))
+    names = listed(spark, folder)
     kinds = {os.path.splitext(n)[1].lstrip(".").lower() for n in names if not n.startswith((".", "_"))}
     if len(kinds) != 1 or (kind := kinds.pop()) not in FORMATS:
         raise ValueError(f"files of one known kind are needed, not {sorted(kinds)}")
@@ -95,6 +97,5 @@ def expanded(value, env: dict[str, str] | None = None):
 
 
 def load_config(path: str) -> dict:
-    """A JSON configuration with its environment names filled in."""
-    with open(path, encoding="utf-8") as f:
-        return expanded(json.load(f))
+    """A JSON configuration on any file system, with its environment names filled in."""
+    return expanded(json.loads(read_text(SparkSession.getActiveSession(), path)))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.storage import cut, exists, read_text, write_text
+
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Committed as a whole: readers see all files or none."""
@@ -18,8 +18,7 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> N
 def append_new(df: DataFrame, path: str, ids: list[str]) -> int:
     """Append rows whose id isn't stored yet; returns how many (resumable predictions)."""
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if exists(spark, path):
         df = df.join(spark.read.schema(df.schema).parquet(path).select(*ids), ids, "left_anti")
     seen = df.dropDuplicates(ids)
     from pyspark.sql import Observation
@@ -57,30 +56,65 @@ def check_provenance(shards: DataFrame, fields: list[str], shard: str, n: int) -
         raise ValueError(f"shards differ in {differing}")
 
 
-def release(tables: dict[str, DataFrame], folder: str, facts: dict) -> dict:
-    """Tables as JSON lines with a manifest of their sizes and sha256 sums; never overwrites."""
-    if os.path.exists(folder):
+def _sums(spark: SparkSession, folder: str, names: list[str]) -> dict[str, str]:
+    """Sha256 of every data file of a release, taken where the files are read and not by the driver."""
+    found = {}
+    for name in names:
+        data = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/{name}")
+        for r in data.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sum")).collect():
+            found[f"{name}/{r.file}"] = r["sum"]
+    return found
+
+
+def release(tables: dict[str, DataFrame], folder: str, facts: dict, synthetic: bool = False) -> dict:
+    """Tables as JSON lines with a manifest and a list of their sha256 sums, on any file system; never overwrites.
+
+    Facts that call the data synthetic are refused unless ``synthetic`` allows it.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    if facts.get("synthetic") and not synthetic:
+        raise ValueError("synthetic data isn't released")
+    if exists(spark, folder):
         raise FileExistsError(folder)
-    sums = {}
     for name, df in tables.items():
         write_json_lines(df, f"{folder}/{name}")
-        for root, _, found in os.walk(f"{folder}/{name}"):
-            for f in sorted(found):
-                if f.startswith("part-"):
-                    with open(os.path.join(root, f), "rb") as data:
-                        sums[f"{name}/{f}"] = hashlib.file_digest(data, "sha256").hexdigest()
-    manifest = {**facts, "files": sums}
-    with open(f"{folder}/manifest.json", "w", encoding="utf-8") as out:
-        json.dump(manifest, out, indent=2, sort_keys=True)
+    manifest = {**facts, "files": _sums(spark, folder, list(tables))}
+    write_text(spark, f"{folder}/SHA256SUMS", "".join(f"{v}  {k}\n" for k, v in sorted(manifest["files"].items())))
+    write_text(spark, f"{folder}/manifest.json", json.dumps(manifest, indent=2, sort_keys=True))
     return manifest
 
 
 def verify_release(folder: str) -> dict:
-    """The manifest, if every file still has its sum."""
-    with open(f"{folder}/manifest.json", encoding="utf-8") as f:
-        manifest = json.load(f)
-    for name, wanted in manifest["files"].items():
-        with open(f"{folder}/{name}", "rb") as data:
-            if hashlib.file_digest(data, "sha256").hexdigest() != wanted:
-                raise ValueError(f"{name} isn't what was released")
+    """The manifest, if every file still has its sum and no other file has come."""
+    spark = SparkSession.getActiveSession()
+    manifest = json.loads(read_text(spark, f"{folder}/manifest.json"))
+    try:
+        found = _sums(spark, folder, sorted({name.split("/")[0] for name in manifest["files"]}))
+    except Exception as error:
+        if "ChecksumException" not in str(error):
+            raise
+        raise ValueError("a file isn't what its file system's own check sums say") from error
+    for name in sorted(found.keys() | manifest["files"].keys()):
+        if found.get(name) != manifest["files"].get(name):
+            raise ValueError(f"{name} isn't what was released")
     return manifest
+
+
+def write_issues(issues: DataFrame, folder: str, columns: list[str]) -> None:
+    """An issue log as CSV in a fixed column order and as JSON lines."""
+    write_csv(issues, f"{folder}/csv", columns)
+    write_json_lines(issues.select(*columns), f"{folder}/json")
+
+
+def write_review(candidates: DataFrame, folder: str, group: str, candidate_columns: list[str], group_columns: list[str]) -> None:
+    """A reviewer's candidate sheet, and one row per group with the fields its rows share."""
+    write_csv(candidates, f"{folder}/candidates", candidate_columns)
+    shared = candidates.groupBy(group).agg(*[F.min(c).alias(c) for c in group_columns if c != group], F.count(F.lit(1)).alias("n_candidates"))
+    write_csv(shared, f"{folder}/groups", [group, *[c for c in group_columns if c != group], "n_candidates"])
+
+
+def evict_failed(spark: SparkSession, path: str, failed: Column, schema) -> int:
+    """Rewrite stored predictions without the failed rows, so that a resumed run makes them anew; returns how many stay."""
+    kept = cut(spark.read.schema(schema).parquet(path).where(~F.coalesce(failed, F.lit(False))), "kept")
+    kept.write.mode("overwrite").parquet(path)
+    return kept.count()

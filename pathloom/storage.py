@@ -18,6 +18,32 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _file_system(spark, path)
+    return bool(fs.exists(target))
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder of any file system, or the name of the file itself."""
+    fs, target = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on any file system; one that exists is never overwritten."""
+    fs, target = _file_system(spark, path)
+    out = fs.create(target, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of any file system."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The application's own folder in ``spark.checkpoint.dir``, deleted when the application ends.
 
