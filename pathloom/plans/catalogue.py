@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pathloom.plans import event_queries, group_queries, star_queries, task_queries, tree_queries
+from pathloom.plans import event_queries, function_queries, group_queries, star_queries, task_queries, tree_queries
 
-_ALL = {**event_queries.QUERIES, **task_queries.QUERIES, **star_queries.QUERIES, **tree_queries.QUERIES, **group_queries.QUERIES}
+_ALL = {**event_queries.QUERIES, **task_queries.QUERIES, **star_queries.QUERIES, **tree_queries.QUERIES, **group_queries.QUERIES, **function_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable]:
