@@ -269,18 +269,20 @@ def defects(answers: DataFrame, ids: list[str], answer: str, asked: str) -> Data
     """``ids`` and ``defect`` of every defective answer."""
     rows = cut(answers.select(F.struct(*ids).alias("_ids"), features(answer, asked).alias("f")).select("_ids", "f.*"), "answers")
     plain = rows.where("defect IS NULL")
-    sound, open_ = plain.where("stop"), plain.where("NOT stop")
-    ends = sound.groupBy("ending").agg(F.count(F.lit(1)).alias("n_ending"))
+    # Masked texts recur: what is learned from them is counted once per text and not per answer.
+    texts = cut(plain.groupBy("masked", "stop", "ending", "opening", "last2").agg(F.count(F.lit(1)).alias("n")), "masked")
+    sound, open_ = texts.where("stop"), plain.where("NOT stop")
+    ends = sound.groupBy("ending").agg(F.sum("n").alias("n_ending"))
     full = sound.select("masked").distinct().withColumn("whole", F.lit(True))
-    kinds = sound.where("opening IS NOT NULL").groupBy("opening", "last2").agg(F.count(F.lit(1)).alias("n"))
+    kinds = sound.where("opening IS NOT NULL").groupBy("opening", "last2").agg(F.sum("n").alias("n"))
     kinds = kinds.groupBy("opening").agg((F.count(F.lit(1)) > 0.3 * F.sum("n")).alias("varied"), F.sum("n").alias("n_opening")).where("n_opening >= 5")
     tokens = F.split("masked", " ")
     inner = sound.where(F.size(tokens) > 2).select(F.explode(F.transform(F.sequence(F.lit(1), F.size(tokens) - 2), lambda i: F.concat_ws(" ", tokens[i - 1], tokens[i]))).alias("last2")).distinct().withColumn("inside", F.lit(True))
-    words = plain.select(F.explode(F.slice(tokens, 1, F.greatest(F.lit(0), F.size(tokens) - 1))).alias("word")).distinct().withColumn("known", F.lit(True))
+    words = texts.select(F.explode(F.slice(tokens, 1, F.greatest(F.lit(0), F.size(tokens) - 1))).alias("word")).distinct().withColumn("known", F.lit(True))
     pile = open_.groupBy("length").agg(F.count(F.lit(1)).alias("here"))
     around = W.orderBy("length").rangeBetween(-3, 3)
     pile = pile.select("length", ((F.col("here") >= 20) & (F.col("here") > 8 * (F.sum("here").over(around) - F.col("here")) / 6)).alias("spike"))
-    judged = open_.join(full, "masked", "left").join(shortened(plain), "masked", "left").join(ends, "ending", "left").join(kinds, "opening", "left").join(inner, "last2", "left")
+    judged = open_.join(full, "masked", "left").join(shortened(texts), "masked", "left").join(ends, "ending", "left").join(kinds, "opening", "left").join(inner, "last2", "left")
     judged = judged.withColumn("word", F.element_at(tokens, -1)).join(words, "word", "left").join(pile, "length", "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     ends_sound = (F.coalesce("n_ending", F.lit(0)) >= 2) | yes(F.col("varied"))
