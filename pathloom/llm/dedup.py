@@ -4,8 +4,8 @@
    a lookup table without making the reduced text (for records without reading the JSON, so
    digits, which may be written in several ways, are left out);
 2. inside classes with several members only, the reduced text itself (or, for records, the
-   record with sorted fields and reduced strings) as a 128-bit digest. The invariants of those
-   classes are broadcast where their size allows, so that the scan itself picks the texts.
+   record with sorted fields and reduced strings) as a 128-bit digest. The ids of their members
+   are broadcast where their size allows, so that the scan itself picks the texts.
 
 Each step is an aggregation with map-side combine and a join back on its key, so a class that
 holds a third of all rows is never one task's work: classes are counted, not collected, and the
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pathloom.llm.charform import convert, digests, invariants
 from pathloom.storage import cut, discard, stored_bytes
 
-#: Invariants of classes with several members are broadcast up to this many bytes on disk.
+#: Ids of members of classes with several are broadcast up to this many bytes on disk.
 BROADCAST_BYTES = 8 << 20
 
 _CHEAP = T.StructType([T.StructField("size", T.LongType()), T.StructField("hist", T.LongType())])
@@ -147,13 +147,12 @@ def copies(df: DataFrame, text: str, key: str, cheap: Callable[[str], Column] =
     """``keep_id``, ``copy_id`` and ``n_copies``: every further member of a class under its smallest id."""
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     seen = cut(rows.select("_id", cheap("_text").alias("_c")).select("_id", "_c.*").where("size IS NOT NULL"), "cheap")
-    several = cut(seen.groupBy("size", "hist").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "hist"), "several")
-    if stored_bytes(several) <= BROADCAST_BYTES:
-        left = rows.select("_id", "_text", cheap("_text").alias("_c")).join(F.broadcast(several), (F.col("_c.size") == F.col("size")) & (F.col("_c.hist") == F.col("hist")), "left_semi")
-    else:
-        left = rows.join(seen.join(several, ["size", "hist"], "left_semi").select("_id"), "_id", "left_semi")
-    keyed = cut(left.select("_id", exact("_text").alias("_key")).where(F.col("_key").isNotNull()), "keyed")
-    discard(seen, several)
+    several = seen.groupBy("size", "hist").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size", "hist")
+    members = cut(seen.join(several, ["size", "hist"], "left_semi").select("_id"), "members")
+    few = stored_bytes(members) <= BROADCAST_BYTES
+    keyed = rows.join(F.broadcast(members) if few else members, "_id", "left_semi").select("_id", exact("_text").alias("_key"))
+    keyed = cut(keyed.where(F.col("_key").isNotNull()), "keyed")
+    discard(seen, members)
     classes = keyed.groupBy("_key").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
     return keyed.join(classes, "_key").where("_id <> keep_id").select("keep_id", F.col("_id").alias("copy_id"), "n_copies")
 
