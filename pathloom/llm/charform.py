@@ -170,10 +170,26 @@ def _in_script(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     The letters go back one to one, so texts that agreed before agree after, and no others.
     """
-    for kinds, partner in _scripts():
-        kind = kinds[codes]
-        if not (kind == _OWN).any():
+    for (kinds, partner), blocks in zip(_scripts(), _SCRIPTS):
+        near = np.zeros(len(codes), bool)
+        for b in blocks:
+            near |= (codes >= b.start) & (codes < b.stop)
+        texts = np.unique(np.searchsorted(offsets, np.flatnonzero(near), side="right")) - 1
+        if not len(texts):
             continue
+        # Only the texts that hold such letters are looked at.
+        size = offsets[texts + 1] - offsets[texts]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        at = np.arange(ends[-1]) + np.repeat(offsets[texts] - ends[:-1], size)
+        codes = codes.copy()
+        codes[at] = _restored(codes[at], ends, kinds, partner)
+    return codes
+
+
+def _restored(codes: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, partner: np.ndarray) -> np.ndarray:
+    """The texts' code points with the words of one script whole in it."""
+    kind = kinds[codes]
+    if (kind == _OWN).any():
         opens = kind > 0
         opens[1:] &= kind[:-1] == 0
         first = offsets[:-1][offsets[:-1] < len(codes)]
@@ -187,7 +203,6 @@ def _in_script(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         verdict = np.where(verdict == 0, _filled(verdict, text), verdict)
         verdict = np.where(verdict == 0, _filled(verdict[::-1], text[::-1])[::-1], verdict)
         back = inside[(verdict[word[inside]] == 1) & (kind[inside] == _EITHER)]
-        codes = codes.copy()
         codes[back] = partner[codes[back]]
     return codes
 
@@ -248,7 +263,7 @@ def _keep(codes: np.ndarray, offsets: np.ndarray, kept: np.ndarray) -> tuple[np.
 
 def _hangul(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for syllable in (False, True):
-        if len(codes) < 2:
+        if len(codes) < 2 or not ((codes >= _L) & (codes < 0x1200)).any():
             break
         a, b = codes[:-1].astype(np.int64), codes[1:].astype(np.int64)
         if syllable:
