@@ -101,6 +101,19 @@ def _grams(tokens: list[str], n: int) -> Counter:
     return Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
 
 
+def _common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a row of the table at a time as the bits of one number."""
+    at: dict[str, int] = {}
+    for j, t in enumerate(b):
+        at[t] = at.get(t, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
+
+
 def _generation(predicted: str, label: str) -> dict:
     """BLEU-4 with add-one smoothing above order one, and ROUGE-1, 2 and L as F-measures, over characters."""
     p, y = list(predicted), list(label)
@@ -116,12 +129,8 @@ def _generation(predicted: str, label: str) -> dict:
         a, b = _grams(p, n), _grams(y, n)
         hit = sum((a & b).values())
         out[f"rouge{n}"] = 2 * hit / (sum(a.values()) + sum(b.values())) if hit else 0.0
-    row = [0] * (len(y) + 1)
-    for x in p:
-        before = 0
-        for j, t in enumerate(y, 1):
-            before, row[j] = row[j], before + 1 if x == t else max(row[j], row[j - 1])
-    out["rougel"] = 2 * row[-1] / (len(p) + len(y)) if row[-1] else 0.0
+    common = _common(p, y)
+    out["rougel"] = 2 * common / (len(p) + len(y)) if common else 0.0
     return out
 
 

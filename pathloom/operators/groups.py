@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import scores, text
-from pathloom.operators.causal import keep_first, top_k
+from pathloom.operators.causal import keep_first, latest_before, top_k
 from pathloom.operators.stats import hash_unit
 
 # Precedence of sources among negatives.
@@ -149,8 +149,6 @@ def log_frequency_policy(counts: DataFrame, node: Sequence[str], action: str, n:
 
 def teacher_forced(steps: DataFrame, key: str, episode: str, order: Sequence[Column], action: Column, valid: Column, variants: Sequence[str]) -> DataFrame:
     """One row per step and prompt variant with the actions before it in its episode; only valid steps add to them."""
-    from pathloom.operators.causal import latest_before
-
     prior = latest_before(steps, [episode], order, 0, F.when(valid, action), "_prior")  # collect_list leaves nulls out
     return prior.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants]))).select(key, "variant", F.col("_prior").alias("prior"))
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathloom.functions import actions, scores, text
-from pathloom.operators import causal, evaluation, exports, preference, quality, retrieval, sampling, steps, training
-from pathloom.sources import readers, sinks
+from pathloom.operators import causal, evaluation, exports, preference, quality, retrieval, sampling, stats, steps, training
+from pathloom.plans.sql import GRAMS, key
+from pathloom.sources import readers, screens, sinks
 from pathloom.storage import shared_dir, table
 
 _SCORED = "reward_total IS NOT NULL AND NOT isnan(reward_total)"
@@ -347,10 +348,152 @@ def stored_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STORED = "SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name, CAST(s_nationkey AS INTEGER) AS s_nationkey, CAST(s_acctbal AS DOUBLE) AS s_acctbal FROM supplier"
 
+def _initials(c: str):
+    return F.transform(c, lambda a: F.substring(F.lower(F.coalesce(a.action_type, F.lit("?"))), 1, 1))
+
+
+def _sourced_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps with their history, the action taken and their source trajectory's actions, as initials."""
+    golden = causal.keep_first(table(spark, sf_dir, "trajectory_records").where("trajectory_id IS NOT NULL"), ["trajectory_id"], [F.col("ingested_at"), F.col("row_id")]).select(F.col("trajectory_id").alias("source_trajectory_id"), _initials("actions").alias("golden"))
+    rows = table(spark, sf_dir, "gui_step_examples").select("row_id", "source_trajectory_id", "split", _initials("action_history").alias("agent"), F.substring(F.lower(F.coalesce("current_action.action_type", F.lit("?"))), 1, 1).alias("taken"))
+    return rows.join(golden, "source_trajectory_id")
+
+
+_SOURCED = """
+g AS (SELECT trajectory_id AS j, list_transform(actions, lambda a: substr(lower(coalesce(a.action_type, '?')), 1, 1)) AS g FROM (SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY ingested_at NULLS FIRST, row_id) AS r FROM trajectory_records WHERE trajectory_id IS NOT NULL) WHERE r = 1),
+st AS (SELECT row_id, j, split, list_transform(action_history, lambda a: substr(lower(coalesce(a.action_type, '?')), 1, 1)) AS a, substr(lower(coalesce(current_action.action_type, '?')), 1, 1) AS taken, g FROM gui_step_examples JOIN g ON j = source_trajectory_id)
+"""
+
+
+def proactive_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split, how alike the histories of steps are to their sources, by pairs of actions and by edits."""
+    rows = _sourced_steps(spark, sf_dir).select("split", F.array_join("golden", "").alias("target"), F.array_join("agent", "").alias("predicted"))
+    out = evaluation.proactive_metrics(rows, ["split"], "target", "predicted", lambda a, b: text.dice(text.bigrams(a), text.bigrams(b)))
+    return out.select("split", "n_rows", "n_evaluated", *_r("semantic", "edit", "similarity"))
+
+
+def _pairs(x: str) -> str:
+    return GRAMS.replace("(k)", f"({x})").replace("substr(k,", f"substr({x},")
+
+
+PROACTIVE = f"""
+WITH {_SOURCED}, t AS (SELECT split, coalesce(array_to_string(g, ''), '') AS t, coalesce(array_to_string(a, ''), '') AS p FROM st), u AS (SELECT *, t <> '' AND p <> '' AS ok, {_pairs('t')} AS gt, {_pairs('p')} AS gp FROM t),
+s AS (SELECT split, CASE WHEN ok THEN 2e0 * len(list_intersect(gt, gp)) / (len(gt) + len(gp)) END AS s1, CASE WHEN ok THEN 1 - levenshtein(t, p) / CAST(greatest(length(t), length(p)) AS DOUBLE) END AS s2 FROM u)
+SELECT split, count(*) AS n_rows, count(s1) AS n_evaluated, round(avg(s1), 6) AS semantic, round(avg(s2), 6) AS edit, round(avg((s1 + s2) / 2), 6) AS similarity FROM s GROUP BY split
+"""
+
+
+def prediction_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split, how often the action taken is the source's at that place, and how alike whole episodes are."""
+    rows = _sourced_steps(spark, sf_dir).select("split", "source_trajectory_id", "row_id", "taken", F.coalesce(F.get("golden", F.coalesce(F.size("agent"), F.lit(0))), F.lit("!")).alias("wanted"))
+    return evaluation.prediction_report(rows, "split", "source_trajectory_id", "row_id", "taken", "wanted").select("split", "n_steps", *_r("accuracy", "sequence_similarity"))
+
+
+PREDICTION = f"""
+WITH {_SOURCED}, p AS (SELECT split, j, row_id, taken, coalesce(g[coalesce(len(a), 0) + 1], '!') AS wanted FROM st),
+e AS (SELECT split, j, count(*) AS n, avg(CASE WHEN taken = wanted THEN 1e0 ELSE 0e0 END) AS acc, string_agg(taken, '' ORDER BY row_id) AS x, string_agg(wanted, '' ORDER BY row_id) AS y FROM p GROUP BY ALL)
+SELECT split, CAST(sum(n) AS BIGINT) AS n_steps, round(sum(acc * n) / sum(n), 6) AS accuracy, round(avg(1 - levenshtein(x, y) / CAST(greatest(length(x), length(y)) AS DOUBLE)), 6) AS sequence_similarity FROM e GROUP BY split
+"""
+
+
+def score_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the trajectories of a split count as a result: all verified, any success."""
+    rows = table(spark, sf_dir, "trajectory_records").select("split", (F.col("progress") >= 0.2).alias("success_verified"), (F.col("task_success") >= 0.5).alias("success"))
+    return evaluation.score_gates(rows, "split").select("split", "n", "all_verified", "any_success", *_r("verified_success"))
+
+
+VERDICTS = """
+WITH r AS (SELECT split, progress >= 0.2e0 AS v, task_success >= 0.5e0 AS s FROM trajectory_records)
+SELECT split, count(*) AS n, bool_and(coalesce(v, false)) AS all_verified, bool_or(s) AS any_success, round(avg(CASE WHEN v AND s IS NOT NULL THEN CAST(s AS INTEGER) END), 6) AS verified_success FROM r GROUP BY split
+"""
+
+
+def repeated_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every step the nearest progress among steps of the same instruction by its user and by others."""
+    rows = table(spark, sf_dir, "gui_step_examples").where("instruction IS NOT NULL AND user_id IS NOT NULL AND progress IS NOT NULL").select("row_id", "user_id", text.key_alnum("instruction").alias("intent"), "progress").where("intent <> ''")
+    out = retrieval.best_same_and_cross(rows, "intent", "user_id", 1 - F.abs(F.col("a.progress") - F.col("b.progress")), "row_id")
+    return out.select("row_id", *_r("same", "cross"))
+
+
+REPEATED = f"""
+WITH r AS (SELECT row_id, user_id AS u, {key('instruction')} AS k, progress AS p FROM gui_step_examples WHERE instruction IS NOT NULL AND user_id IS NOT NULL AND progress IS NOT NULL)
+SELECT a.row_id, round(max(1 - abs(a.p - b.p)) FILTER (a.u = b.u), 6) AS same, round(max(1 - abs(a.p - b.p)) FILTER (a.u <> b.u), 6) AS "cross" FROM r a JOIN r b ON a.k = b.k AND a.k <> '' AND a.row_id <> b.row_id GROUP BY a.row_id
+"""
+
+
+def nearest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per group the same-user and the context candidate nearest in reward, of the three best of each."""
+    rows = table(spark, sf_dir, "review_candidates").where(f"group_id IS NOT NULL AND candidate_id IS NOT NULL AND {_SCORED}").groupBy("group_id", "candidate_source", "candidate_id").agg(F.max("reward_total").alias("v"))
+    side = lambda s, name: causal.top_k(rows.where(F.col("candidate_source") == s), ["group_id"], [F.col("v").desc(), F.col("candidate_id")], 3, "_n").select("group_id", F.col("candidate_id").alias(name), F.col("v").alias(f"{name}_v"))
+    out = retrieval.nearest_pair(side("same_user", "mine"), side("context", "theirs"), ["group_id"], ("mine", "theirs"), F.round(F.abs(F.col("mine_v") - F.col("theirs_v")), 6))
+    return out.select("group_id", "distance", "mine", "theirs")
+
+
+NEAREST = f"""
+WITH c AS (SELECT group_id, candidate_source AS s, candidate_id AS i, max(reward_total) AS v FROM review_candidates WHERE group_id IS NOT NULL AND candidate_id IS NOT NULL AND {_SCORED} GROUP BY ALL),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, s ORDER BY v DESC, i) AS n FROM c) WHERE n <= 3),
+p AS (SELECT a.group_id, round(abs(a.v - b.v), 6) AS distance, a.i AS mine, b.i AS theirs FROM k a JOIN k b ON a.group_id = b.group_id AND a.s = 'same_user' AND b.s = 'context')
+SELECT group_id, distance, mine, theirs FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY distance, mine, theirs) AS r FROM p) WHERE r = 1
+"""
+
+
+def exported_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference rows whose weight lies half a point over the least, as digests, with weight and soft target."""
+    rows = table(spark, sf_dir, "preference_pairs").where("papo_weight IS NOT NULL")
+    out = exports.pair_rows(rows, "row_id", F.col("task_id"), F.col("chosen.content"), F.col("rejected.content"), F.col("papo_weight") - 0.1, 0.5, 0.4)
+    turns = F.concat_ws("|", F.get("messages", F.lit(0)).content, F.col("chosen.role"), F.col("chosen.content"), F.col("rejected.content"))
+    return out.select("row_id", F.md5(turns).alias("turns"), *_r("weight", "target_probability"))
+
+
+PAIR_ROWS = """
+WITH p AS (SELECT *, papo_weight - 0.1e0 AS gap FROM preference_pairs WHERE papo_weight IS NOT NULL)
+SELECT row_id, md5(concat_ws('|', task_id, 'assistant', chosen.content, rejected.content)) AS turns, round(least(3, greatest(0.5e0, 0.5e0 + 2 * gap)), 6) AS weight, round(greatest(0.55e0, least(0.98e0, 1 / (1 + exp(-gap / 0.4e0)))), 6) AS target_probability FROM p WHERE gap >= 0.5e0
+"""
+
+
+def repaired_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats with weight, soft target and relative image paths filled in."""
+    rows = table(spark, sf_dir, "sft_messages").select("row_id", "papo_listwise_weight", F.transform("images", lambda p: F.concat(F.lit("/data/"), p)).alias("images"))
+    out = exports.repaired(rows, F.coalesce("papo_listwise_weight", F.lit(0.0)), 0.3, "papo_listwise_weight", "images", "/data")
+    return out.select("row_id", F.array_join("images", "|").alias("images"), *_r("papo_listwise_weight", "soft_target"))
+
+
+REPAIRED = """
+SELECT row_id, array_to_string(images, '|') AS images, round(CASE WHEN papo_listwise_weight > 0 THEN papo_listwise_weight ELSE least(3, greatest(0.5e0, 0.5e0 + 2 * coalesce(papo_listwise_weight, 0))) END, 6) AS papo_listwise_weight,
+  round(greatest(0.55e0, least(0.98e0, 1 / (1 + exp(-coalesce(papo_listwise_weight, 0) / 0.3e0)))), 6) AS soft_target FROM sft_messages
+"""
+
+
+def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random tenth of the chats held out, by hash."""
+    return table(spark, sf_dir, "sft_messages").select("row_id", F.when(stats.hash_unit(F.lit(3), F.col("row_id")) < 0.1, "eval").otherwise("train").alias("part"))
+
+
+HASH_SPLIT = "SELECT row_id, CASE WHEN CAST('0x' || substr(md5('3:' || row_id), 1, 8) AS BIGINT) / 4294967296e0 < 0.1e0 THEN 'eval' ELSE 'train' END AS part FROM sft_messages"
+
+
+def raw_action_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logged actions written as raw lines and read back: label and confidence without a screen."""
+    rows = table(spark, sf_dir, "trajectory_records").select("row_id", F.posexplode("actions").alias("pos", "a")).where("a.action_type IS NOT NULL")
+    plain = F.regexp_replace(F.coalesce("a.target", F.lit("")), "['\"]", "")
+    raw = F.concat(F.lower("a.action_type"), F.lit("(coordinates=("), F.col("pos").cast("string"), F.lit(", 9), content='"), plain, F.lit("')"))
+    parsed = rows.select("row_id", "pos", actions.raw_action(raw).alias("r")).withColumn("node", F.lit(None).cast(screens.NODES.elementType))
+    return parsed.select("row_id", "pos", "r.action_type", "r.x", actions.semantic_label(F.col("r"), F.col("node")).alias("label"), actions.confidence(F.col("r"), F.col("node")).alias("confidence"))
+
+
+LABELS = r"""
+WITH e AS (SELECT row_id, unnest(range(len(actions))) AS pos, actions FROM trajectory_records WHERE actions IS NOT NULL), a AS (SELECT row_id, pos, lower(actions[pos + 1].action_type) AS k, regexp_replace(coalesce(actions[pos + 1].target, ''), '[\x27"]', '', 'g') AS c FROM e WHERE actions[pos + 1].action_type IS NOT NULL),
+t AS (SELECT *, CASE regexp_extract(k, '^\s*([a-zA-Z_]+)', 1) WHEN '' THEN 'unknown' WHEN 'press' THEN 'press_key' ELSE regexp_extract(k, '^\s*([a-zA-Z_]+)', 1) END AS v FROM a)
+SELECT row_id, CAST(pos AS INTEGER) AS pos, v AS action_type, CAST(pos AS INTEGER) AS x, CASE WHEN v = 'scroll' THEN 'scroll:unknown' WHEN v = 'type' THEN 'input:TextField' WHEN v IN ('back', 'press_back') THEN 'navigate:back' WHEN v IN ('finished', 'finish') THEN 'finished' WHEN v = 'wait' THEN 'wait'
+    WHEN v IN ('click', 'long_click') THEN 'select:' || CASE WHEN c <> '' THEN substr(c, 1, 48) ELSE 'unknown' END ELSE v END AS label, CASE WHEN c <> '' THEN 0.55e0 WHEN v IN ('scroll', 'wait', 'finished', 'finish') THEN 1e0 ELSE 0.2e0 END AS confidence FROM t
+"""
+
 QUERIES = {
     "text_keys": (text_keys, KEYS), "action_geometry": (action_geometry, GEOMETRY), "screen_affordances": (screen_affordances, AFFORDANCES), "reward_scores": (reward_scores, REWARD), "execution_report": (execution_report, EXECUTION), "model_results": (model_results, RESULTS),
     "source_gains": (source_gains, GAINS), "decision_accuracy": (decision_accuracy, ACCURACY), "log_anomaly_counts": (log_anomaly_counts, ANOMALIES), "margin_agreement": (margin_agreement, AGREEMENT), "group_uncertainty": (group_uncertainty, UNCERTAINTY),
     "best_candidates": (best_candidates, BEST), "tag_counts": (tag_counts, TAGS), "common_intents": (common_intents, COMMON), "largest_losses": (largest_losses, LOSSES), "upsampled_chats": (upsampled_chats, UPSAMPLED), "sliced_chats": (sliced_chats, SLICED),
     "merged_actions": (merged_actions, MERGED), "gate_features": (gate_features, FEATURES), "observed_states": (observed_states, OBSERVED), "history_ablations": (history_ablations, ABLATIONS), "conflicting_candidates": (conflicting_candidates, CONFLICTS), "sft_digests": (sft_digests, SFT),
     "lettered_choices": (lettered_choices, LETTERS), "next_token_accuracy": (next_token_accuracy, TOKENS), "stored_lines": (stored_lines, LINES), "stored_sheet": (stored_sheet, STORED),
+    "proactive_report": (proactive_report, PROACTIVE), "prediction_accuracy": (prediction_accuracy, PREDICTION), "score_verdicts": (score_verdicts, VERDICTS), "repeated_intents": (repeated_intents, REPEATED), "nearest_candidates": (nearest_candidates, NEAREST),
+    "exported_pairs": (exported_pairs, PAIR_ROWS), "repaired_chats": (repaired_chats, REPAIRED), "hash_split": (hash_split, HASH_SPLIT), "raw_action_labels": (raw_action_labels, LABELS),
 }

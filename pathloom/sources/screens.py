@@ -82,3 +82,19 @@ def episodes(files: DataFrame, complete: bool = False, allowed: DataFrame | None
 
         out = top_k(out, ["user_id"], [F.col("time")], most_per_user, "_n").drop("_n")
     return out
+
+
+def episode_index(files: DataFrame, root: str) -> DataFrame:
+    """``part, time, folder``: for every folder above an episode, and its time, the first such episode folder by path."""
+    inner = F.filter(F.split(F.regexp_replace("path", rf"^(?:file:)?/*{re.escape(root.strip('/'))}/", ""), "/"), lambda p: p != "")
+    found = files.where("name = 'action.jsonl'").select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0))).alias("parts")).where("size(parts) > 0")
+    each = found.select("folder", F.explode(F.array_distinct("parts")).alias("part"), F.element_at("parts", -1).alias("time"))
+    return each.groupBy("part", "time").agg(F.min("folder").alias("folder"))
+
+
+def assets(files: DataFrame) -> DataFrame:
+    """Per episode its screenshots and its trees, each in the order of their stamps and then of their paths."""
+    image, tree = F.lower("name").rlike(r"\.(png|jpe?g|webp)$"), F.lower("name").endswith(".xml")
+    place = F.struct(F.lpad(stamp(F.col("name")), 24, "0").alias("s"), "path")
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, place))), lambda x: x.path)
+    return files.groupBy("user_id", "time").agg(ordered(image).alias("screenshots"), ordered(tree).alias("trees"))
