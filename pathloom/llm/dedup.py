@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,12 +72,15 @@ def _no_number(name: str):
     raise ValueError(f"{name} is no JSON")
 
 
+_DECODER = json.JSONDecoder(parse_int=_Number.read, parse_float=_Number.read, parse_constant=_no_number)
+
+
 def _parsed(payload: str | None):
     """The record of a payload, or None where it is broken or no record."""
     if payload is None:
         return None
     try:
-        found = json.loads(payload, parse_int=_Number.read, parse_float=_Number.read, parse_constant=_no_number)
+        found = _DECODER.decode(payload)
     except (ValueError, RecursionError):
         return None
     return found if isinstance(found, (dict, list)) else None
@@ -109,24 +113,31 @@ def _leaves(value) -> Iterator[str]:
         yield value if isinstance(value, str) else json.dumps(value)
 
 
+_quoted = lru_cache(maxsize=1 << 12)(json.dumps)
+_WORDS = {True: "true", False: "false", None: "null"}
+
+
 def _flat(value, out: list[str], strings: list[str]) -> None:
     """Write a record as tokens in field order; string values go to ``strings`` and leave a gap."""
-    if isinstance(value, dict):
+    kind = type(value)
+    if kind is str:
+        out.append("\x00")
+        strings.append(value if value.isascii() else value.encode("utf-8", "replace").decode())
+    elif kind is _Number:
+        out.append(value)
+    elif kind is dict:
         out.append("{")
         for name in sorted(value):
-            out.append(json.dumps(name))
+            out.append(_quoted(name))
             _flat(value[name], out, strings)
         out.append("}")
-    elif isinstance(value, list):
+    elif kind is list:
         out.append("[")
         for v in value:
             _flat(v, out, strings)
         out.append("]")
-    elif isinstance(value, str) and not isinstance(value, _Number):
-        out.append("\x00")
-        strings.append(value.encode("utf-8", "replace").decode())
     else:
-        out.append(value if isinstance(value, _Number) else json.dumps(value))
+        out.append(_WORDS[value])
 
 
 @F.arrow_udf(T.BinaryType())
