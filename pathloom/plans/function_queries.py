@@ -19,7 +19,7 @@ _BLANKS = r"[\t-\r\x{85}\p{Z}]"
 
 
 def _r(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    return [F.round(n, 9).alias(n) for n in names]
 
 
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +73,13 @@ def reward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = F.ln((F.coalesce(user, F.lit(0.0)) + 1e-6) / (F.coalesce(task, F.lit(0.0)) + 1e-6))
     reward = scores.weighted_reward(task=task, user=user, context=F.lit(0.5), specificity=scores.specificity(key))
     kind = retrieval.negative_class(F.filter(F.array(F.when(key == "", "empty")), lambda x: x.isNotNull()), F.coalesce(task, F.lit(0.0)), F.coalesce(user, F.lit(0.0)))
-    return rows.select("row_id", F.round(reward, 6).alias("reward"), F.round(scores.evidence(ratio, 0.7), 6).alias("evidence"), F.round(scores.pair_weight(F.coalesce(task - user, F.lit(0.0)), F.lit(0.2), 0.5, 0.3), 6).alias("pair_weight"), kind.alias("kind"))
+    return rows.select("row_id", F.round(reward, 9).alias("reward"), F.round(scores.evidence(ratio, 0.7), 9).alias("evidence"), F.round(scores.pair_weight(F.coalesce(task - user, F.lit(0.0)), F.lit(0.2), 0.5, 0.3), 9).alias("pair_weight"), kind.alias("kind"))
 
 
 REWARD = f"""
 WITH r AS (SELECT row_id, lower(regexp_replace(coalesce(candidate_text, ''), '{_BLANKS}+', '', 'g')) AS k, reward_task AS t, reward_user AS u FROM review_candidates),
 s AS (SELECT *, CASE WHEN length(k) < 4 THEN length(k) / 4e0 WHEN length(k) <= 48 THEN 1e0 ELSE greatest(0e0, 1 - (length(k) - 48) / 96e0) END AS s, (abs(coalesce(t - u, 0)) - 0.1e0) / 0.3e0 AS m FROM r)
-SELECT row_id, round(0.55e0 * coalesce(t, 0) + 0.2e0 * coalesce(u, 0) + 0.15e0 * 0.5e0 + 0.1e0 * s, 6) AS reward, round(tanh(ln((coalesce(u, 0) + 1e-6) / (coalesce(t, 0) + 1e-6)) / 0.7e0), 6) AS evidence, round(1 / (1 + exp(-m)), 6) AS pair_weight,
+SELECT row_id, round(0.55e0 * coalesce(t, 0) + 0.2e0 * coalesce(u, 0) + 0.15e0 * 0.5e0 + 0.1e0 * s, 9) AS reward, round(tanh(ln((coalesce(u, 0) + 1e-6) / (coalesce(t, 0) + 1e-6)) / 0.7e0), 9) AS evidence, round(1 / (1 + exp(-m)), 9) AS pair_weight,
   CASE WHEN k = '' THEN 'invalid' WHEN coalesce(t, 0) >= 0.92e0 THEN 'pseudo_negative' WHEN coalesce(t, 0) <= 0.2e0 AND coalesce(u, 0) <= 0.2e0 THEN 'easy_negative' ELSE 'valid_hard_negative' END AS kind FROM s
 """
 
@@ -89,14 +89,14 @@ def execution_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda c: F.transform(c, lambda a: F.substring(F.lower(F.coalesce(a.action_type, F.lit("?"))), 1, 1))
     golden = causal.keep_first(table(spark, sf_dir, "trajectory_records").where("trajectory_id IS NOT NULL"), ["trajectory_id"], [F.col("ingested_at"), F.col("row_id")]).select(F.col("trajectory_id").alias("source_trajectory_id"), one("actions").alias("golden"))
     rows = table(spark, sf_dir, "gui_step_examples").select("source_trajectory_id", "split", one("action_history").alias("agent"), (F.col("task_success") >= 0.5).alias("done"), F.array(F.lit("c"), F.lit("s")).alias("other")).join(golden, "source_trajectory_id")
-    return evaluation.execution_metrics(rows, ["split"], "agent", "golden", "other", "done").select("split", "n_evaluated", *_r("success", "similarity", "own_similarity", "other_similarity", "step_ratio_of_successes"))
+    return evaluation.execution_metrics(rows, ["split"], "agent", "golden", "other", "done").select("split", "n_evaluated", F.round("similarity", 2).alias("similarity"), *_r("success", "own_similarity", "other_similarity", "step_ratio_of_successes"))
 
 
 EXECUTION = """
 WITH g AS (SELECT trajectory_id AS j, list_transform(actions, lambda a: substr(lower(coalesce(a.action_type, '?')), 1, 1)) AS g FROM (SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY ingested_at NULLS FIRST, row_id) AS r FROM trajectory_records WHERE trajectory_id IS NOT NULL) WHERE r = 1),
 x AS (SELECT split, array_to_string(list_transform(action_history, lambda a: substr(lower(coalesce(a.action_type, '?')), 1, 1)), '') AS a, array_to_string(g, '') AS g, coalesce(task_success >= 0.5e0, false) AS d FROM gui_step_examples JOIN g ON j = source_trajectory_id),
 y AS (SELECT split, d AND length(a) <= 2.5e0 * length(g) AS ok, 1 - levenshtein(a, g) / CAST(greatest(length(a), length(g)) AS DOUBLE) AS si, 1 - levenshtein(a, 'cs') / CAST(greatest(length(a), 2) AS DOUBLE) AS sii, length(a) / CAST(length(g) AS DOUBLE) AS ratio FROM x WHERE length(a) > 0 AND length(g) > 0)
-SELECT split, count(*) AS n_evaluated, round(avg(CASE WHEN ok THEN 1e0 ELSE 0e0 END), 6) AS success, round(avg(si / greatest(sii, 1e-8)), 6) AS similarity, round(avg(si), 6) AS own_similarity, round(avg(sii), 6) AS other_similarity, round(avg(ratio) FILTER (ok), 6) AS step_ratio_of_successes FROM y GROUP BY split
+SELECT split, count(*) AS n_evaluated, round(avg(CASE WHEN ok THEN 1e0 ELSE 0e0 END), 9) AS success, round(avg(si / greatest(sii, 1e-8)), 2) AS similarity, round(avg(si), 9) AS own_similarity, round(avg(sii), 9) AS other_similarity, round(avg(ratio) FILTER (ok), 9) AS step_ratio_of_successes FROM y GROUP BY split
 """
 
 
@@ -109,7 +109,7 @@ def model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RESULTS = f"""
 WITH m AS (SELECT candidate_source, avg(reward_total) FILTER (split = 'train') AS a, avg(reward_total) FILTER (split = 'validation') AS b, avg(reward_total) FILTER (split = 'test') AS c FROM review_candidates WHERE {_SCORED} AND candidate_source IS NOT NULL GROUP BY ALL)
-SELECT candidate_source, round(a, 6) AS train, round(b, 6) AS validation, round(c, 6) AS test, round((a + b + c) / 3, 6) AS macro FROM m
+SELECT candidate_source, round(a, 9) AS train, round(b, 9) AS validation, round(c, 9) AS test, round((a + b + c) / 3, 9) AS macro FROM m
 """
 
 
@@ -121,7 +121,7 @@ def source_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GAINS = f"""
 WITH m AS (SELECT candidate_source, split, avg(reward_total) AS r FROM review_candidates WHERE {_SCORED} AND candidate_source IS NOT NULL GROUP BY ALL)
-SELECT m.candidate_source, m.split, round(m.r, 6) AS reward, round(m.r - b.r, 6) AS gain FROM m LEFT JOIN m b ON b.split = m.split AND b.candidate_source = 'oracle' WHERE m.candidate_source <> 'oracle'
+SELECT m.candidate_source, m.split, round(m.r, 9) AS reward, round(m.r - b.r, 9) AS gain FROM m LEFT JOIN m b ON b.split = m.split AND b.candidate_source = 'oracle' WHERE m.candidate_source <> 'oracle'
 """
 
 
@@ -134,7 +134,7 @@ def decision_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ACCURACY = """
 WITH r AS (SELECT candidate_source, CASE WHEN (current_rank = 1) = (decision = 'keep') THEN 1e0 ELSE 0e0 END AS hit FROM review_candidates WHERE decision IS NOT NULL AND current_rank IS NOT NULL AND candidate_source IS NOT NULL)
-SELECT candidate_source, count(*) AS n, round(avg(hit), 6) AS accuracy FROM r GROUP BY candidate_source UNION ALL SELECT 'average', count(*), round(avg(hit), 6) FROM r
+SELECT candidate_source, count(*) AS n, round(avg(hit), 9) AS accuracy FROM r GROUP BY candidate_source UNION ALL SELECT 'average', count(*), round(avg(hit), 9) FROM r
 """
 
 
@@ -158,7 +158,7 @@ def margin_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AGREEMENT = """
 WITH r AS (SELECT reward_user - 0.5e0 AS m, reward_task - 0.5e0 AS t, current_target_probability AS w FROM review_candidates WHERE reward_task IS NOT NULL AND reward_user IS NOT NULL AND current_target_probability IS NOT NULL)
-SELECT round(sum(CASE WHEN sign(m) = sign(t) THEN w ELSE 0 END) / greatest(sum(w), 1e-8), 6) AS accuracy, round(avg(abs(m - t)), 6) AS mae, round(avg((m - t) * (m - t)), 6) AS mse, round(sqrt(avg((m - t) * (m - t))), 6) AS rmse FROM r
+SELECT round(sum(CASE WHEN sign(m) = sign(t) THEN w ELSE 0 END) / greatest(sum(w), 1e-8), 9) AS accuracy, round(avg(abs(m - t)), 9) AS mae, round(avg((m - t) * (m - t)), 9) AS mse, round(sqrt(avg((m - t) * (m - t))), 9) AS rmse FROM r
 """
 
 
@@ -168,7 +168,7 @@ def group_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.uncertainty(rows, ["group_id"], "reward_user", "penalty").select("group_id", *_r("uncertainty"))
 
 
-UNCERTAINTY = "SELECT group_id, round(CASE WHEN count(reward_user) > 1 THEN stddev_pop(reward_user) ELSE 0 END + coalesce(max(1 - reward_task), 0), 6) AS uncertainty FROM review_candidates WHERE group_id IS NOT NULL AND reward_user IS NOT NULL GROUP BY group_id"
+UNCERTAINTY = "SELECT group_id, round(CASE WHEN count(reward_user) > 1 THEN stddev_pop(reward_user) ELSE 0 END + coalesce(max(1 - reward_task), 0), 9) AS uncertainty FROM review_candidates WHERE group_id IS NOT NULL AND reward_user IS NOT NULL GROUP BY group_id"
 
 
 def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,11 +199,11 @@ COMMON = "SELECT instruction, count(*) AS n FROM gui_step_examples WHERE instruc
 
 def largest_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty candidates whose reward falls furthest below their probability (a report)."""
-    rows = table(spark, sf_dir, "review_candidates").where(f"{_SCORED} AND current_target_probability IS NOT NULL").select("row_id", F.round(F.col("reward_total") - F.col("current_target_probability"), 6).alias("delta"))
+    rows = table(spark, sf_dir, "review_candidates").where(f"{_SCORED} AND current_target_probability IS NOT NULL").select("row_id", F.round(F.col("reward_total") - F.col("current_target_probability"), 9).alias("delta"))
     return evaluation.top_changes(rows, "delta", "row_id", 50)
 
 
-LOSSES = f"SELECT row_id, round(reward_total - current_target_probability, 6) AS delta FROM review_candidates WHERE {_SCORED} AND current_target_probability IS NOT NULL ORDER BY delta, row_id LIMIT 50"
+LOSSES = f"SELECT row_id, round(reward_total - current_target_probability, 9) AS delta FROM review_candidates WHERE {_SCORED} AND current_target_probability IS NOT NULL ORDER BY delta, row_id LIMIT 50"
 
 
 def upsampled_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,13 +317,13 @@ def next_token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths of a trajectory's action types as predictions of the ones after them; clicks are ignored."""
     kind = lambda a: F.length(F.coalesce(a.action_type, F.lit("")))
     rows = table(spark, sf_dir, "trajectory_records").where("size(actions) > 1").select("row_id", F.transform("actions", kind).alias("p"), F.transform("actions", lambda a: F.when(a.action_type == "click", -100).otherwise(kind(a))).alias("y"))
-    return rows.select("row_id", F.round(training.token_accuracy(F.col("p"), F.col("y")), 6).alias("accuracy"))
+    return rows.select("row_id", F.round(training.token_accuracy(F.col("p"), F.col("y")), 9).alias("accuracy"))
 
 
 TOKENS = """
 WITH l AS (SELECT row_id, list_transform(actions, lambda a: length(coalesce(a.action_type, ''))) AS p, list_transform(actions, lambda a: CASE WHEN a.action_type = 'click' THEN -100 ELSE length(coalesce(a.action_type, '')) END) AS y FROM trajectory_records WHERE len(actions) > 1),
 c AS (SELECT row_id, list_filter(list_transform(range(1, len(p)), lambda i: CASE WHEN y[i + 1] = -100 THEN NULL WHEN p[i] = y[i + 1] THEN 1 ELSE 0 END), lambda x: x IS NOT NULL) AS h FROM l)
-SELECT row_id, round(CASE WHEN len(h) > 0 THEN list_sum(h) / CAST(len(h) AS DOUBLE) END, 6) AS accuracy FROM c
+SELECT row_id, round(CASE WHEN len(h) > 0 THEN list_sum(h) / CAST(len(h) AS DOUBLE) END, 9) AS accuracy FROM c
 """
 
 
@@ -379,7 +379,7 @@ def _pairs(x: str) -> str:
 PROACTIVE = f"""
 WITH {_SOURCED}, t AS (SELECT split, coalesce(array_to_string(g, ''), '') AS t, coalesce(array_to_string(a, ''), '') AS p FROM st), u AS (SELECT *, t <> '' AND p <> '' AS ok, {_pairs('t')} AS gt, {_pairs('p')} AS gp FROM t),
 s AS (SELECT split, CASE WHEN ok THEN 2e0 * len(list_intersect(gt, gp)) / (len(gt) + len(gp)) END AS s1, CASE WHEN ok THEN 1 - levenshtein(t, p) / CAST(greatest(length(t), length(p)) AS DOUBLE) END AS s2 FROM u)
-SELECT split, count(*) AS n_rows, count(s1) AS n_evaluated, round(avg(s1), 6) AS semantic, round(avg(s2), 6) AS edit, round(avg((s1 + s2) / 2), 6) AS similarity FROM s GROUP BY split
+SELECT split, count(*) AS n_rows, count(s1) AS n_evaluated, round(avg(s1), 9) AS semantic, round(avg(s2), 9) AS edit, round(avg((s1 + s2) / 2), 9) AS similarity FROM s GROUP BY split
 """
 
 
@@ -392,7 +392,7 @@ def prediction_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREDICTION = f"""
 WITH {_SOURCED}, p AS (SELECT split, j, row_id, taken, coalesce(g[coalesce(len(a), 0) + 1], '!') AS wanted FROM st),
 e AS (SELECT split, j, count(*) AS n, avg(CASE WHEN taken = wanted THEN 1e0 ELSE 0e0 END) AS acc, string_agg(taken, '' ORDER BY row_id) AS x, string_agg(wanted, '' ORDER BY row_id) AS y FROM p GROUP BY ALL)
-SELECT split, CAST(sum(n) AS BIGINT) AS n_steps, round(sum(acc * n) / sum(n), 6) AS accuracy, round(avg(1 - levenshtein(x, y) / CAST(greatest(length(x), length(y)) AS DOUBLE)), 6) AS sequence_similarity FROM e GROUP BY split
+SELECT split, CAST(sum(n) AS BIGINT) AS n_steps, round(sum(acc * n) / sum(n), 9) AS accuracy, round(avg(1 - levenshtein(x, y) / CAST(greatest(length(x), length(y)) AS DOUBLE)), 9) AS sequence_similarity FROM e GROUP BY split
 """
 
 
@@ -404,7 +404,7 @@ def score_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VERDICTS = """
 WITH r AS (SELECT split, progress >= 0.2e0 AS v, task_success >= 0.5e0 AS s FROM trajectory_records)
-SELECT split, count(*) AS n, bool_and(coalesce(v, false)) AS all_verified, bool_or(s) AS any_success, round(avg(CASE WHEN v AND s IS NOT NULL THEN CAST(s AS INTEGER) END), 6) AS verified_success FROM r GROUP BY split
+SELECT split, count(*) AS n, bool_and(coalesce(v, false)) AS all_verified, bool_or(s) AS any_success, round(avg(CASE WHEN v AND s IS NOT NULL THEN CAST(s AS INTEGER) END), 9) AS verified_success FROM r GROUP BY split
 """
 
 
@@ -417,7 +417,7 @@ def repeated_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REPEATED = f"""
 WITH r AS (SELECT row_id, user_id AS u, {key('instruction')} AS k, progress AS p FROM gui_step_examples WHERE instruction IS NOT NULL AND user_id IS NOT NULL AND progress IS NOT NULL)
-SELECT a.row_id, round(max(1 - abs(a.p - b.p)) FILTER (a.u = b.u), 6) AS same, round(max(1 - abs(a.p - b.p)) FILTER (a.u <> b.u), 6) AS "cross" FROM r a JOIN r b ON a.k = b.k AND a.k <> '' AND a.row_id <> b.row_id GROUP BY a.row_id
+SELECT a.row_id, round(max(1 - abs(a.p - b.p)) FILTER (a.u = b.u), 9) AS same, round(max(1 - abs(a.p - b.p)) FILTER (a.u <> b.u), 9) AS "cross" FROM r a JOIN r b ON a.k = b.k AND a.k <> '' AND a.row_id <> b.row_id GROUP BY a.row_id
 """
 
 
@@ -425,14 +425,14 @@ def nearest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per group the same-user and the context candidate nearest in reward, of the three best of each."""
     rows = table(spark, sf_dir, "review_candidates").where(f"group_id IS NOT NULL AND candidate_id IS NOT NULL AND {_SCORED}").groupBy("group_id", "candidate_source", "candidate_id").agg(F.max("reward_total").alias("v"))
     side = lambda s, name: causal.top_k(rows.where(F.col("candidate_source") == s), ["group_id"], [F.col("v").desc(), F.col("candidate_id")], 3, "_n").select("group_id", F.col("candidate_id").alias(name), F.col("v").alias(f"{name}_v"))
-    out = retrieval.nearest_pair(side("same_user", "mine"), side("context", "theirs"), ["group_id"], ("mine", "theirs"), F.round(F.abs(F.col("mine_v") - F.col("theirs_v")), 6))
+    out = retrieval.nearest_pair(side("same_user", "mine"), side("context", "theirs"), ["group_id"], ("mine", "theirs"), F.round(F.abs(F.col("mine_v") - F.col("theirs_v")), 9))
     return out.select("group_id", "distance", "mine", "theirs")
 
 
 NEAREST = f"""
 WITH c AS (SELECT group_id, candidate_source AS s, candidate_id AS i, max(reward_total) AS v FROM review_candidates WHERE group_id IS NOT NULL AND candidate_id IS NOT NULL AND {_SCORED} GROUP BY ALL),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id, s ORDER BY v DESC, i) AS n FROM c) WHERE n <= 3),
-p AS (SELECT a.group_id, round(abs(a.v - b.v), 6) AS distance, a.i AS mine, b.i AS theirs FROM k a JOIN k b ON a.group_id = b.group_id AND a.s = 'same_user' AND b.s = 'context')
+p AS (SELECT a.group_id, round(abs(a.v - b.v), 9) AS distance, a.i AS mine, b.i AS theirs FROM k a JOIN k b ON a.group_id = b.group_id AND a.s = 'same_user' AND b.s = 'context')
 SELECT group_id, distance, mine, theirs FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY distance, mine, theirs) AS r FROM p) WHERE r = 1
 """
 
@@ -447,7 +447,7 @@ def exported_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAIR_ROWS = """
 WITH p AS (SELECT *, papo_weight - 0.1e0 AS gap FROM preference_pairs WHERE papo_weight IS NOT NULL)
-SELECT row_id, md5(concat_ws('|', task_id, 'assistant', chosen.content, rejected.content)) AS turns, round(least(3, greatest(0.5e0, 0.5e0 + 2 * gap)), 6) AS weight, round(greatest(0.55e0, least(0.98e0, 1 / (1 + exp(-gap / 0.4e0)))), 6) AS target_probability FROM p WHERE gap >= 0.5e0
+SELECT row_id, md5(concat_ws('|', task_id, 'assistant', chosen.content, rejected.content)) AS turns, round(least(3, greatest(0.5e0, 0.5e0 + 2 * gap)), 9) AS weight, round(greatest(0.55e0, least(0.98e0, 1 / (1 + exp(-gap / 0.4e0)))), 9) AS target_probability FROM p WHERE gap >= 0.5e0
 """
 
 
@@ -459,8 +459,8 @@ def repaired_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPAIRED = """
-SELECT row_id, array_to_string(images, '|') AS images, round(CASE WHEN papo_listwise_weight > 0 THEN papo_listwise_weight ELSE least(3, greatest(0.5e0, 0.5e0 + 2 * coalesce(papo_listwise_weight, 0))) END, 6) AS papo_listwise_weight,
-  round(greatest(0.55e0, least(0.98e0, 1 / (1 + exp(-coalesce(papo_listwise_weight, 0) / 0.3e0)))), 6) AS soft_target FROM sft_messages
+SELECT row_id, array_to_string(images, '|') AS images, round(CASE WHEN papo_listwise_weight > 0 THEN papo_listwise_weight ELSE least(3, greatest(0.5e0, 0.5e0 + 2 * coalesce(papo_listwise_weight, 0))) END, 9) AS papo_listwise_weight,
+  round(greatest(0.55e0, least(0.98e0, 1 / (1 + exp(-coalesce(papo_listwise_weight, 0) / 0.3e0)))), 9) AS soft_target FROM sft_messages
 """
 
 

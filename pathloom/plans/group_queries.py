@@ -18,7 +18,7 @@ def _compact(x: str) -> str:
 
 
 def _r(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    return [F.round(n, 9).alias(n) for n in names]
 
 
 def answer_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ SELECTED = f"WITH {_SELECTED} SELECT group_id, candidate_source, candidate_text,
 
 def preference_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best oracle of every group against its selected negatives, with gap and soft target."""
-    rows = table(spark, sf_dir, "review_candidates").where(_SCORED).select("group_id", "candidate_id", "candidate_source", "current_target_probability", "candidate_text", F.round("reward_total", 6).alias("reward_total"))
+    rows = table(spark, sf_dir, "review_candidates").where(_SCORED).select("group_id", "candidate_id", "candidate_source", "current_target_probability", "candidate_text", F.round("reward_total", 9).alias("reward_total"))
     best = causal.keep_first(rows.where("candidate_source = 'oracle' AND group_id IS NOT NULL"), ["group_id"], [F.col("reward_total").desc(), F.col("candidate_id"), F.col("candidate_text")])
     least = rows.where("group_id IS NOT NULL AND (candidate_source IS NULL OR candidate_source <> 'oracle')").groupBy("group_id", "candidate_source", "candidate_text").agg(F.max("current_target_probability").alias("current_target_probability"), F.max("reward_total").alias("reward_total"))
     out = groups.preference_rows(best, _negatives(least), "group_id", "candidate_text", "reward_total", 0.1)
@@ -76,13 +76,13 @@ def preference_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TARGETS = f"""
-WITH c AS (SELECT group_id, candidate_id, candidate_source, current_target_probability, candidate_text, round(reward_total, 6) AS v FROM review_candidates WHERE {_SCORED} AND group_id IS NOT NULL),
+WITH c AS (SELECT group_id, candidate_id, candidate_source, current_target_probability, candidate_text, round(reward_total, 9) AS v FROM review_candidates WHERE {_SCORED} AND group_id IS NOT NULL),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY v DESC, candidate_id NULLS FIRST, candidate_text NULLS FIRST) AS r FROM c WHERE candidate_source = 'oracle') WHERE r = 1),
 d AS (SELECT group_id, candidate_source, candidate_text, max(current_target_probability) AS p, max(v) AS v FROM c WHERE candidate_source IS NULL OR candidate_source <> 'oracle' GROUP BY ALL),
 n0 AS (SELECT *, {_compact('candidate_text')} AS k, coalesce(p, 0) AS w, CASE lower(coalesce(candidate_source, '')) WHEN 'model' THEN 1 WHEN 'cross_user' THEN 2 WHEN 'same_user' THEN 3 ELSE 4 END AS s FROM d),
 n1 AS (SELECT *, row_number() OVER (PARTITION BY group_id, k ORDER BY s, w DESC, candidate_text) AS x FROM n0 WHERE k <> ''),
 n2 AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY s, w DESC, candidate_text) AS place FROM n1 WHERE x = 1)
-SELECT group_id, CAST(place AS INTEGER) AS place, md5(o.candidate_text) AS chosen, md5(n2.candidate_text) AS rejected, round(o.v - n2.v, 6) AS gap, round(1 / (1 + exp(-(o.v - n2.v) / 0.1e0)), 6) AS target_probability FROM n2 JOIN o USING (group_id) WHERE place <= 2
+SELECT group_id, CAST(place AS INTEGER) AS place, md5(o.candidate_text) AS chosen, md5(n2.candidate_text) AS rejected, round(o.v - n2.v, 9) AS gap, round(1 / (1 + exp(-(o.v - n2.v) / 0.1e0)), 9) AS target_probability FROM n2 JOIN o USING (group_id) WHERE place <= 2
 """
 
 
@@ -96,7 +96,7 @@ WITH c AS (SELECT coalesce(split, 'none') AS split, group_id AS g, candidate_id
 p AS (SELECT split, g, count(*) AS n, count(DISTINCT i) AS items, max(v) FILTER (s = 'oracle') AS o, max(v) FILTER (coalesce(s, '') <> 'oracle') AS b FROM c GROUP BY ALL),
 w AS (SELECT split, CAST(count(*) AS DOUBLE) AS groups, CAST(sum(n) AS DOUBLE) AS candidates, avg(n) AS mean_group, avg(CASE WHEN o IS NULL THEN 1e0 ELSE 0e0 END) AS without_oracle, avg(CASE WHEN o IS NULL OR b IS NULL THEN NULL WHEN o >= b THEN 1e0 ELSE 0e0 END) AS oracle_leads,
   avg(o - b) AS mean_margin, min(o - b) AS least_margin, CAST(sum(n - items) AS DOUBLE) AS repeated_items FROM p GROUP BY split)
-SELECT split, metric, round(value, 6) AS value FROM w UNPIVOT INCLUDE NULLS (value FOR metric IN (groups, candidates, mean_group, without_oracle, oracle_leads, mean_margin, least_margin, repeated_items))
+SELECT split, metric, round(value, 9) AS value FROM w UNPIVOT INCLUDE NULLS (value FOR metric IN (groups, candidates, mean_group, without_oracle, oracle_leads, mean_margin, least_margin, repeated_items))
 UNION ALL SELECT split, 'source:' || coalesce(s, 'none'), CAST(count(*) AS DOUBLE) FROM c GROUP BY ALL
 """
 
@@ -129,7 +129,7 @@ _METRICS = [f"{s}_{m}" for s in ("oracle", "same_user", "context") for m in ("sh
 WIDE_AUDIT = f"""
 WITH {_WIDE}, a AS (SELECT coalesce(split, 'none') AS split, CAST(count(*) AS DOUBLE) AS groups, {', '.join(f"avg(CASE WHEN {s}_text IS NOT NULL THEN 1e0 ELSE 0e0 END) AS {s}_share, avg({s}_score) AS {s}_mean" for s in ('oracle', 'same_user', 'context'))}, {_is_oracle('same_user')}, {_is_oracle('context')},
   avg(CASE WHEN len(list_distinct([round(oracle_score, 12), round(same_user_score, 12), round(context_score, 12)])) <= 1 THEN 1e0 ELSE 0e0 END) AS one_score FROM w GROUP BY ALL)
-SELECT split, metric, round(value, 6) AS value FROM a UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(_METRICS)}))
+SELECT split, metric, round(value, 9) AS value FROM a UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(_METRICS)}))
 """
 
 
@@ -150,7 +150,7 @@ def _tail(x: str) -> str:
 
 def _window(s: str, low: float, high: float, more: str) -> str:
     d = "(CASE WHEN len(ga) > 0 AND len(gb) > 0 THEN 2e0 * len(list_intersect(ga, gb)) / (len(ga) + len(gb)) ELSE 0e0 END)"
-    return f"""SELECT group_id, CASE WHEN {d} >= 0.7e0 AND {d} < 1 AND {_tail('oracle_text')} <> {_tail('t')} THEN 'slot_mismatch_{s}' ELSE '{s}' END AS negative_type, round({d}, 6) AS char_similarity, round(v, 6) AS negative_score
+    return f"""SELECT group_id, CASE WHEN {d} >= 0.7e0 AND {d} < 1 AND {_tail('oracle_text')} <> {_tail('t')} THEN 'slot_mismatch_{s}' ELSE '{s}' END AS negative_type, round({d}, 9) AS char_similarity, round(v, 9) AS negative_score
 FROM (SELECT *, {_grams('a')} AS ga, {_grams('b')} AS gb FROM (SELECT group_id, oracle_text, {s}_text AS t, {s}_score AS v, {s}_time AS m, oracle_time AS om, {_compact(f'{s}_text')} AS a, {_compact('oracle_text')} AS b FROM w)) WHERE a <> '' AND a <> b AND oracle_text IS NOT NULL {more} AND {d} BETWEEN {low}e0 AND {high}e0"""
 
 
@@ -186,7 +186,7 @@ _LIMITS = {"oracle": 1, "same_user": 2, "context": 1, "cross_user": 2, "model":
 
 def candidate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every group's candidates put together from its sources, the best few of each, every text once."""
-    rows = table(spark, sf_dir, "review_candidates").where(f"candidate_id IS NOT NULL AND {_SCORED}").select("group_id", "candidate_source", "candidate_id", "candidate_text", F.round("reward_total", 6).alias("reward_total"), "row_id")
+    rows = table(spark, sf_dir, "review_candidates").where(f"candidate_id IS NOT NULL AND {_SCORED}").select("group_id", "candidate_source", "candidate_id", "candidate_text", F.round("reward_total", 9).alias("reward_total"), "row_id")
     first = causal.keep_first(rows, ["group_id", "candidate_source", "candidate_id"], [F.col("reward_total").desc(), F.col("row_id")])
     return groups.candidate_sets(first, "group_id", "candidate_source", "candidate_id", "candidate_text", "reward_total", _LIMITS).select("group_id", "place", "candidate_source", "candidate_id")
 
@@ -194,7 +194,7 @@ def candidate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RANKS = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(_LIMITS))
 _MOST = " ".join(f"WHEN '{s}' THEN {n}" for s, n in _LIMITS.items())
 SETS = f"""
-WITH c AS (SELECT *, round(reward_total, 6) AS v, row_number() OVER (PARTITION BY group_id, candidate_source, candidate_id ORDER BY round(reward_total, 6) DESC, row_id) AS f FROM review_candidates WHERE candidate_id IS NOT NULL AND group_id IS NOT NULL AND candidate_source IS NOT NULL AND {_SCORED}),
+WITH c AS (SELECT *, round(reward_total, 9) AS v, row_number() OVER (PARTITION BY group_id, candidate_source, candidate_id ORDER BY round(reward_total, 9) DESC, row_id) AS f FROM review_candidates WHERE candidate_id IS NOT NULL AND group_id IS NOT NULL AND candidate_source IS NOT NULL AND {_SCORED}),
 k AS (SELECT group_id, candidate_source AS s, candidate_id, v, {_compact('candidate_text')} AS k, CASE candidate_source {_RANKS} END AS r FROM c WHERE f = 1),
 o AS (SELECT *, row_number() OVER (PARTITION BY group_id, s, k ORDER BY v DESC, candidate_id) AS x FROM k WHERE k <> ''),
 n AS (SELECT *, row_number() OVER (PARTITION BY group_id, s ORDER BY v DESC, candidate_id) AS n FROM o WHERE x = 1),
@@ -212,7 +212,7 @@ def reviewed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 REVIEWED = """
 WITH k AS (SELECT row_id, group_id, greatest(coalesce(current_target_probability, 0), 0) AS p FROM review_candidates WHERE group_id IS NOT NULL AND (decision IS NULL OR decision NOT LIKE 'drop!_%' ESCAPE '!')),
 t AS (SELECT group_id, sum(p) AS t, count(*) AS n FROM k GROUP BY group_id)
-SELECT row_id, group_id, round(CASE WHEN t > 0 THEN p / t ELSE 1e0 / n END, 6) AS new_probability FROM k JOIN t USING (group_id)
+SELECT row_id, group_id, round(CASE WHEN t > 0 THEN p / t ELSE 1e0 / n END, 9) AS new_probability FROM k JOIN t USING (group_id)
 """
 
 
@@ -227,7 +227,7 @@ def annotated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANNOTATED = """
 WITH d AS (SELECT task_id, avg(task_success) AS s FROM gui_step_examples WHERE task_id IS NOT NULL GROUP BY task_id),
 n AS (SELECT task_id, round(progress, 3) AS p FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ingested_at DESC NULLS LAST, row_id DESC) AS r FROM gui_step_examples WHERE task_id IS NOT NULL AND split IS NOT NULL AND user_id IS NOT NULL AND trim(user_id, ' ') <> '' AND progress IS NOT NULL) WHERE r = 1)
-SELECT task_id, p IS NOT NULL AS annotated, round(coalesce(p, s), 6) AS task_success FROM d LEFT JOIN n USING (task_id)
+SELECT task_id, p IS NOT NULL AS annotated, round(coalesce(p, s), 9) AS task_success FROM d LEFT JOIN n USING (task_id)
 """
 
 
@@ -268,7 +268,7 @@ def fused_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 FUSED = """
 WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT user_id, sum(n) AS s, count(*) AS k, sum(ln(1 + n)) AS l FROM c GROUP BY user_id),
 p AS (SELECT user_id, event_type, n, ln(1 + n) / l AS a, (n + 1e0) / (s + k) AS b, 1 - exp(-s / 5e0) AS g FROM c JOIN t USING (user_id))
-SELECT user_id, event_type, n, round(a, 6) AS log_policy, round(b, 6) AS smoothed_policy, round((1 - g) * a + g * b, 6) AS fused_policy FROM p
+SELECT user_id, event_type, n, round(a, 9) AS log_policy, round(b, 9) AS smoothed_policy, round((1 - g) * a + g * b, 9) AS fused_policy FROM p
 """
 
 
@@ -290,12 +290,12 @@ def target_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every position of every trajectory: progress, what lies ahead, and the next three actions as target."""
     lists = table(spark, sf_dir, "trajectory_records").select("row_id", F.transform("actions", lambda a: F.coalesce(a.action_type, F.lit("?"))).alias("types"))
     at = lists.select("row_id", "types", F.posexplode("types").alias("pos", "_"))
-    return at.select("row_id", "pos", F.round((F.col("pos") + 1) / F.size("types"), 6).alias("progress"), (F.size("types") - F.col("pos") - 1).alias("n_future"), F.array_join(F.slice("types", F.col("pos") + 1, F.lit(3)), ">").alias("target"))
+    return at.select("row_id", "pos", F.round((F.col("pos") + 1) / F.size("types"), 9).alias("progress"), (F.size("types") - F.col("pos") - 1).alias("n_future"), F.array_join(F.slice("types", F.col("pos") + 1, F.lit(3)), ">").alias("target"))
 
 
 SLICES = """
 WITH r AS (SELECT row_id, list_transform(actions, lambda a: coalesce(a.action_type, '?')) AS t, unnest(range(len(actions))) AS pos FROM trajectory_records WHERE actions IS NOT NULL)
-SELECT row_id, CAST(pos AS INTEGER) AS pos, round((pos + 1) / CAST(len(t) AS DOUBLE), 6) AS progress, CAST(len(t) - pos - 1 AS INTEGER) AS n_future, array_to_string(t[pos + 1 : pos + 3], '>') AS target FROM r
+SELECT row_id, CAST(pos AS INTEGER) AS pos, round((pos + 1) / CAST(len(t) AS DOUBLE), 9) AS progress, CAST(len(t) - pos - 1 AS INTEGER) AS n_future, array_to_string(t[pos + 1 : pos + 3], '>') AS target FROM r
 """
 
 
@@ -309,7 +309,7 @@ def oracle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 POSITIONS = """
 WITH f AS (SELECT group_id, candidate_id, candidate_source, row_number() OVER (PARTITION BY group_id, candidate_id ORDER BY row_id) AS c FROM review_candidates WHERE group_id IS NOT NULL AND candidate_id IS NOT NULL),
 p AS (SELECT candidate_source, row_number() OVER (PARTITION BY group_id ORDER BY md5('5:' || group_id || ':' || candidate_id), candidate_id) AS n FROM f WHERE c = 1), o AS (SELECT chr(CAST(64 + n AS INTEGER)) AS letter, count(*) AS n FROM p WHERE n <= 26 AND candidate_source = 'oracle' GROUP BY ALL)
-SELECT letter, n, round(n / CAST(sum(n) OVER () AS DOUBLE), 6) AS share FROM o
+SELECT letter, n, round(n / CAST(sum(n) OVER () AS DOUBLE), 9) AS share FROM o
 """
 
 
