@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import scores, text
-from pathloom.operators.causal import frequency_cap, keep_first, strict_past_pairs, top_k
+from pathloom.operators.causal import frequency_cap, top_k
+from pathloom.operators.pools import best_by_relation
+from pathloom.operators.ranking import numbered
+from pathloom.storage import cut
 
 # Relations of a retrieved candidate to its task, in order of precedence.
 RELATIONS = ("same_user_similar_intent", "same_user_similar_context_different_intent", "cross_user_similar_intent")
@@ -14,45 +17,31 @@ _FIELDS = ["task_id", "user_id", "time", "scenario", "intent", "intent_class", "
 
 
 def task_records(df: DataFrame) -> DataFrame:
-    """Tasks with the key and the character pairs that pools compare; computed once, before any join."""
-    return df.select(*_FIELDS, text.key_alnum("intent").alias("key")).withColumn("grams", text.bigrams(F.col("key")))
+    """Tasks with the key that pools compare and the hour of the day."""
+    return df.select(*_FIELDS, text.key_alnum("intent").alias("key"), scores.hour(F.col("time")).alias("hour"))
 
 
 def retrieval_pools(targets: DataFrame, references: DataFrame, *, generic_apps: tuple[str, ...] = (), most: int = 2, least: float = 0.20, positive: float = 0.35, context_most: float = 0.75, pseudo: float = 0.55, cap: int | None = None) -> DataFrame:
     """Earlier tasks of the same and of other users as candidates, per relation the best few.
 
-    Candidates meet through equi joins on user, class and app, whose union is de-duplicated;
+    Candidates meet by user, class and app in blocks (:mod:`pathloom.operators.pools`), never as rows;
     within a task a text is kept at its first relation, and over all tasks a text is used at most
     ``cap`` times per relation (by default 10, or half a percent of the tasks if that is more).
+    A ``task_id`` names one target and one reference.
     """
-    t = task_records(targets)
-    r = task_records(references).where("key <> '' AND time <> ''")
-    named = F.col("app") != ""
-    for app in generic_apps:
-        named = named & (F.col("app") != app)
-    own = strict_past_pairs(t.where("user_id IS NOT NULL"), r, ["user_id"], "time").where("task_id <> task_id_ref")
-    other = strict_past_pairs(t.where("intent_class <> ''"), r, ["intent_class"], "time").unionByName(strict_past_pairs(t.where(named), r, ["app"], "time"))
-    other = other.where("user_id IS NULL OR user_id_ref IS NULL OR user_id <> user_id_ref").dropDuplicates(["task_id", "task_id_ref"])
-    similarity = text.dice(F.col("grams"), F.col("grams_ref"))
-    scenario = F.coalesce(((F.col("scenario") != "") & (F.col("scenario") == F.col("scenario_ref"))).cast("double"), F.lit(0.0))
-    near = scores.hour_similarity(F.col("time"), F.col("time_ref"))
-    base = lambda df: df.where("key <> key_ref").withColumn("similarity", similarity).withColumn("scene", scenario).withColumn("hour", near)
-    same_class = F.coalesce((F.col("intent_class") != "") & (F.col("intent_class") == F.col("intent_class_ref")), F.lit(False))
-    same_app = F.coalesce(named & (F.col("app") == F.col("app_ref")), F.lit(False))
-    family = same_class | (same_app & (F.col("similarity") >= 0.35))
-    alike = family & (F.col("similarity") >= least)
-    setting = ~alike & ~same_class & ~same_app & ((F.col("scene") > 0) | (F.col("hour") >= 0.75)) & (F.col("similarity") < context_most)
-    mine = base(own).withColumn("relation", F.when(alike, RELATIONS[0]).when(setting, RELATIONS[1])).where("relation IS NOT NULL")
-    mine = mine.withColumn("score", F.when(alike, 0.65 * F.col("similarity") + 0.20 * F.col("scene") + 0.15 * F.col("hour")).otherwise(0.15 * F.col("similarity") + 0.55 * F.col("scene") + 0.30 * F.col("hour")))
-    mine = mine.withColumn("eligibility", F.when(F.col("relation") == RELATIONS[1], "contrast_only_zero_mass").when(F.col("similarity") >= positive, "listwise").otherwise("review_required_zero_mass"))
-    theirs = base(other).withColumn("relation", F.lit(RELATIONS[2])).withColumn("score", 0.75 * F.col("similarity") + 0.15 * F.col("scene") + 0.10 * F.col("hour"))
-    theirs = theirs.withColumn("eligibility", F.when(F.col("similarity") >= pseudo, "analysis_only_pseudo_negative_risk").otherwise("dpo_rejected_review_required"))
-    columns = ["task_id", "relation", "eligibility", "score", "similarity", F.col("key_ref").alias("key"), F.col("intent_ref").alias("text"), F.col("task_id_ref").alias("source_task_id"), F.col("user_id_ref").alias("source_user_id"), F.col("time_ref").alias("source_time")]
-    pool = mine.select(*columns).unionByName(theirs.select(*columns)).withColumn("_r", F.array_position(F.array(*[F.lit(x) for x in RELATIONS]), F.col("relation")))
-    best = [F.col("_r"), (F.col("eligibility") == "listwise").desc(), F.col("score").desc(), F.col("source_time").desc(), F.col("source_task_id").desc()]
-    few = top_k(keep_first(pool, ["task_id", "key"], best), ["task_id", "relation"], best[1:], most)
-    limit = cap if cap is not None else max(10, -(-targets.count() // 200))
-    return frequency_cap(few, ["relation", "key"], [F.col("score").desc(), F.col("task_id").desc()], limit).drop("_r")
+    named = F.coalesce((F.col("app") != "") & ~F.col("app").isin(*generic_apps), F.lit(False))
+    t = cut(task_records(targets).drop("intent").withColumn("named", named), "targets")
+    r = cut(numbered(task_records(references).where("key <> '' AND time <> ''"), [F.col("time"), F.col("task_id")], "place"), "references")
+    n = t.count()
+    pool = best_by_relation(t.where("time IS NOT NULL"), r.drop("intent"), n, r.count(), most=most, least=least, positive=positive, context_most=context_most)
+    listwise = (F.col("relation") == 1) & (F.col("similarity") >= positive)
+    few = top_k(pool, ["task_id", "relation"], [listwise.desc(), F.col("score").desc(), F.col("place").desc()], most)
+    kept = few.join(r.select("place", "key", F.col("intent").alias("text"), F.col("task_id").alias("source_task_id"), F.col("user_id").alias("source_user_id"), F.col("time").alias("source_time")), "place")
+    limit = cap if cap is not None else max(10, -(-n // 200))
+    kept = frequency_cap(kept, ["relation", "key"], [F.col("score").desc(), F.col("task_id").desc()], limit)
+    mass = F.when(F.col("relation") == 2, "contrast_only_zero_mass").when(listwise, "listwise").when(F.col("relation") == 1, "review_required_zero_mass").when(F.col("similarity") >= pseudo, "analysis_only_pseudo_negative_risk").otherwise("dpo_rejected_review_required")
+    name = F.element_at(F.array(*[F.lit(x) for x in RELATIONS]), F.col("relation"))
+    return kept.select("task_id", name.alias("relation"), mass.alias("eligibility"), "score", "similarity", "key", "text", "source_task_id", "source_user_id", "source_time", "rank")
 
 
 def best_same_and_cross(df: DataFrame, intent: str, user: str, similarity_of: Column, order: str) -> DataFrame:
