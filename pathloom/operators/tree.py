@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions.text import jaccard
+from pathloom.operators import treeindex
 from pathloom.operators.causal import beside, top_k
 from pathloom.operators.ranking import ranked
 from pathloom.storage import cut
@@ -66,17 +67,32 @@ def _merged(frontier: DataFrame, retrieved: DataFrame, most: int) -> DataFrame:
     return edges.withColumn("place", place).where(F.col("place") <= most).select("path_id", "action", "support", "source", F.col("e.step_id").alias("example"), "place")
 
 
+def _followed(steps: DataFrame) -> DataFrame:
+    """Steps with the id of the following one of their episode."""
+    return beside(steps, ["episode_id"], [F.col("step_index"), F.col("step_id")], {"_after": "step_id"}).withColumn("_next", F.when(F.col("episode_id").isNotNull(), F.col("_after"))).drop("_after")
+
+
 def expand(roots: DataFrame, steps: DataFrame, depth: int = 3, same_k: int = 2, cross_k: int = 2, most: int = 4, visible: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """``edges(root_id, node, depth, action, support, source, example)`` and ``leaves(root_id, leaf, actions)``.
 
     A node is named by the places taken on the way to it, so names sort in depth-first order.
     ``visible`` is a condition on ``root`` and ``cand`` (for instance: train steps, or the root's own episode).
+    Without one, and with a shared folder that workers can map, trees are grown from an index of the
+    steps (:mod:`pathloom.operators.treeindex`); else candidates are joined level by level.
     """
     if "rank" not in steps.columns:
         steps = ranked(steps, ["user_id"], [F.col(c) for c in ("time", "episode_id", "step_index", "step_id")])
     if "eligible" not in steps.columns:
         steps = steps.withColumn("eligible", F.lit(True))
-    steps = cut(beside(steps.select(*_STEP, "eligible"), ["episode_id"], [F.col("step_index"), F.col("step_id")], {"_after": "step_id"}).withColumn("_next", F.when(F.col("episode_id").isNotNull(), F.col("_after"))), "steps")
+    folder = treeindex.local_folder(steps.sparkSession)
+    if visible is None and folder:
+        steps = _followed(treeindex.slim(steps))
+        placed, index = treeindex.built(steps, folder)
+        chosen = cut(placed.join(roots.select("step_id"), "step_id", "left_semi").select("i"), "roots")
+        n = chosen.count()
+        chosen = chosen.repartition(max(12, -(-n // treeindex.ROOTS)))
+        return tuple(treeindex.grown(chosen, index, SOURCES, leaves, depth, same_k, cross_k, most) for leaves in (False, True))
+    steps = cut(_followed(steps.select(*_STEP, "eligible")), "steps")
     record = F.struct(*_STEP)
     frontier = steps.join(roots.select("step_id"), "step_id", "left_semi").select(F.col("step_id").alias("root_id"), F.concat("step_id", F.lit(":")).alias("path_id"), record.alias("root"), record.alias("proxy"), F.array().cast("array<string>").alias("actions"))
     following = steps.select(F.col("step_id").alias("example"), "_next")
