@@ -19,3 +19,17 @@ def test_trees_are_grown_without_a_row_per_pair_or_level(spark):
     assert edges.where("depth = 1").count() > 25
     for df in (edges, leaves):
         assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_leaves_of_the_query_come_straight_from_the_index(spark, tmp_path):
+    import datetime
+
+    from pathloom.plans import tree_queries
+
+    action = "struct<action_type string, target string, text string, bbox array<double>, raw struct<ts timestamp>>"
+    rows = [(n, f"{e}{i}", u, e, [None] * i, datetime.datetime(2031, 1, 1 + day, i), f"s{i}", "Open the mail", "[button] mail", (f"{e}{i}", "x", None, None, None)) for n, (e, u, day, i) in enumerate((e, u, d, i) for e, u, d in (("a", "u", 0), ("b", "v", 1), ("c", "u", 2)) for i in range(3))]
+    spark.createDataFrame(rows, f"row_id bigint, example_id string, user_id string, source_trajectory_id string, action_history array<{action}>, ingested_at timestamp, state_id string, instruction string, ui_tree string, current_action {action}").write.parquet(f"{tmp_path}/gui_step_examples.parquet")
+    leaves = tree_queries.counterfactual_leaves(spark, str(tmp_path))
+    assert "Join" not in leaves._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.leaf, r.path) for r in leaves.where("root_id = 'c0'").collect()}
+    assert ("c0:1.1.1.", "c0:x>c1:x>c2:x") in got and any("a0:x>" in p for _, p in got) and any("b0:x>" in p for _, p in got)
