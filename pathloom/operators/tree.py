@@ -86,9 +86,7 @@ def expand(roots: DataFrame, steps: DataFrame, depth: int = 3, same_k: int = 2,
         steps = steps.withColumn("eligible", F.lit(True))
     folder = treeindex.local_folder(steps.sparkSession)
     if visible is None and folder:
-        steps = _followed(treeindex.slim(steps))
-        placed, index = treeindex.built(steps, folder)
-        chosen = cut(placed.join(roots.select("step_id"), "step_id", "left_semi").select("i"), "roots")
+        chosen, index = treeindex.built(treeindex.slim(steps), roots, folder)
         n = chosen.count()
         chosen = chosen.repartition(max(12, -(-n // treeindex.ROOTS)))
         return tuple(treeindex.grown(chosen, index, SOURCES, leaves, depth, same_k, cross_k, most) for leaves in (False, True))

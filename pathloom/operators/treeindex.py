@@ -17,13 +17,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.operators.causal import beside
 from pathloom.operators.ranking import numbered
-from pathloom.storage import cut, shared_dir
+from pathloom.storage import cut, passing, shared_dir
 
 #: Roots expanded at once, candidates of a block from which it is one matrix, pairs scored at once, rows handed over at once.
 ROOTS, DENSE, PAIRS, ROWS = 32768, 16, 1 << 20, 1 << 17
 BLOCKS = ("app", "state_key", "intent_key")
-_NUMBERS = ("user_id", *BLOCKS, "rank", "time", "next", "able", "action_no")
+_HASHES, _NUMBERS = ("user_id", *BLOCKS), ("rank", "time", "next", "action_no")
 
 
 def local_folder(spark) -> str | None:
@@ -32,10 +33,11 @@ def local_folder(spark) -> str | None:
     return urllib.parse.unquote(urllib.parse.urlparse(root).path) if root.startswith("file:") else None
 
 
-def _ordered(df: DataFrame, name: str, out: str) -> DataFrame:
-    """A number for every value in the order of values; 0 for null and empty."""
-    values = numbered(df.select(F.col(name).alias("_v")).where("_v <> ''").distinct(), [F.col("_v")], out)
-    return df.join(values, F.col(name) == F.col("_v"), "left").drop("_v").na.fill(0, [out])
+def _ordered(df: DataFrame, name: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """``i`` with a number from 1 for its value in the order of values, where it has one; and the values."""
+    df = df.select("i", name).where(F.coalesce(F.col(name), F.lit("")) != "")
+    values = numbered(df.select(F.col(name).alias("_v")).distinct(), [F.col("_v")], out)
+    return df.join(values, F.col(name) == F.col("_v")).select("i", out), values
 
 
 def slim(steps: DataFrame) -> DataFrame:
@@ -45,48 +47,120 @@ def slim(steps: DataFrame) -> DataFrame:
     return steps.select("step_id", same("user_id"), "episode_id", "step_index", "time", *[same(b) for b in BLOCKS], F.coalesce(words, F.array().cast("array<bigint>")).alias("tokens"), "action", F.col("rank").cast("bigint").alias("rank"), "eligible")
 
 
-def built(steps: DataFrame, folder: str) -> tuple[DataFrame, str]:
-    """Steps with their number by step id, and the folder of their index. ``steps``: slim, with ``_next``."""
-    folder = f"{folder}/index-{uuid.uuid4().hex}"
-    placed = numbered(steps, [F.col("step_id")], "_i")
-    ids = placed.select("step_id", (F.col("_i") - 1).alias("i"))
-    names = placed.select(F.col("step_id").alias("_next"), F.col("_i").alias("_n"))
-    placed = placed.join(names, "_next", "left").withColumn("next", F.coalesce(F.col("_n") - 1, F.lit(-1))).withColumn("able", (F.col("eligible") & F.col("_next").isNotNull()).cast("bigint"))
-    placed = _ordered(_ordered(placed, "time", "time_no"), "action", "action_no")
-    laid = placed.select((F.col("_i") - 1).alias("i"), "step_id", F.coalesce("action", F.lit("")).alias("action"), "tokens", "user_id", *BLOCKS, "rank", F.col("time_no").alias("time"), "next", F.coalesce("able", F.lit(0)).alias("able"), "action_no")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(folder, exist_ok=True)
-        kinds = (*_NUMBERS, "step_id.bytes", "step_id.size", "action.bytes", "action.size", "tokens.codes", "tokens.size")
-        files = {k: open(f"{folder}/{k}", "wb") for k in kinds}  # a task that is tried again begins anew
-        n = 0
+def _sized(path: str, n: int, kind) -> None:
+    with open(path, "wb") as f:
+        f.truncate(n * np.dtype(kind).itemsize)  # pages that stay 0 take no room
+
+
+def _placed(folder: str, name: str, kind, at: np.ndarray, values: np.ndarray) -> None:
+    some = np.flatnonzero(values)
+    if len(some):
+        file = np.memmap(f"{folder}/{name}", kind, "r+")
+        file[at[some]] = values[some]
+
+
+def _parts(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all rows of a column of strings or lists in one, and how many each row has."""
+    x = b.column(name)
+    if pa.types.is_list(x.type):
+        return x.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(x.offsets.to_numpy()).astype(np.int64)
+    x = pa.concat_arrays([x.cast(pa.large_binary())])
+    start = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
+    data = np.frombuffer(x.buffers()[2], np.uint8) if x.buffers()[2] else np.zeros(0, np.uint8)
+    return data[start[0] : start[-1]], np.diff(start)
+
+
+def _kept(df: DataFrame, folder: str, n: int, flat: dict[str, type], long: dict[str, type]) -> None:
+    """Write columns to files where each row has its place ``i`` below ``n``; every task writes its own rows.
+
+    ``flat`` are numbers, 0 where there is no row; of ``long`` the sizes are written first and their sums
+    are where each row starts.
+    """
+    for name, kind in flat.items():
+        _sized(f"{folder}/{name}", n, kind)
+    for name in long:
+        _sized(f"{folder}/{name}.start", n + 1, np.int64)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("i").to_numpy().astype(np.int64)
+            for name, kind in flat.items():
+                _placed(folder, name, kind, at, b.column(name).to_numpy(zero_copy_only=False).astype(kind))
+            for name in long:
+                _placed(folder, f"{name}.start", np.int64, at + 1, b.column(f"{name}_size").to_numpy().astype(np.int64))
+        yield from ()
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n += len(b)
-            for k in _NUMBERS:
-                files[k].write(b.column(k).to_numpy(zero_copy_only=False).astype(np.int64).tobytes())
-            for k in ("step_id", "action"):
-                x = b.column(k).cast(pa.large_string())
-                x = pa.concat_arrays([x])
-                start = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1]
-                files[f"{k}.bytes"].write(memoryview(x.buffers()[2])[start[0] : start[-1]] if x.buffers()[2] else b"")
-                files[f"{k}.size"].write(np.diff(start).tobytes())
-            x = b.column("tokens")
-            files["tokens.codes"].write(x.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes())
-            files["tokens.size"].write(np.diff(x.offsets.to_numpy()).astype(np.int64).tobytes())
-        for f in files.values():
-            f.close()
-        for k in ("step_id", "action", "tokens"):
-            np.append(0, np.cumsum(np.fromfile(f"{folder}/{k}.size", np.int64))).tofile(f"{folder}/{k}.start")
-        able, rank = np.flatnonzero(np.fromfile(f"{folder}/able", np.int64)), np.fromfile(f"{folder}/rank", np.int64)
-        for k in BLOCKS:
-            block = np.fromfile(f"{folder}/{k}", np.int64)[able]
-            order = np.lexsort((able, -rank[able], block))
-            able[order].tofile(f"{folder}/{k}.member")
-            block[order].tofile(f"{folder}/{k}.block")
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
-
-    laid.repartition(1).sortWithinPartitions("i").mapInArrow(write, "n bigint").collect()  # one row
-    return ids, folder
+            at = b.column("i").to_numpy().astype(np.int64)
+            for name, kind in long.items():
+                codes, size = _parts(b, name)
+                start = np.memmap(f"{folder}/{name}.start", np.int64, "r")[at]
+                if len(codes):
+                    np.memmap(f"{folder}/{name}", kind, "r+")[_spread(start, start + size)[1]] = codes
+        yield from ()
+
+    sizes = [(F.octet_length(name) if kind is np.uint8 else F.size(name)).cast("bigint").alias(f"{name}_size") for name, kind in long.items()]
+    df.select("i", *flat, *sizes).mapInArrow(first, "n bigint").collect()  # no rows
+    if long:
+        for name, kind in long.items():
+            start = np.memmap(f"{folder}/{name}.start", np.int64, "r+")
+            np.cumsum(start, out=start)
+            start.flush()
+            _sized(f"{folder}/{name}", int(start[-1]), kind)
+        df.select("i", *long).mapInArrow(second, "n bigint").collect()  # no rows
+
+
+def _blocks(folder: str) -> None:
+    """Steps that may be met, by block and the latest first, and where each block's begin."""
+    number = _number(folder)
+    able = np.flatnonzero((np.asarray(_mapped(f"{folder}/able", np.int8)) > 0) & (np.asarray(_mapped(f"{folder}/next", number)) > 0))
+    rank = _mapped(f"{folder}/rank", number)
+    for k in BLOCKS:
+        block = _mapped(f"{folder}/{k}")[able]
+        some = block != 0
+        member, block = able[some], block[some]
+        order = np.lexsort((member, -rank[member].astype(np.int64), block))
+        codes, first = np.unique(block[order], return_index=True)
+        member[order].astype(number).tofile(f"{folder}/{k}.member")
+        codes.tofile(f"{folder}/{k}.block")
+        np.append(first, len(member)).astype(np.int64).tofile(f"{folder}/{k}.first")
+
+
+def built(steps: DataFrame, roots: DataFrame, folder: str) -> tuple[DataFrame, str]:
+    """Places (``i``, by step id) of the roots, and the folder of the index of ``steps`` (slim).
+
+    Rows are shuffled whole once, into the order of step ids; what comes from other rows (the following step,
+    the order of times and actions) is found over narrow columns, and every task writes its rows to their
+    places in the files.
+    """
+    spark = steps.sparkSession
+    with passing(spark) as cuts:
+        placed = numbered(steps, [F.col("step_id")], "_i").withColumn("i", F.col("_i") - 1)
+        n = placed.count()
+        number = np.int32 if n < 1 << 31 else np.int64
+        folder = f"{folder}/index-{uuid.uuid4().hex}-{np.dtype(number).itemsize}"
+        os.makedirs(folder)
+        chosen = cut(placed.select("step_id", "i").join(roots.select("step_id"), "step_id", "left_semi").select("i"), "roots")
+        cuts.remove(chosen._cut_path)
+        able = F.coalesce(F.col("eligible"), F.lit(False)).cast("tinyint").alias("able")
+        _kept(placed.select("i", "user_id", *BLOCKS, "rank", able, "step_id", "tokens"), folder, n, {"user_id": np.int64, **dict.fromkeys(BLOCKS, np.int64), "rank": number, "able": np.int8}, {"step_id": np.uint8, "tokens": np.int64})
+        with passing(spark):
+            after = beside(placed.where("episode_id IS NOT NULL").select("i", "episode_id", "step_index"), ["episode_id"], [F.col("step_index"), F.col("i")], {"next": "i"})
+            _kept(after.where("next IS NOT NULL").select("i", (F.col("next") + 1).alias("next")), folder, n, {"next": number}, {})
+        with passing(spark):
+            times, _ = _ordered(placed, "time", "time_no")
+            _kept(times.withColumnRenamed("time_no", "time"), folder, n, {"time": number}, {})
+        with passing(spark):
+            actions, texts = _ordered(placed, "action", "action_no")
+            _kept(actions, folder, n, {"action_no": number}, {})
+            _kept(texts.select(F.col("action_no").alias("i"), F.col("_v").alias("action")), folder, texts.count() + 1, {}, {"action": np.uint8})
+    spark.range(1).repartition(1).mapInArrow(lambda batches: [_blocks(folder) for b in batches if len(b)] and iter(()), "n bigint").collect()  # no rows
+    return chosen, folder
+
+
+def _number(folder: str):
+    return np.int32 if folder.endswith("-4") else np.int64
 
 
 def _mapped(path: str, kind=np.int64) -> np.ndarray:
@@ -112,12 +186,14 @@ def _nth(*keys: np.ndarray) -> np.ndarray:
 
 class _Index:
     def __init__(self, folder: str) -> None:
-        for k in _NUMBERS:
+        for k in _HASHES:
             setattr(self, k, _mapped(f"{folder}/{k}"))
-        self.member = {k: _mapped(f"{folder}/{k}.member") for k in BLOCKS}
-        self.block = {k: _mapped(f"{folder}/{k}.block") for k in BLOCKS}
-        self.token, self.start = _mapped(f"{folder}/tokens.codes"), _mapped(f"{folder}/tokens.start")
-        self.text = {k: (_mapped(f"{folder}/{k}.start"), _mapped(f"{folder}/{k}.bytes", np.uint8)) for k in ("step_id", "action")}
+        for k in _NUMBERS:
+            setattr(self, k, _mapped(f"{folder}/{k}", _number(folder)))
+        self.member = {k: _mapped(f"{folder}/{k}.member", _number(folder)) for k in BLOCKS}
+        self.block = {k: (_mapped(f"{folder}/{k}.block"), _mapped(f"{folder}/{k}.first")) for k in BLOCKS}
+        self.token, self.start = _mapped(f"{folder}/tokens"), _mapped(f"{folder}/tokens.start")
+        self.text = {k: (_mapped(f"{folder}/{k}.start"), _mapped(f"{folder}/{k}", np.uint8)) for k in ("step_id", "action")}
 
     def strings(self, kind: str, at: np.ndarray) -> pa.Array:
         start, data = self.text[kind]
@@ -146,8 +222,11 @@ class _Index:
         out = []
         for name in BLOCKS:
             key = getattr(self, name)[proxy]
-            lo, hi = np.searchsorted(self.block[name], key), np.searchsorted(self.block[name], key, side="right")
-            hi = np.where(key == 0, lo, hi)
+            codes, first = self.block[name]
+            at = np.minimum(np.searchsorted(codes, key), max(len(codes) - 1, 0))
+            found = (codes[at] == key) & (key != 0) if len(codes) else np.zeros(len(key), bool)
+            lo = first[np.where(found, at, 0)]
+            hi = np.where(found, first[np.where(found, at + 1, 0)], lo)
             small = np.flatnonzero((hi > lo) & (hi - lo <= DENSE))
             step = PAIRS // DENSE
             for part in range(0, len(small), step):
@@ -221,7 +300,7 @@ def _levels(index: _Index, roots: np.ndarray, depth: int, same_k: int, cross_k:
         node, c, same, score = index.met(root, proxy, max(same_k, cross_k))
         source = np.where(same, 2, 3)
         order = np.lexsort((c, -index.rank[c], -score, source, node))
-        node, c, source = node[order], c[order], source[order]
+        node, c, source = node[order], c[order].astype(np.int64), source[order]
         new = _nth(node, source, c) == 0  # a step met in two blocks has one score, so its rows are neighbours
         node, c, source = node[new], c[new], source[new]
         n = _nth(node, source) + 1
@@ -240,7 +319,7 @@ def _levels(index: _Index, roots: np.ndarray, depth: int, same_k: int, cross_k:
         place = _nth(node[order])
         order, place = order[place < most], place[place < most]
         node, example, support, mask = node[order], example[order], support[order], mask[order]
-        follow = index.next[example]
+        follow = index.next[example].astype(np.int64) - 1
         path = np.concatenate([done[node], example[:, None]], axis=1)
         to = name[node] * most + place
         yield level, root[node], name[node], path, support, mask, example, to, follow
@@ -283,11 +362,11 @@ def grown(roots: DataFrame, folder: str, sources: tuple[str, ...], leaves: bool,
                     ids = index.strings("step_id", root[at])
                     label = pc.binary_join_element_wise(ids, names.take(pa.array((to if leaves else name)[at])), "")
                     if leaves:
-                        words = index.strings("action", path[at].ravel())
+                        words = index.strings("action", index.action_no[path[at].ravel()])
                         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * path.shape[1]), words)
                         yield pa.RecordBatch.from_arrays([ids, label, lists], ["root_id", "leaf", "actions"])
                     else:
-                        yield pa.RecordBatch.from_arrays([ids, label, pa.array(np.full(len(at), level, np.int32)), index.strings("action", example[at]), pa.array(support[at].astype(np.int64)), tags.take(pa.array(mask[at])), index.strings("step_id", example[at])], ["root_id", "node", "depth", "action", "support", "source", "example"])
+                        yield pa.RecordBatch.from_arrays([ids, label, pa.array(np.full(len(at), level, np.int32)), index.strings("action", index.action_no[example[at]]), pa.array(support[at].astype(np.int64)), tags.take(pa.array(mask[at])), index.strings("step_id", example[at])], ["root_id", "node", "depth", "action", "support", "source", "example"])
 
     form = "root_id string, leaf string, actions array<string>" if leaves else "root_id string, node string, depth int, action string, support bigint, source string, example string"
     return roots.mapInArrow(run, form)

@@ -10,7 +10,7 @@ from pathloom.operators import tree
 from pathloom.operators.causal import keep_first
 from pathloom.operators.ranking import ranked
 from pathloom.plans import sql
-from pathloom.storage import cut, table
+from pathloom.storage import cut, passing, table
 
 
 def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,17 +20,21 @@ def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     screen; a step is placed in its episode by the number of actions before it.
     """
     raw = table(spark, sf_dir, "gui_step_examples").where("example_id IS NOT NULL")
-    raw = keep_first(raw.select("row_id", "example_id", F.lower(F.trim("user_id")).alias("user_id"), F.col("source_trajectory_id").alias("episode_id"), F.coalesce(F.size("action_history"), F.lit(0)).alias("n"), "ingested_at", "state_id", "instruction", "ui_tree", "current_action.action_type", "current_action.target"), ["example_id"], [F.col("ingested_at"), F.col("row_id")])
+    key = text.key_alnum("instruction")
+    intent = F.when(key != "", F.hex(F.xxhash64(key))).otherwise("").alias("intent_key")  # it is only compared, and shuffled
+    raw = keep_first(raw.select("row_id", "example_id", F.lower(F.trim("user_id")).alias("user_id"), F.col("source_trajectory_id").alias("episode_id"), F.coalesce(F.size("action_history"), F.lit(0)).alias("n"), "ingested_at", "state_id", intent, "ui_tree", "current_action.action_type", "current_action.target"), ["example_id"], [F.col("ingested_at"), F.col("row_id")])
     words = F.array_distinct(F.regexp_extract_all(F.lower("ui_tree"), F.lit("[a-z]+"), F.lit(0)))
     steps = raw.select(
         F.col("example_id").alias("step_id"), "user_id", "episode_id", F.col("n").alias("step_index"), F.date_format("ingested_at", "yyyyMMdd_HHmmss").alias("time"), F.lit("").alias("app"), F.coalesce("state_id", F.lit("")).alias("state_key"),
-        text.key_alnum("instruction").alias("intent_key"), words.alias("tokens"), F.concat_ws(":", F.lower("action_type"), "target").alias("action"), F.col("ui_tree").isNotNull().alias("eligible"), "ingested_at", "row_id",
+        "intent_key", words.alias("tokens"), F.concat_ws(":", F.lower("action_type"), "target").alias("action"), F.col("ui_tree").isNotNull().alias("eligible"), "ingested_at", "row_id",
     )
     return ranked(steps.withColumn("user_id", F.coalesce("user_id", F.lit(""))), ["user_id"], [F.col("ingested_at"), F.col("row_id")]).drop("ingested_at", "row_id")
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    steps = cut(_steps(spark, sf_dir), "logged")
+    with passing(spark) as cuts:
+        steps = cut(_steps(spark, sf_dir), "logged")
+        cuts.remove(steps._cut_path)
     return tree.expand(steps.select("step_id"), steps)
 
 

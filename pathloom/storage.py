@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _SWEPT: set[str] = set()
+#: Paths of the cuts made in each open scope of ``passing``.
+_PASSING: list[list[str]] = []
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -75,6 +80,8 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _PASSING[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     scan = spark.read.schema(df.schema).parquet(path)
     scan._cut_path = path
@@ -90,6 +97,28 @@ def discard(*frames: DataFrame | None) -> None:
             fs.delete(target, True)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete the cuts made in the scope at its end, and the shuffle files of plans that nothing refers to.
+
+    A cut that is read later is made outside, or its path taken off the list that the scope gives.
+    """
+    _PASSING.append([])
+    try:
+        yield _PASSING[-1]
+    finally:
+        for path in _PASSING.pop():
+            fs, target = _file_system(spark, path)
+            fs.delete(target, True)
+        sweep(spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now; it does so when their objects are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of a cut on disk; a broadcast is only hinted below a bound on this."""
     path = getattr(df, "_cut_path", None)

@@ -33,3 +33,20 @@ def test_leaves_of_the_query_come_straight_from_the_index(spark, tmp_path):
     assert "Join" not in leaves._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.leaf, r.path) for r in leaves.where("root_id = 'c0'").collect()}
     assert ("c0:1.1.1.", "c0:x>c1:x>c2:x") in got and any("a0:x>" in p for _, p in got) and any("b0:x>" in p for _, p in got)
+
+
+def test_the_index_leaves_no_copies_of_the_steps_behind(spark):
+    import os
+
+    from pathloom.operators import treeindex
+
+    folder = treeindex.local_folder(spark)
+    steps = spark.createDataFrame([(f"s{i:04}", "u", f"e{i // 5}", i % 5, f"{i:04}", "", f"k{i % 50}", f"q{i % 90}", ["x", "y"], f"tap:{i % 7}", i) for i in range(2000)], "step_id string, user_id string, episode_id string, step_index int, time string, app string, state_key string, intent_key string, tokens array<string>, action string, rank int")
+    before = set(os.listdir(folder))
+    edges, _ = tree.expand(steps.select("step_id"), steps)
+    made = sorted(x.split("-")[0] for x in set(os.listdir(folder)) - before)
+    assert made == ["index", "roots"]  # cuts made on the way are gone
+    index = next(x for x in set(os.listdir(folder)) - before if x.startswith("index"))
+    files = [os.stat(f"{folder}/{index}/{x}") for x in os.listdir(f"{folder}/{index}")]
+    assert sum(f.st_blocks * 512 for f in files) < 2000 * 120
+    assert edges.where("depth = 0 AND source LIKE 'observed%'").count() == 2000
