@@ -139,8 +139,15 @@ def best_of_other_group(df: DataFrame, user: str, group: str, time: str, key: st
     """``row_id, mode, similarity``: of all rows by other users of another group the most alike.
 
     Mode 'any' takes references of any time, 'past' only earlier ones. Rows without user or group take no part.
+    With a shared folder that workers can map, references are searched in an index
+    (:mod:`pathloom.operators.alike`); else all pairs of blocks are compared.
     """
+    from pathloom.operators import alike, treeindex
+
     rows = df.where(F.col(user).isNotNull() & F.col(group).isNotNull() & F.col(key).isNotNull())
+    folder = treeindex.local_folder(df.sparkSession)
+    if folder:
+        return alike.best_of_other_group(rows.select("row_id", F.xxhash64(user).alias("u"), F.xxhash64(group).alias("a"), F.col(time).alias("t"), F.col(key).alias("k")), folder)
     rows = rows.select("row_id", F.xxhash64(user).alias("u"), F.xxhash64(group).alias("a"), F.coalesce(time, F.lit("")).alias("t"), F.col(key).alias("k"))
     n = max(1, -(-rows.count() // block))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int"))
