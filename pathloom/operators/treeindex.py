@@ -7,7 +7,6 @@ level in numpy; nothing but the index is written or shuffled, however many paths
 from __future__ import annotations
 
 import os
-import urllib.parse
 import uuid
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pathloom.operators.causal import beside
 from pathloom.operators.ranking import numbered
-from pathloom.storage import cut, passing, shared_dir
+from pathloom.storage import cut, passing, qualified, shared_dir
 
 #: Roots expanded at once, candidates of a block from which it is one matrix, pairs scored at once, rows handed over at once.
 ROOTS, DENSE, PAIRS, ROWS = 32768, 16, 1 << 20, 1 << 17
@@ -28,9 +27,12 @@ _HASHES, _NUMBERS = ("user_id", *BLOCKS), ("rank", "time", "next", "action_no")
 
 
 def local_folder(spark) -> str | None:
-    """The shared folder as a path, or null where it isn't on a mounted file system."""
-    root = shared_dir(spark)
-    return urllib.parse.unquote(urllib.parse.urlparse(root).path) if root.startswith("file:") else None
+    """The shared folder as a path, or null where it isn't on a mounted file system.
+
+    A folder named without a scheme is on the file system that the session takes for its own.
+    """
+    place = qualified(spark, shared_dir(spark))
+    return place.getPath() if place.getScheme() == "file" else None
 
 
 def _ordered(df: DataFrame, name: str, out: str) -> tuple[DataFrame, DataFrame]:

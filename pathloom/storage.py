@@ -23,6 +23,12 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def qualified(spark: SparkSession, path: str):
+    """The URI of a path with the scheme of its file system."""
+    fs, target = _file_system(spark, path)
+    return fs.makeQualified(target).toUri()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, target = _file_system(spark, path)
     return bool(fs.exists(target))

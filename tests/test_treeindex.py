@@ -50,3 +50,16 @@ def test_the_index_leaves_no_copies_of_the_steps_behind(spark):
     files = [os.stat(f"{folder}/{index}/{x}") for x in os.listdir(f"{folder}/{index}")]
     assert sum(f.st_blocks * 512 for f in files) < 2000 * 120
     assert edges.where("depth = 0 AND source LIKE 'observed%'").count() == 2000
+
+
+def test_a_shared_folder_named_without_a_scheme_is_mapped_too(spark, tmp_path, monkeypatch):
+    from pathloom.operators import treeindex
+
+    (tmp_path / "a b%20c").mkdir()
+    monkeypatch.setattr(treeindex, "shared_dir", lambda _: f"{tmp_path}/a b%20c")
+    assert treeindex.local_folder(spark) == f"{tmp_path}/a b%20c"
+    steps = spark.createDataFrame([(f"s{i}", "u", "e", i, f"{i}", "", "k", "q", ["x"], f"tap:{i}") for i in range(6)], "step_id string, user_id string, episode_id string, step_index int, time string, app string, state_key string, intent_key string, tokens array<string>, action string")
+    edges, _ = tree.expand(steps.select("step_id"), steps)
+    assert "Join" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    assert any(p.name.startswith("index") for p in (tmp_path / "a b%20c").iterdir())
+    assert edges.where("depth = 0 AND source LIKE 'observed%'").count() == 6
