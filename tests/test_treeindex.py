@@ -63,3 +63,21 @@ def test_a_shared_folder_named_without_a_scheme_is_mapped_too(spark, tmp_path, m
     assert "Join" not in edges._jdf.queryExecution().optimizedPlan().toString()
     assert any(p.name.startswith("index") for p in (tmp_path / "a b%20c").iterdir())
     assert edges.where("depth = 0 AND source LIKE 'observed%'").count() == 6
+
+
+def test_leaves_of_the_query_are_grown_from_an_index_in_a_folder_without_a_scheme(spark, tmp_path, monkeypatch):
+    from pathloom import storage
+    from pathloom.operators import treeindex
+    from pathloom.plans import tree_queries
+
+    shared = f"{tmp_path}/shared"
+    for module in (storage, treeindex):
+        monkeypatch.setattr(module, "shared_dir", lambda _: shared)
+    action = "struct<action_type string, target string>"
+    rows = [(i, f"a{i}", "u", "e", [None] * i, "s", "Open the mail", "[button] mail", ("TAP", f"x{i}")) for i in range(4)]
+    steps = spark.createDataFrame(rows, f"row_id bigint, example_id string, user_id string, source_trajectory_id string, action_history array<{action}>, state_id string, instruction string, ui_tree string, current_action {action}")
+    steps.withColumn("ingested_at", F.expr("timestamp'2031-01-01 00:00:00' + make_interval(0, 0, 0, row_id)")).write.parquet(f"{tmp_path}/gui_step_examples.parquet")
+    leaves = tree_queries.counterfactual_leaves(spark, str(tmp_path))
+    assert "Join" not in leaves._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "shared").iterdir()) == ["index", "logged", "roots"]
+    assert ("a1:1.1.1.", "tap:x1>tap:x2>tap:x3") in {(r.leaf, r.path) for r in leaves.collect()}
