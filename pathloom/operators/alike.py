@@ -26,10 +26,10 @@ from pathloom.storage import passing
 
 #: Rows that centres are drawn from, most centres, likeness of a centre's neighbours, rows of a part, targets of a task's portion.
 SAMPLE, CENTRES, NEAR, PART, PORTION = 2048, 48, (0.5, 0.35, 0.2), 32768, 8192
-#: Commonest departures of a part that are also kept as marks of rows; candidates are found without them.
-HEAVY = 384
-#: Departures that must at least be in common for a part to be searched by candidates, and pairs counted at once.
-FEWEST, PAIRS = 4, 1 << 17
+#: Bits of a row's signature, to which the pairs of a part that are outside of its centre are dealt by how common they are.
+HEAVY = 256
+#: Departures that must at least be in common for a part to be searched by signatures, and pairs compared at once.
+FEWEST, PAIRS = 4, 1 << 16
 #: Quotients of whole numbers below this are told apart in single precision.
 SINGLE = 2800
 
@@ -122,6 +122,26 @@ def _parts(folder: str) -> None:
     np.array(firsts, np.int64).tofile(f"{folder}/first")
 
 
+def _words() -> int:
+    return max(2, -(-HEAVY // 64))
+
+
+def _signatures(owner: np.ndarray, bit: np.ndarray, n: int) -> np.ndarray:
+    """The bits of each of n rows, by word."""
+    out = np.zeros((n, 64 * _words()), np.bool_)
+    out[owner, bit] = True
+    return np.ascontiguousarray(np.packbits(out, axis=1, bitorder="little").view(np.uint64).T)
+
+
+def _folded(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of two words, of which every bit is one of several."""
+    return np.bitwise_or.reduce(marks[::2]), np.bitwise_or.reduce(marks[1::2])
+
+
+def _folded_not(without: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.bitwise_and.reduce(without[::2]), np.bitwise_and.reduce(without[1::2])
+
+
 def _indexed(folder: str, p: int) -> None:
     lo, hi, c = _mapped(f"{folder}/part").reshape(-1, 3)[p]
     core = _Centres(folder).sets[c]
@@ -133,11 +153,19 @@ def _indexed(folder: str, p: int) -> None:
     lacks, what = np.nonzero(has == 0)
     owner, code = np.concatenate([owner[~inside], lacks]), np.concatenate([code[~inside], core[what]])
     order = np.lexsort((owner, code))
-    codes, start = np.unique(code[order], return_index=True)
+    codes, start, named, times = np.unique(code[order], return_index=True, return_inverse=True, return_counts=True)
+    bit = np.full(len(codes), -1)
+    outside = np.flatnonzero(~_has(core, codes))
+    bit[outside[np.argsort(-times[outside], kind="stable")]] = np.arange(len(outside)) % (64 * _words())
+    row, name = owner[order], named.astype(np.uint16 if len(codes) < 1 << 16 else np.int64)
+    marks = _signatures(row[bit[named] >= 0], bit[named][bit[named] >= 0], len(at))
+    by_row = np.argsort(row, kind="stable")
+    of = np.append(0, np.cumsum(np.bincount(row, minlength=len(at))))
     lacks = np.bincount(lacks, minlength=len(at))
-    shapes = np.unique(np.stack([len(core) - lacks, size - len(core) + lacks], axis=1), axis=0)  # pairs inside and outside of the centre
+    shapes, shape = np.unique(np.stack([len(core) - lacks, size - len(core) + lacks], axis=1), axis=0, return_inverse=True)  # pairs inside and outside of the centre
     dated = at[np.asarray(_mapped(f"{folder}/time")[at]) > 0]
-    np.savez(f"{folder}/part-{p}.npz", post=owner[order].astype(np.int32), codes=codes, start=np.append(start, len(order)), size=size.astype(np.int32), lacks=lacks.astype(np.int32), shapes=shapes, earliest=dated[:1])
+    kind = np.uint16 if len(at) < 1 << 16 else np.int64
+    np.savez(f"{folder}/part-{p}.npz", post=row.astype(kind), codes=codes, start=np.append(start, len(order)), size=size.astype(np.int32), lacks=lacks.astype(np.int32), shapes=shapes, earliest=dated[:1], bit=bit, marks=marks, name=name[by_row], of=of, shape=shape.ravel().astype(np.int32))
 
 
 class _Part:
@@ -146,20 +174,17 @@ class _Part:
         at = np.asarray(_mapped(f"{folder}/member")[lo:hi])
         with np.load(f"{folder}/part-{p}.npz") as held:
             self.post, self.codes, self.start, size, lacks = (held[k] for k in ("post", "codes", "start", "size", "lacks"))
-        self.post = self.post.astype(np.int64)
+            self.bit, self.marks, self.name, self.of, self.shapes = (held[k] for k in ("bit", "marks", "name", "of", "shapes"))
+            self.shape = held["shape"].astype(np.intp)
+        self.folded = _folded(self.marks)
+        self.inside, self.outside, self.whole = (x[None, :] for x in (*self.shapes.T, self.shapes.sum(axis=1)))
+        self.room = *(np.empty(len(at), kind) for kind in (np.uint8, np.uint8, np.bool_, np.uint64)),
         self.at = at
         self.kind = np.float32 if size.max(initial=0) < SINGLE // 2 else np.float64
         self.size, self.lacks = size.astype(self.kind), lacks.astype(self.kind)
         self.undated = int(np.searchsorted(np.asarray(_mapped(f"{folder}/time")[at]) > 0, True))
         self.user, self.group = np.asarray(_mapped(f"{folder}/u")[at]), np.asarray(_mapped(f"{folder}/a")[at])
         self.apart: dict[int, np.ndarray] = {}
-        length = np.diff(self.start)
-        top = np.argsort(-length, kind="stable")[:HEAVY]
-        self.heavy = np.full(len(length), -1)
-        self.heavy[top] = np.arange(len(top))
-        self.marks = np.zeros((len(at), len(top)), np.bool_)
-        which, place = _spread(self.start[top], self.start[top + 1])
-        self.marks[self.post[place], which] = True
 
     def others(self, group: int) -> np.ndarray:
         if group not in self.apart:
@@ -220,7 +245,7 @@ def _found(folder: str, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.nd
         whole = most[:, p] > best
         some = np.flatnonzero((size > 0) & (whole | ((most[:, p] > past) & (parts[p][1] < before))))
         if len(some):
-            _looked(_Part(folder, p), centres.sets[bounds[p, 2]], parts[p][0], some, whole, most[:, p], user, group, before, code, start, size, best, past)
+            _looked(_Part(folder, p), centres.sets[bounds[p, 2]], some, whole, most[:, p], user, group, before, code, start, size, best, past)
     first = _mapped(f"{folder}/first").reshape(-1, 4)
     for found, when in ((best, None), (past, before)):
         for i in np.flatnonzero(found == 0):
@@ -230,13 +255,13 @@ def _found(folder: str, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return at, best, past
 
 
-def _looked(part: _Part, core: np.ndarray, shapes, some, whole, most, user, group, before, code, start, size, best, past) -> None:
+def _looked(part: _Part, core: np.ndarray, some, whole, most, user, group, before, code, start, size, best, past) -> None:
     """Raise ``best`` and ``past`` of the rows ``some`` by their references in one part.
 
-    A reference that is better than what is found has more than so many departures in common with the row. Those
-    are counted without the row's commonest ones, fewer than are needed; the few references that reach the rest
-    are scored.
+    A row is compared with the signatures of all; the few references that they leave are scored. Where next to
+    nothing is found yet, all are scored.
     """
+    shapes = part.shapes
     who, place = _spread(start[some], start[some + 1])
     codes = code[place]
     known, shared = _has(part.codes, codes), _has(core, codes)
@@ -253,11 +278,9 @@ def _looked(part: _Part, core: np.ndarray, shapes, some, whole, most, user, grou
     who, codes = np.concatenate([who[~inside], lacked]), np.concatenate([codes[~inside], core[what]])
     hit = _has(part.codes, codes)
     who, at = who[hit], np.searchsorted(part.codes, codes[hit])
-    order = np.lexsort((part.start[at] - part.start[at + 1], who))
+    order = np.argsort(who, kind="stable")
     who, at = who[order], at[order]
-    heavy = part.heavy[at]
     bounds = np.searchsorted(who, np.arange(len(some) + 1))
-    many = np.bincount(who[heavy >= 0], minlength=len(some))  # heavy ones stand first
     froms, tos = part.start[at], part.start[at + 1]
     until = np.maximum(np.searchsorted(part.at, before[some]), part.undated)
     back = (until > part.undated) & (reach > past[some])
@@ -267,44 +290,56 @@ def _looked(part: _Part, core: np.ndarray, shapes, some, whole, most, user, grou
     need, need_past = np.where(wide, least(best[some]), np.inf), np.where(back, least(past[some]), np.inf)
     want = np.minimum(need, need_past)
     hope = np.diff(bounds) > want
-    skip = np.where(want >= FEWEST, np.minimum(np.maximum(want * 0.7, want - 6), many), 0).astype(np.int64)
     mine = (some, size[some], user[some], group[some], until, back)
-    lists = (part, bounds, froms, tos, heavy, base)
-    quick, rows = np.flatnonzero(hope & (want >= FEWEST)), max(1, PAIRS // len(part.at))
+    low = np.minimum(np.where(wide, best[some], np.inf), np.where(back, past[some], np.inf))
+    quick, rows = np.flatnonzero(hope & (want >= FEWEST)), max(1, 16 * PAIRS // max(len(part.at), len(part.codes) // 16))
     for lo in range(0, len(quick), rows):
-        _picked(quick[lo : lo + rows], *lists, *mine, need - skip, need_past - skip, skip, best, past)
+        _picked(quick[lo : lo + rows], part, bounds, at, base, low, *mine, best, past)
+    lists = (part, bounds, froms, tos, base)
     for j in np.flatnonzero(hope & (want < FEWEST)).tolist():
         _scored(j, *lists, *mine, wide, best, past)
 
 
-def _picked(some, part, bounds, froms, tos, heavy, base, target, size, user, group, until, back, need, need_past, skip, best, past) -> None:
-    """Score the references that have enough departures in common without those skipped."""
-    rows = len(part.at)
-    lo, hi = bounds[some] + skip[some], bounds[some + 1]
-    which, place = _spread(lo, hi)
-    a, b = froms[place], tos[place]
-    held = [part.post[x:y] for x, y in zip(a.tolist(), b.tolist())]
-    if held:
-        common = np.bincount(np.concatenate(held) + np.repeat(which * rows, b - a), minlength=len(some) * rows)
-    else:
-        common = np.zeros(len(some) * rows, np.int64)
-    low = np.minimum(need[some], need_past[some])
-    found = np.flatnonzero(common.reshape(len(some), rows) > low[:, None])
-    for first in range(0, len(found), PAIRS // 4):
-        pair = found[first : first + PAIRS // 4]
+def _picked(some, part, bounds, codes, base, low, target, size, user, group, until, back, best, past) -> None:
+    """Score the references that could be better by their signatures.
+
+    Of a reference's pairs outside of the centre one at least is lost for every bit that the row hasn't, and of those
+    inside it shares no more than the row has.
+    """
+    rows, n = len(part.at), len(some)
+    which, place = _spread(bounds[some], bounds[some + 1])
+    own = np.zeros((n, len(part.codes)), np.bool_)
+    own[which, codes[place]] = True
+    bit = part.bit[codes[place]]
+    without = ~_signatures(which[bit >= 0], bit[bit >= 0], n)
+    most = np.minimum(base[some, None], part.inside) + part.outside - low[some, None] / 2 * (size[some, None] + part.whole)
+    most = np.clip(most + (1 + 1e-6), 0, 255).astype(np.uint8)  # so many lost ones are too many
+    (left, right), (a, b), (one, two, few, word) = part.folded, _folded_not(without), part.room
+    found = []
+    for k in range(n):
+        np.bitwise_count(np.bitwise_and(left, a[k], out=word), out=one)
+        np.bitwise_count(np.bitwise_and(right, b[k], out=word), out=two)
+        np.less(np.add(one, two, out=one), np.take(most[k], part.shape, out=two, mode="clip"), out=few)
+        found.append(np.flatnonzero(few) + k * rows)
+    found = np.concatenate(found)
+    for first in range(0, len(found), PAIRS):
+        pair = found[first : first + PAIRS]
         row, c = pair // rows, pair % rows
-        t, common_c = some[row], common[pair]
+        lost = np.minimum(sum(np.bitwise_count(of[c] & has[row]).astype(np.int16) for of, has in zip(part.marks, without)), 254)
+        t = some[row]
+        ok = (lost < most[row, part.shape[c]]) & (part.group[c] != group[t]) & (part.user[c] != user[t])
+        row, c, t = row[ok], c[ok], t[ok]
+        who, place = _spread(part.of[c], part.of[c + 1])
+        hit = np.append(0, np.cumsum(own[row[who], part.name[place]]))
+        ends = np.cumsum(part.of[c + 1] - part.of[c])
+        common = hit[ends] - hit[ends - part.of[c + 1] + part.of[c]] + base[t] - part.lacks[c].astype(np.int64)
+        alike = 2.0 * common / (part.size[c].astype(np.float64) + size[t])
         earlier = back[t] & (c >= part.undated) & (c < until[t])
-        ok = ((common_c > need[t]) | (earlier & (common_c > need_past[t]))) & (part.group[c] != group[t]) & (part.user[c] != user[t])
-        t, c, common_c, earlier = t[ok], c[ok], common_c[ok], earlier[ok]
-        who, place = _spread(bounds[t], bounds[t] + skip[t])
-        common_c = common_c + np.bincount(who[part.marks[c[who], heavy[place]]], minlength=len(t)) + base[t] - part.lacks[c].astype(np.int64)
-        alike = 2.0 * common_c / (part.size[c].astype(np.float64) + size[t])
         np.maximum.at(best, target[t], alike)
         np.maximum.at(past, target[t[earlier]], alike[earlier])
 
 
-def _scored(j, part, bounds, froms, tos, heavy, base, target, size, user, group, until, back, wide, best, past) -> None:
+def _scored(j, part, bounds, froms, tos, base, target, size, user, group, until, back, wide, best, past) -> None:
     """Score all references of one row, or all earlier ones where no other can be better."""
     i, undated = target[j], part.undated
     n = len(part.at) if wide[j] else until[j]

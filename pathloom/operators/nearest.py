@@ -8,6 +8,8 @@ and every pair of blocks is a task of its own; what leaves it is one row per tar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -172,6 +174,23 @@ def best_of_other_group(df: DataFrame, user: str, group: str, time: str, key: st
     return found.groupBy("row_id", "mode").agg(F.round(F.max("similarity"), 6).alias("similarity"))
 
 
+def likeness(pairs: DataFrame, row: str, left: str, right: str) -> DataFrame:
+    """``row`` and ``similarity`` of two keys in one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (oa, ca), (ob, cb) = pair_sets(b.column(left)), pair_sets(b.column(right))
+            owner, code = np.concatenate([oa, ob]), np.concatenate([ca, cb])
+            order = np.lexsort((code, owner))
+            owner, code = owner[order], code[order]
+            both = owner[1:][(code[1:] == code[:-1]) & (owner[1:] == owner[:-1])]
+            alike = 2.0 * np.bincount(both, minlength=len(b)) / np.maximum(np.bincount(owner, minlength=len(b)), 1)
+            yield pa.RecordBatch.from_arrays([b.column(row), pa.array(alike)], [row, "similarity"])
+
+    found = pairs.select(row, left, right).mapInArrow(run, f"{row} bigint, similarity double")
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 def drawn_same_user(df: DataFrame, user: str, time: str, seed: int = 42) -> DataFrame:
     """``row_id, reference``: a strictly earlier row of the user by a seeded draw, all equally likely."""
     rows = df.where(F.col(user).isNotNull() & F.col(time).isNotNull()).select("row_id", user, time)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pathloom.functions import actions, scores, text
 from pathloom.operators import causal, evaluation, exports, nearest, preference, quality, ranking, retrieval, rules, sampling, stats, training
 from pathloom.plans import sql
-from pathloom.storage import cut, table
+from pathloom.storage import cut, passing, table
 
 R6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
 
@@ -93,12 +93,25 @@ def retrieval_modes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = table(spark, sf_dir, "listwise_tasks").where("user_id IS NOT NULL AND intent IS NOT NULL")
     tasks = cut(tasks.select("row_id", "user_id", F.element_at("user_profile", F.lit("age_group")).alias("age"), "episode_time", "intent", text.key_alnum("intent").alias("key")), "tasks")
     order = F.when(F.col("episode_time").isNotNull(), F.dense_rank().over(W.partitionBy("user_id").orderBy("episode_time")))
-    own = nearest.best_of_same_user(tasks.withColumn("place", order), "user_id", F.col("place"), "key", "intent").select("row_id", F.when(F.col("mode") == "same", "same_user_top1").otherwise("same_user_no_same_intent").alias("mode"), "similarity")
-    others = nearest.best_of_other_group(tasks, "user_id", "age", "episode_time", "key").select("row_id", F.when(F.col("mode") == "any", "cross_user_top1").otherwise("cross_user_strict_past").alias("mode"), "similarity")
-    drawn = nearest.drawn_same_user(tasks, "user_id", "episode_time").select("*", F.lit("random_same_user").alias("mode")).unionByName(nearest.drawn_other_group(tasks, "user_id", "age").select("*", F.lit("random_cross_user").alias("mode")))
-    grams = tasks.select("row_id", text.bigrams(F.col("key")).alias("grams"))
-    drawn = drawn.join(grams, "row_id").join(grams.toDF("reference", "theirs"), "reference").select("row_id", "mode", F.round(text.dice(F.col("grams"), F.col("theirs")), 6).alias("similarity"))
-    return own.unionByName(others).unionByName(drawn).groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("similarity"), 5).alias("mean_similarity"))
+    keys = tasks.select("row_id", "key")
+
+    def alike(drawn: DataFrame, mode: str) -> DataFrame:
+        met = drawn.join(keys, "row_id").join(keys.toDF("reference", "theirs"), "reference")
+        return nearest.likeness(met, "row_id", "key", "theirs").select("row_id", F.lit(mode).alias("mode"), "similarity")
+
+    found = [
+        lambda: alike(nearest.drawn_same_user(tasks, "user_id", "episode_time"), "random_same_user"),
+        lambda: alike(nearest.drawn_other_group(tasks, "user_id", "age"), "random_cross_user"),
+        lambda: nearest.best_of_same_user(tasks.withColumn("place", order), "user_id", F.col("place"), "key", "intent").withColumn("mode", F.when(F.col("mode") == "same", "same_user_top1").otherwise("same_user_no_same_intent")),
+        lambda: nearest.best_of_other_group(tasks, "user_id", "age", "episode_time", "key").withColumn("mode", F.when(F.col("mode") == "any", "cross_user_top1").otherwise("cross_user_strict_past")),
+    ]
+    sums = None
+    for rows in found:  # one after the other, so that only one's shuffles are on disk
+        with passing(spark) as cuts:
+            part = cut(rows().groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count("similarity").alias("known"), F.sum("similarity").alias("total")), "mode")
+            cuts.remove(part._cut_path)
+        sums = part if sums is None else sums.unionByName(part)
+    return sums.select("mode", "n", F.round(F.col("total") / F.col("known"), 5).alias("mean_similarity"))
 
 
 _UNIT = "CAST('0x' || substr(md5('42:{}:' || {}), 1, 8) AS BIGINT) / 4294967296e0"

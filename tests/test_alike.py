@@ -60,3 +60,38 @@ def test_other_group_shuffles_no_rows_to_blocks_and_an_empty_time_is_early(spark
     assert "CoGroup" not in plan and "Aggregate" not in plan  # every row stood in as many blocks as there were
     got = {(r.row_id, r.mode): r.similarity for r in found.collect()}
     assert got == {(1, "any"): 0.888889, (2, "any"): 0.888889, (3, "any"): 0.8, (2, "past"): 0.888889}
+
+
+def test_modes_are_put_together_from_sums_and_no_bigram_is_shuffled(spark):
+    from pathloom.plans import task_queries
+
+    found = task_queries.retrieval_modes_whole(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # of all modes at once, whose shuffles lay on disk together
+    assert {r["mode"] for r in found.collect()} == {"same_user_top1", "same_user_no_same_intent", "cross_user_top1", "cross_user_strict_past", "random_same_user", "random_cross_user"}
+
+
+def test_likeness_of_two_keys_is_that_of_their_bigrams(spark):
+    from pathloom.functions import text
+
+    rng = random.Random(3)
+    keys = ["", "a", "ab", "aaaa", "打开", "打", *("".join(rng.choice("abc打") for _ in range(rng.randrange(9))) for _ in range(40))]
+    pairs = spark.createDataFrame([(i * 100 + j, a, b) for i, a in enumerate(keys) for j, b in enumerate(keys)], "row_id bigint, key string, theirs string")
+    want = pairs.select("row_id", F.round(text.dice(text.bigrams(F.col("key")), text.bigrams(F.col("theirs"))), 6).alias("similarity"))
+    assert sorted(map(tuple, nearest.likeness(pairs, "row_id", "key", "theirs").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_signatures_leave_few_references_to_be_scored():
+    rng = np.random.default_rng(4)
+    core, n = np.arange(1000, 1030), 600
+    rows = [np.unique(np.append(core, rng.integers(0, 400, 25))) for _ in range(n)]
+    outside = [r[r < 1000] for r in rows]
+    owner = np.repeat(np.arange(n), [len(x) for x in outside])
+    marks = alike._signatures(owner, np.concatenate(outside) % (64 * alike._words()), n)
+    lost = sum(np.bitwise_count(has[None, :] & ~has[:, None]).astype(int) for has in marks)
+    size = np.array([len(x) for x in outside])
+    has = alike._dense(owner, np.concatenate(outside), n, np.arange(400))
+    shared = (has @ has.T).astype(int)
+    bound = size[None, :] - lost
+    assert (bound >= shared).all()  # never left out wrongly
+    assert (bound >= shared + 8).mean() < 0.02
